@@ -3,14 +3,16 @@
 from .bpe import op4_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import op7_mixing
+from .nearest import OP1_SQL, op1_nearest
 from .sharding import op3_sharding
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_nearest": OP1_SQL, "op8_exact_dedup": OP8_SQL}
