@@ -5,10 +5,12 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mixing import op7_mixing
 from .nearest import OP1_SQL, op1_nearest
 from .sharding import op3_sharding
+from .simhash import op2_simhash
 from .token_counts import op5_token_counts
 
 QUERIES = {
     "op1_nearest": op1_nearest,
+    "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
