@@ -19,13 +19,13 @@ chunk; an empty table gives an empty result; other columns are ignored; repeated
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .arrow import append
 from .units import LONGEST_KEY, SYNC, UNIT, Memo
 
 WINDOW_DOUBLINGS = 4  # a window of 16 characters
@@ -163,46 +163,27 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def text_groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of at most about ``most`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_documents(
     docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", digest: bool = False
 ) -> DataFrame:
     """All input columns and ``ids_col`` (array<int>), ``decoded_col`` (string) and n_tokens (long).
 
-    With ``digest`` these two are replaced by the SHA-256 of the ids (little-endian 32 bits) and of the decoded UTF-8.
+    With ``digest`` these two hold the SHA-256 of the ids (little-endian 32 bits) and of the decoded UTF-8 instead, and the
+    text is left out.
     """
-    kept = [c for c in docs.columns if c not in (ids_col, decoded_col, "n_tokens")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> dict[str, list]:
         coder = encoder(tokenizer_path)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
-            for lo, hi in text_groups(texts):
-                ids, back = coder.encode_batch(texts[lo:hi]), []
-                if digest:
-                    back = [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in ids]
-                    shown = [hashlib.sha256(i).hexdigest() for i in ids]
-                else:
-                    back = [coder.decode(i) for i in ids]
-                    shown = [np.frombuffer(i, np.int32) for i in ids]
-                out = pdf.iloc[lo:hi][kept if not digest else [c for c in kept if c != text_col]].copy()
-                out[ids_col], out[decoded_col], out["n_tokens"] = shown, back, [len(i) // 4 for i in ids]
-                yield out
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept and not (digest and f.name == text_col)]
-    kind = "string" if digest else "array<int>"
-    return docs.mapInPandas(run, ", ".join([*fields, f"`{ids_col}` {kind}", f"`{decoded_col}` string", "n_tokens long"]))
+        ids = coder.encode_batch([t or "" for t in texts])
+        n_tokens = [len(i) // 4 for i in ids]
+        if digest:
+            back = [hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in ids]
+            return {ids_col: [hashlib.sha256(i).hexdigest() for i in ids], decoded_col: back, "n_tokens": n_tokens}
+        return {ids_col: [np.frombuffer(i, np.int32) for i in ids], decoded_col: [coder.decode(i) for i in ids], "n_tokens": n_tokens}
+
+    shown = (T.StringType(), pa.string()) if digest else (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
+    adds = [(ids_col, *shown), (decoded_col, T.StringType(), pa.string()), ("n_tokens", T.LongType(), pa.int64())]
+    return append(docs, run, [text_col], adds, drop=(text_col,) if digest else ())
 
 
 def tokenizer_file(name: str) -> str:
@@ -214,4 +195,4 @@ def tokenizer_file(name: str) -> str:
 def op4_bpe(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coded = encode_documents(docs, tokenizer_file("byte_bpe_50k.json"), digest=True, ids_col="ids_sha256", decoded_col="decoded_sha256")
-    return coded.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -7,6 +7,7 @@ from .nearest import OP1_SQL, op1_nearest
 from .sharding import op3_sharding
 from .simhash import op2_simhash
 from .token_counts import op5_token_counts
+from .window_index import op10_window_dedup
 
 QUERIES = {
     "op1_nearest": op1_nearest,
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_window_dedup": op10_window_dedup,
 }
 ORACLE_SQL = {"op1_nearest": OP1_SQL, "op8_exact_dedup": OP8_SQL}

@@ -26,9 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .arrow import append
 from .components import components
 from .store import materialize, slots
 
@@ -198,14 +201,9 @@ def near_links(fingerprints: DataFrame, radius: int = 3, blocks: int = 4, shard:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id, and the ``keep`` columns."""
 
-    def fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = simhash(pdf["text"].tolist(), words).view(np.int64)
-            yield pdf.drop(columns="text").assign(fp=fp)
-
     base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(f"keep_{k}") for k in keep], F.col(text_col).alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text"]
-    rows = materialize(base.mapInPandas(fingerprint, ", ".join([*fields, "fp long"])), "fingerprints")
+    adds = [("fp", T.LongType(), pa.int64())]
+    rows = materialize(append(base, lambda t: {"fp": simhash(t, words).view(np.int64)}, ["text"], adds, drop=("text",)), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(distinct, radius))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -22,12 +22,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import text_groups, tokenizer_file
+from .arrow import append
+from .bpe import tokenizer_file
 from .units import LONGEST_KEY, UNIT, Memo
 
 # Fixed value: the splitting pattern of this family of byte-level vocabularies.
@@ -199,30 +201,24 @@ def counter(path: str) -> PrefixCounter:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, budgets: tuple[int, ...] = (), text_col: str = "text") -> DataFrame:
     """All input columns but the text, n_bytes, n_tokens, and for each budget the bytes that fit: ``fits`` array<long>."""
-    kept = [f for f in docs.schema if f.name not in (text_col, "n_bytes", "n_tokens", "fits")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> dict[str, list]:
         own = counter(tokenizer_path)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text_col]]
-            out = pdf[[f.name for f in kept]].copy()
-            totals, fits = [], []
-            for lo, hi in text_groups(texts):
-                own.turn()
-                for text in texts[lo:hi]:
-                    if budgets:
-                        counts = own.prefix_counts(text)
-                        totals.append(counts.total)
-                        fits.append([counts.longest_within(b) for b in budgets])
-                    else:
-                        totals.append(own.total(text))
-                        fits.append([])
-            out["n_bytes"] = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            out["n_tokens"], out["fits"] = totals, fits
-            yield out
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    return docs.mapInPandas(run, ", ".join([*fields, "n_bytes long", "n_tokens long", "fits array<long>"]))
+        own.turn()
+        totals, fits = [], []
+        for text in texts:
+            if budgets:
+                counts = own.prefix_counts(text or "")
+                totals.append(counts.total)
+                fits.append([counts.longest_within(b) for b in budgets])
+            else:
+                totals.append(own.total(text or ""))
+                fits.append([])
+        return {"n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": totals, "fits": fits}
+
+    long = (T.LongType(), pa.int64())
+    adds = [("n_bytes", *long), ("n_tokens", *long), ("fits", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
+    return append(docs, run, [text_col], adds, drop=(text_col,))
 
 
 def op5_token_counts(spark, sf_dir, limit: int = 1024):
