@@ -7,6 +7,7 @@ from .nearest import OP1_SQL, op1_nearest
 from .sharding import op3_sharding
 from .simhash import op2_simhash
 from .token_counts import op5_token_counts
+from .toxicity import op6_toxicity
 from .window_index import op10_window_dedup
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_window_dedup": op10_window_dedup,
