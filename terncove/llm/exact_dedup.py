@@ -148,6 +148,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    groups = materialize(exact_groups(docs, id_col, text_col).where("group_size > 1"), "exact-decisions")
+    # a group's rows share the text hash; those that repeat the kept id as well need a choice between equal rows
+    rows = groups.select(F.col("doc_id").alias("_id"), "kept", "text_sha256")
+    keys = rows.groupBy("_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    keys = materialize(keys, "exact-keys")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = docs.withColumn("_sha", sha).withColumn("_key_id", F.col(id_col))
+    gone = keys.where("not stays or n > 1").select(F.col("_id").alias("_own_id"), F.col("text_sha256").alias("_own_sha"), "stays")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    same = F.col("_key_id").eqNullSafe(F.col("_own_id")) & (F.col("_sha") == F.col("_own_sha"))
+    rest = keyed.join(gone, same, "left_anti")
+    if not keys.where("stays and n > 1").isEmpty():
+        rest = rest.unionByName(keyed.join(gone.where("stays"), same, "left_semi").dropDuplicates(["_key_id", "_sha"]))
+    return rest.drop("_key_id", "_sha")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import decide, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 64
@@ -172,6 +172,16 @@ def mix(
     )
 
 
+def repeat_rows(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), budget: float = 1.5, cap: int = 2) -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as it is taken, with all its columns."""
+    keyed = docs.withColumn("_fp", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    copies = mix(keyed, weights, budget, cap, keep=("_fp",)).where("copies <> 1")
+    copies = materialize(copies.groupBy(F.col("doc_id").alias("_id"), "_fp").agg(F.max("copies").alias("_copies")), "mix-copies")
+    times = F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))
+    times = F.when(F.coalesce("_copies", F.lit(1)) > 0, times).otherwise(F.array().cast("array<int>"))
+    return decide(docs, copies, "left").withColumn("_copy", F.explode(times)).drop("_copies", "_copy")
+
+
 def op7_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -2,6 +2,7 @@
 
 from .bpe import op4_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .html_text import op9_html
 from .mixing import op7_mixing
 from .nearest import OP1_SQL, op1_nearest
 from .sharding import op3_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_html": op9_html,
     "op10_window_dedup": op10_window_dedup,
 }
 ORACLE_SQL = {"op1_nearest": OP1_SQL, "op8_exact_dedup": OP8_SQL}

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .arrow import append
 from .components import components
-from .store import materialize, slots
+from .store import decide, materialize, row_key, slots
 
 SHARD = 4096
 BATCH = 32_768  # fingerprints that one search holds, unless a tile is larger
@@ -199,7 +199,7 @@ def near_links(fingerprints: DataFrame, radius: int = 3, blocks: int = 4, shard:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, fp (long), component_id, and the ``keep`` columns."""
+    """One row per input row: doc_id, fp (long), component_id, class_id (smallest fingerprint), and the ``keep`` columns."""
 
     base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(f"keep_{k}") for k in keep], F.col(text_col).alias("text"))
     adds = [("fp", T.LongType(), pa.int64())]
@@ -208,8 +208,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     roots = components(near_links(distinct, radius))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(rooted.join(first, "root").select("fp", "component_id"), "components")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *[F.col(f"keep_{k}").alias(k) for k in keep])
+    classes = rooted.join(first, "root").select("fp", "component_id", F.col("root").alias("class_id"))
+    classes = materialize(classes, "components")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "class_id", *[F.col(f"keep_{k}").alias(k) for k in keep])
+
+
+def drop_near(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns."""
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    rows = near_duplicates(keyed, words, radius, "_id", "text", keep=("_fp",))
+    rows = materialize(rows.select(F.col("doc_id").alias("_id"), "_fp", "class_id"), "near-rows")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_fp").alias("fp"))
+    first = rows.groupBy("class_id").agg(F.min(order).alias("first"))
+    stays = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_fp").alias("fp")).eqNullSafe(F.col("first"))
+    gone = materialize(rows.join(first, "class_id").where(~stays).select("_id", "_fp").distinct(), "near-gone")
+    return decide(docs, gone, "left_anti", id_col, text_col)
 
 
 def op2_simhash(spark, sf_dir):

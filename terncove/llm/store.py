@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -41,3 +42,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Decisions about rows are broadcast to the scan of the texts up to this many rows of 24 bytes, else joined by a shuffle.
+BROADCAST_ROWS = 1_500_000
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """What names a row where a doc_id may repeat: the id and a hash of the text."""
+    return [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_fp")]
+
+
+def decide(docs: DataFrame, decisions: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Join ``docs`` to materialised ``decisions`` (_id, _fp, ...) by ``row_key``; the key columns go."""
+    few = decisions.withColumnsRenamed({"_id": "_own_id", "_fp": "_own_fp"})
+    few = F.broadcast(few) if decisions.count() <= BROADCAST_ROWS else few
+    keyed = docs.withColumns({"_key_id": F.col(id_col), "_key_fp": row_key(id_col, text_col)[1]})
+    same = F.col("_key_id").eqNullSafe(F.col("_own_id")) & (F.col("_key_fp") == F.col("_own_fp"))
+    return keyed.join(few, same, how).drop("_key_id", "_key_fp", "_own_id", "_own_fp")
