@@ -18,6 +18,7 @@ from ..functions.harvest import aligned_similarity, harvest
 from ..operators import dedupe, export, linkage, mail, merge, profiles, queue, stats
 from ..operators import segments as S
 from ..sources import listings, pages, poi, registry
+from . import discover
 
 NOW = "2024-06-01 00:00:00"
 
@@ -439,7 +440,8 @@ add("k01_export", lambda t: export.export_rows(t.leads).select("id", "phone", "h
 add("pages_signals", lambda t: t.pages.select("page_id", rules.is_automated(rules.detect_automation(F.col("html"))).alias("automated"), F.size(X.find_emails(F.col("html"))).alias("n_emails")))
 add("pages_contacts", lambda t: pages.site_contacts(t.pages.select(F.col("page_id").alias("id"), F.lit(0).alias("seq"), "url", "html")).select("id", F.size("phones").alias("phones"), F.size("emails").alias("emails")))
 add("pages_hosts", lambda t: t.pages.select("page_id", X.host_of(F.col("url")).alias("host")), r"select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') as host from pages", "")
-add("w02_w03_dedupe", lambda t: dedupe.dedupe(_mergeable(t)).select("id", "osm_id", F.array_join("merged_ids", ",").alias("merged")))
+add("w02_w03_dedupe", lambda t: dedupe.dedupe(_mergeable(t)).select("id", "osm_id", F.array_join("merged_ids", ",").alias("merged")),
+    "select id, osm_id, case when k % 10 = 0 then 'way/' || cast(k as varchar) end as merged from leads where copy = 0")
 
 
 def _link(t: Tables) -> DataFrame:
@@ -451,7 +453,60 @@ def _link(t: Tables) -> DataFrame:
     return linkage.link(leads, r)
 
 
-add("j02_j03_u06_linkage", _link)
+LINKED = "select id as pos, 'matched' as outcome, case when k % 2 = 0 then first else id end as lead_id from (select *, min(id) over (partition by city, phone) as first from leads) where k % 3 = 1"
+add("j02_j03_u06_linkage", lambda t: _link(t).select("pos", "outcome", "lead_id"), LINKED)
+add("u06_counters", lambda t: linkage.counters(_link(t)), f"select outcome, count(*) as n from ({LINKED}) group by 1")
+
+
+def _foreign(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Records of which every second one belongs to a lead, and their links."""
+    r = t.leads.where("copy = 0").select(
+        F.col("id").alias("pos"), F.lit("nszu").alias("source"), F.col("k").cast("string").alias("ext_id"), "name", F.lit("clinic").alias("category"), "city",
+        F.lit("вул. Нова, 1").alias("address"), "lat", "lon", F.array(F.lit("0441112233"), F.lit("0671112233")).alias("phones"), F.lit("N@X.ua").alias("email"),
+        F.lit("x.ua").alias("website"), F.lit("Іван").alias("contact_person"), F.lit("1").alias("edrpou"),
+        F.create_map(F.lit("listing"), F.array(F.lit("doc.ua"))).alias("automation"), F.lit(True).alias("create_if_missing"),
+    )
+    matched = F.col("pos") % 4 == 0
+    links = r.select("pos", F.when(matched, "matched").otherwise("new").alias("outcome"), F.when(matched, F.col("pos")).alias("lead_id"), F.when(~matched, F.col("pos")).alias("created_by"))
+    return r, links
+
+
+def _fillable(t: Tables) -> DataFrame:
+    return t.leads.withColumns({"external_ids": F.lit(None).cast("map<string,string>"), "contact_person": F.lit(None).cast("string"), "edrpou": F.lit(None).cast("string")})
+
+
+add("u04_fill", lambda t: linkage.fill(_fillable(t), *_foreign(t)).select("id", "address", "phone", "email", "email_valid", "website", "contact_person", "source", F.try_element_at("external_ids", F.lit("nszu")).alias("ext")),
+    """select id, case when m then coalesce(address, 'вул. Нова, 1') else address end as address, case when m then coalesce(phone, '+380441112233') else phone end as phone,
+      case when m then coalesce(email, 'n@x.ua') else email end as email, case when m and email is null then null else email_valid end as email_valid,
+      case when m then coalesce(website, 'https://x.ua') else website end as website, case when m then 'Іван' end as contact_person,
+      case when m and not contains(source, 'nszu') then source || ',nszu' else source end as source, case when m then cast(k as varchar) end as ext
+    from (select *, copy = 0 and id % 4 = 0 as m from leads)""")
+add("u05_created", lambda t: linkage.created(*_foreign(t)).select("pos", "osm_id", "phone", "notes", "website", "size_estimate"),
+    "select id as pos, 'nszu/' || cast(k as varchar) as osm_id, '+380441112233' as phone, 'доп.тел: +380671112233' as notes, 'https://x.ua' as website, 'small' as size_estimate from leads where copy = 0 and id % 4 <> 0")
+add("o07_events", lambda t: t.items.orderBy(F.desc("claimed_at"), F.desc("id")).limit(40).select("id"), "select id from items order by claimed_at desc nulls last, id desc limit 40", "items")
+add("j15_branches_joined", lambda t: stats.branch_counts(t.leads.withColumn("name", F.substring("name", 1, 7))).groupBy("name").agg(F.max("branches").alias("n")), "select substr(name, 1, 7) as name, count(*) as n from leads group by 1")
+add("k05_sheet_order", lambda t: t.leads.orderBy("id").select("id", "status").limit(100), "select id, status from leads order by id limit 100")
+add("k07_api_usage", lambda t: stats.calls_by_month(t.items.select("channel", "claimed_at", F.col("attempts").alias("calls")).withColumnsRenamed({"channel": "service", "claimed_at": "called_at"}).where("called_at is not null")),
+    "select channel as service, strftime(claimed_at, '%Y-%m') as period, cast(sum(attempts) as bigint) as calls from items where claimed_at is not null group by 1, 2", "items")
+add("k08_lead_context", lambda t: t.leads.withColumn("size_estimate", F.lit("small")).select("id", queue.lead_context().alias("c")).select("id", "c.has_website", "c.automation_summary", "c.size"),
+    "select id, coalesce(website_status = 'has_website', false) as has_website, case when has_automation then 'booking:fresha, chat:tawk/tidio' when not has_automation then 'platform:wix' else '—' end as automation_summary, 'small' as size from leads")
+cases("u02_categories", "n_ int", [(0, "cafe,restaurant,bar,bakery,vet")], lambda d: F.lit(",".join(merge.categories(["horeca", "cafe", "vet"]))))
+add("u16_migrated", lambda t: merge.with_columns_of(t.leads.select("id", "name"), t.leads.select("id", "name", "phone", "has_automation").schema).agg(F.count("id").alias("n"), F.count("phone").alias("phones")), "select count(*) as n, cast(0 as bigint) as phones from leads")
+add("s27_paid_lookups", lambda t: listings.paid_lookups(t.spark.createDataFrame([(1, None, '{"places": [{"id": "p"}]}', '{"nationalPhoneNumber": "067 123 45 67", "formattedAddress": "a"}'), (2, "q", None, None), (3, None, None, None), (4, None, "{}", None)], "id long, known_place string, search_body string, details_body string")),
+    "select * from (values (1::bigint, 'p', 2::int, '+380671234567', 'a'), (2, 'q', 0, null, null), (3, null, 0, null, null), (4, null, 1, null, null)) v(id, place_id, calls, phone, address)", "")
+
+
+def _discovered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    leads = t.spark.createDataFrame([(7, "node/1", "Слон", "beauty", "Київ", None, None, None)], "id long, osm_id string, name string, category string, city string, lat double, lon double, phone string")
+    more = {"address": "string", "website": "string", "email": "string", "website_status": "string", "source": "string", "notes": "string", "size_estimate": "string", "email_valid": "boolean", "has_automation": "boolean",
+            "socials": "map<string,string>", "raw_tags": "map<string,string>", "automation": "map<string,array<string>>", "merged_ids": "array<string>", "last_verified_at": "timestamp"}
+    leads = leads.withColumns({k: F.lit(None).cast(v) for k, v in more.items()})
+    runs = t.spark.createDataFrame([(1, "discover", "Львів", "beauty")], "id long, kind string, city string, category string").withColumns({"started_at": t.now, "finished_at": t.now})
+    return discover.discover(leads, raw(t), runs, t.now)
+
+
+add("q08_discover", lambda t: _discovered(t)[0].select("osm_id", "name", "phone", "size_estimate"), "select * from (values ('node/1', 'Слон', '0671234567', 'micro'), ('way/2', 'Лев', '1', 'small')) v(osm_id, name, phone, size_estimate)", "")
+add("q07_run_log", lambda t: _discovered(t)[1].select("city", "new_count", "updated_count"), "select 'Київ' as city, 1::bigint as new_count, 1::bigint as updated_count", "")
 add("entry_hot_by_category", lambda t: hot_by_category(t.leads), f"select category, count(*) as n, sum(cast(phone is not null as int)) as with_phone, sum(cast(email is not null as int)) as with_email from leads where {HOT} group by category")
 
 

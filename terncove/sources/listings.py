@@ -68,3 +68,19 @@ def official_sites(hits: DataFrame) -> DataFrame:
     first = good.groupBy("id").agg(F.min(F.struct("pos", "url")).alias("h")).select("id", F.substring_index("h.url", "?", 1).alias("url"))
     asked = hits.groupBy("id").agg(F.max(F.col("failed").isNotNull()).alias("failed"))
     return asked.join(first, "id", "left").select("id", "url", "failed")
+
+
+PLACE_SEARCH = "struct<places: array<struct<id: string>>>"
+PLACE = "struct<id: string, nationalPhoneNumber: string, internationalPhoneNumber: string, formattedAddress: string>"
+
+
+def paid_lookups(raw: DataFrame) -> DataFrame:
+    """raw: id, known_place, search_body, details_body (NULL: no response). The id search is made only where the place is not
+    known yet; calls are counted only where a response came."""
+    searched = F.col("known_place").isNull()
+    place = F.coalesce("known_place", F.get(F.from_json("search_body", PLACE_SEARCH)["places"], 0)["id"])
+    d = F.from_json("details_body", PLACE)
+    asked = place.isNotNull()
+    calls = (searched & F.col("search_body").isNotNull()).cast("int") + (asked & F.col("details_body").isNotNull()).cast("int")
+    phone = X.normalize_phone(F.coalesce(d["internationalPhoneNumber"], d["nationalPhoneNumber"]))
+    return raw.select("id", place.alias("place_id"), calls.alias("calls"), F.when(asked, phone).alias("phone"), F.when(asked, d["formattedAddress"]).alias("address"))
