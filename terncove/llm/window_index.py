@@ -35,10 +35,8 @@ from .store import fresh_path, materialize
 
 SIZE = 13
 BLOCK_WORDS = 1_000_000
-SEGMENT_WINDOWS = 3_000_000
+SEGMENT_WINDOWS = 1_500_000
 FAN_IN = 4
-#: Ranges to remove are broadcast to the scan of the texts up to this many bytes, else the texts are shuffled.
-BROADCAST_BYTES = 64 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -274,7 +272,7 @@ class WindowIndex:
                 got.append([{"start": s["start"], "length": s["length"], "digest": stretch_digest(words, s["start"], s["length"] + size - 1)} for s in own])
             return {"digests": got}
 
-        joined = with_small(texts, wanted, "doc_id", "inner")
+        joined = texts.join(wanted, "doc_id")
         adds = [("digests", T._parse_datatype_string("array<struct<start:bigint,length:bigint,digest:binary>>"), DIGESTS)]
         found = append(joined, digest, ["text", "spans"], adds, drop=("text", "spans"))
         digests = materialize(found.select("doc_id", F.inline("digests")).distinct(), "digests")
@@ -288,13 +286,6 @@ class WindowIndex:
         return self.verified(docs, self.claims(docs, remember), *earlier)
 
 
-def with_small(large: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
-    """Join to a materialised table, broadcast if its rows are proven to be few bytes."""
-    per_row = F.lit(16) + sum((F.size(f.name) * 48 if f.dataType.typeName() == "array" else F.lit(8)) for f in small.schema)
-    n_bytes = small.select(F.sum(per_row.cast("long")).alias("n")).first()["n"] or 0
-    return large.join(F.broadcast(small) if n_bytes <= BROADCAST_BYTES else small, on, how)
-
-
 def deduplicate(docs: DataFrame, index: WindowIndex | None = None, id_col: str = "doc_id", text_col: str = "text", *earlier: DataFrame) -> DataFrame:
     """All input columns, and n_words, n_removed, kept_text: the words outside removed windows, joined by one space."""
     spark = docs.sparkSession
@@ -303,7 +294,7 @@ def deduplicate(docs: DataFrame, index: WindowIndex | None = None, id_col: str =
     spans = index.add(plain, *earlier, remember=remember).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "digest")).alias("_spans"))
     spans = materialize(spans, "removed").withColumnRenamed("doc_id", "_doc")
     keyed = docs.drop("n_words", "n_removed", "kept_text").withColumn("_doc", F.col(id_col).cast("long"))
-    joined = with_small(keyed, spans, "_doc", "left").drop("_doc")
+    joined = keyed.join(spans, "_doc", "left").drop("_doc")
     size = index.size
 
     def cut(texts: list[str | None], spans: list[list[dict] | None]) -> dict[str, list]:
