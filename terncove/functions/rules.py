@@ -57,16 +57,32 @@ def is_public_facility(tags: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def detect_automation(html: Column) -> Column:
     """map<kind, vendors> of the signatures a page matches, in their order; a hint only where no booking vendor is known."""
-    hits = F.array(*[F.when(matches(html, p), F.struct(F.lit(k).alias("kind"), F.lit(v).alias("vendor"))) for p, k, v in C.SIGNATURES])
-    hits = F.filter(hits, lambda h: h.isNotNull())
-    kinds = F.array_distinct(F.transform(hits, lambda h: h["kind"]))
-    vendors = lambda k: F.array_distinct(F.transform(F.filter(hits, lambda h: h["kind"] == k), lambda h: h["vendor"]))
-    found = F.map_from_arrays(kinds, F.transform(kinds, vendors))
-    hint = ~F.array_contains(kinds, "booking") & matches(html, C.BOOKING_HINT)
-    hinted = F.map_concat(found, F.create_map(F.lit("booking_hint"), F.array(F.lit("custom_or_manual"))))
-    return F.when(html.isNull(), F.create_map().cast("map<string,array<string>>")).when(hint, hinted).otherwise(found)
+
+    def hits(page: Column) -> Column:
+        flags = [F.when(page.rlike(f"(?U){p}"), F.struct(F.lit(k).alias("kind"), F.lit(v).alias("vendor"))) for p, k, v in C.SIGNATURES]
+        return F.filter(F.array(*flags), lambda h: h.isNotNull())
+
+    def by_kind(found: Column, kinds: Column) -> Column:
+        of = lambda k: F.array_distinct(F.transform(F.filter(found, lambda h: h["kind"] == k), lambda h: h["vendor"]))
+        return F.map_from_arrays(kinds, F.transform(kinds, of))
+
+    def with_hint(kinds: Column, found: Column, page: Column) -> Column:
+        known = by_kind(found, kinds)
+        hinted = F.map_concat(known, F.create_map(F.lit("booking_hint"), F.array(F.lit("custom_or_manual"))))
+        return F.when(~F.array_contains(kinds, "booking") & page.rlike(f"(?U){C.BOOKING_HINT}"), hinted).otherwise(known)
+
+    def of_page(page: Column) -> Column:
+        return let(hits(page), lambda found: let(F.array_distinct(F.transform(found, lambda h: h["kind"])), lambda kinds: with_hint(kinds, found, page)))
+
+    # patterns are in lower case, so is the page: cheaper than matching in any case
+    return F.when(html.isNull(), F.create_map().cast("map<string,array<string>>")).otherwise(let(F.lower(html), of_page))
 
 
 def merge_automation(mine: Column, theirs: Column) -> Column:

@@ -79,7 +79,6 @@ def greedy_pairs(pairs: DataFrame) -> DataFrame:
             .join(first.select(F.col("node").alias("right_id"), F.col("first").alias("fr")), "right_id")
             .where("edge = fl and edge = fr").drop("fl", "fr")
         )
-        chosen = cut(chosen)
         taken = chosen if taken is None else taken.unionByName(chosen)
         used = chosen.select(F.explode(F.array("left_id", "right_id")).alias("node"))
         left = cut(
