@@ -9,7 +9,7 @@ from .sharding import op3_sharding
 from .simhash import op2_simhash
 from .token_counts import op5_token_counts
 from .toxicity import op6_toxicity
-from .window_index import op10_window_dedup
+from .window_index import OP10_SQL, op10_window_dedup
 
 QUERIES = {
     "op1_nearest": op1_nearest,
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_window_dedup": op10_window_dedup,
 }
-ORACLE_SQL = {"op1_nearest": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_nearest": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op10_window_dedup": OP10_SQL}

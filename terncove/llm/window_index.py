@@ -322,3 +322,19 @@ def deduplicate(docs: DataFrame, index: WindowIndex | None = None, id_col: str =
 def op10_window_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with w as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+g as (
+  select r, doc_id, i, array_to_string(ws[i : i + 12], ' ') as words
+  from (select r, doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+f as (select words, min(doc_id) as first from g group by words),
+c as (select distinct r, unnest(range(i, i + 13)) as p from g join f using (words) where f.first < g.doc_id),
+t as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+k as (select t.r, string_agg(word, ' ' order by t.p) as kept, count(*) as n from t anti join c on t.r = c.r and t.p = c.p group by t.r)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(k.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (r)
+"""
