@@ -27,8 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder inside the shared one."""
+    return f"{shared_dir(spark)}/terncove-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/terncove/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables: for when results are written. Results not yet computed would lose theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
