@@ -269,6 +269,16 @@ def similarity(a: str, b: str) -> float:
     return 0.95 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
 
 
+def similarity_from(a: str, b: str, least: float) -> float:
+    """``similarity`` where it is ``least`` or more, else anything smaller: bounds spare most alignments."""
+    if not a or not b or a == b or a in b or b in a:
+        return similarity(a, b)
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return 0.0
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.quick_ratio() >= least else 0.0
+
+
 def profile_similarity(a: str, b: str) -> float:
     """``similarity`` where fewer than four letters in common prove nothing."""
     if a and b and a != b and min(len(a), len(b)) < 4 and (a in b or b in a):

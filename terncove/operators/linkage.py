@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.harvest import similarity
+from ..functions.harvest import similarity_from
 from ..functions.rules import estimate_size, merge_automation
 
 NEAR_M = 150.0
@@ -99,13 +99,14 @@ def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
             best, best_score, alone = None, 0.0, []
             stems = set(rec["stems"])
             for other in by_city.get(rec["city"], ()):
-                score = similarity(rec["norm"], other["norm"])
-                if score < NAME_LEAST:
+                near = usable(rec["lat"]) and usable(other["lat"]) and _metres(rec["lat"], rec["lon"], other["lat"], other["lon"]) <= NEAR_M
+                same = bool(rec["house"]) and rec["house"] == other["house"] and bool(stems & other["stems"])
+                least = NAME_LEAST if near or same else NAME_ALONE  # elsewhere only nearly equal names count
+                score = similarity_from(rec["norm"], other["norm"], least)
+                if score < least:
                     continue
                 if score >= NAME_ALONE:
                     alone.append(other)
-                near = usable(rec["lat"]) and usable(other["lat"]) and _metres(rec["lat"], rec["lon"], other["lat"], other["lon"]) <= NEAR_M
-                same = bool(rec["house"]) and rec["house"] == other["house"] and bool(stems & other["stems"])
                 if score > best_score and (near or same):
                     best, best_score = other, score
             row = best or (alone[0] if len(alone) == 1 else None)
