@@ -94,9 +94,12 @@ def solve_dual(classes: DataFrame, targets: DataFrame, cap: float, steps: int =
         step = step.withColumns({"lo": lo, "hi": hi})
         newton = F.col("lam") + (F.col("target") - F.col("words")) / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
-        step = step.withColumn("lam", F.when(F.col("full"), 0.0).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2))
-        state = materialize(step.drop("words", "slope"), "mix-dual")
-    return state
+        # a solved source stays where it is: its step is rounding error, which may point out of the bracket
+        solved = F.abs(F.col("target") - F.col("words")) <= 1e-11 * F.col("target")
+        new = F.when(F.col("full"), 0.0).when(solved, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        state = materialize(step.withColumn("lam", new).drop("words", "slope"), "mix-dual")
+    # sums in another order differ in their last digits; rates do not, once those digits are gone
+    return state.withColumn("lam", F.round("lam", 9))
 
 
 def _copies(classes: DataFrame, state: DataFrame, cap: float) -> DataFrame:

@@ -319,6 +319,18 @@ def test_mixture_meets_its_targets(spark, empty, odd):
     assert mixing.repeat_rows(odd).columns == odd.columns
 
 
+def test_rates_do_not_depend_on_the_order_of_sums(spark):
+    r = random.Random(8)
+    sizes = [int(r.lognormvariate(5, 1.5)) + 1 for _ in range(4000)]
+    classes = spark.createDataFrame([("a", x, 1) for x in sizes], "source string, size long, n long").groupBy("source", "size").agg(F.sum("n").alias("n"))
+    targets = spark.createDataFrame([("a", sum(sizes), 0.618 * sum(sizes))], "source string, source_size long, target double")
+    lams = [mixing.solve_dual(classes.repartition(p), targets, 2.0, steps).first()["lam"] for p, steps in ((3, 10), (7, 14), (5, 20))]
+    assert len(set(lams)) == 1 and lams[0] < 0
+    m = sum(sizes) / len(sizes)
+    words = sum(2 * x / (1 + np.exp(-lams[0] * x / m)) for x in sizes)
+    assert abs(words / sum(sizes) - 0.618) < 1e-6
+
+
 def test_word_counts(docs):
     got = {r.doc_id: r.n for r in docs.select("doc_id", mixing.word_count(F.col("text")).alias("n")).collect()}
     assert got == {i: len(WORD.findall(t or "")) for i, t in enumerate(TEXTS)}
