@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Rows are handed to Python functions in groups of about this many characters.
+#: Rows are handed to Python functions in groups of about this many characters, and of this many rows at most.
 GROUP_CHARS = 2_000_000
+GROUP_ROWS = 1_000
 
 
 def groups_of(texts: list[str | None], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
@@ -38,10 +39,10 @@ def append(
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t, _ in adds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(reads[0])).to_pylist()
+        for piece in (b.slice(at, GROUP_ROWS) for b in batches for at in range(0, b.num_rows, GROUP_ROWS)):
+            texts = piece.column(piece.schema.get_field_index(reads[0])).to_pylist()
             for lo, hi in groups_of(texts):
-                part = batch.slice(lo, hi - lo)
+                part = piece.slice(lo, hi - lo)
                 rest = [part.column(part.schema.get_field_index(r)).to_pylist() for r in reads[1:]]
                 made = fn(texts[lo:hi], *rest)
                 columns = [part.column(part.schema.get_field_index(n)) for n in names]

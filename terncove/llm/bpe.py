@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrow import append
-from .units import LONGEST_KEY, SYNC, UNIT, Memo
+from .units import LONGEST_KEY, SYNC, UNIT, Memo, held
 
 WINDOW_DOUBLINGS = 4  # a window of 16 characters
 CUT_BITS = 10  # chunks of about 1,000 characters beyond the least length
 LEAST, MOST = 256, 8192
-MEMO_UNITS = 600_000
-MEMO_CHUNKS = 20_000
+MEMO_UNITS = 300_000
+MEMO_CHUNKS = 10_000
 _MULTIPLIER = 0x9E3779B1
 
 
@@ -153,14 +153,9 @@ class ChunkEncoder:
         return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder; it outlives a task because Spark reuses Python workers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def encode_documents(

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from .arrow import append
 from .components import components
 from .store import decide, materialize, row_key, slots
+from .units import forget
 
 SHARD = 4096
 BATCH = 32_768  # fingerprints that one search holds, unless a tile is larger
@@ -203,7 +204,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 
     base = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(f"keep_{k}") for k in keep], F.col(text_col).alias("text"))
     adds = [("fp", T.LongType(), pa.int64())]
-    rows = materialize(append(base, lambda t: {"fp": simhash(t, words).view(np.int64)}, ["text"], adds, drop=("text",)), "fingerprints")
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        forget()
+        return {"fp": simhash(texts, words).view(np.int64)}
+
+    rows = materialize(append(base, run, ["text"], adds, drop=("text",)), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(distinct, radius))
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

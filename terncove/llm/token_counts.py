@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .arrow import append
 from .bpe import tokenizer_file
-from .units import LONGEST_KEY, UNIT, Memo
+from .units import LONGEST_KEY, UNIT, Memo, held
 
 # Fixed value: the splitting pattern of this family of byte-level vocabularies.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -190,13 +190,8 @@ class PrefixCounts:
         return self.ends[k] + inside
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return held(f"counter {path}", lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, budgets: tuple[int, ...] = (), text_col: str = "text") -> DataFrame:

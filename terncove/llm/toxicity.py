@@ -19,7 +19,6 @@ empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import string
 from dataclasses import dataclass, field
@@ -32,15 +31,15 @@ from pyspark.sql import types as T
 
 from .arrow import append
 from .simhash import simhash
-from .units import Memo
+from .units import Memo, forget
 
-TOXIC_SAMPLE = 800
-CLEAN_SAMPLE = 2000
+TOXIC_SAMPLE = 600
+CLEAN_SAMPLE = 1500
 ALIKE = 12  # bits by which SimHash fingerprints of near copies differ at most
 CHAIN = 256  # words; a text is cut into chains of this length
 LEAST_DOCUMENTS = 3  # of the sample in which a feature occurs to get a weight
 STEPS = 70
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -158,8 +157,10 @@ def fit(texts: list[str], toxic: list[int], clean_share: float = 1.0) -> Crf:
         u = np.exp(np.clip(forward[seq - 1], -50, 50))
         x = np.exp(np.clip(scores[seq] + backward[seq], -50, 50))
         e = np.exp(crf.trans)
-        joint = np.stack([np.full(len(u), e[0, 0]), e[0, 1] * x, e[1, 0] * u, e[1, 1] * u * x])
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        parts = [e[0, 0], e[0, 1] * x, e[1, 0] * u, e[1, 1] * u * x]
+        total = parts[0] + parts[1] + parts[2] + parts[3]
+        expected = np.array([(w / total).sum() for w in parts]).reshape(2, 2)
+        del parts, total, u, x
         g = np.r_[g_w, (observed - expected - 0.02 * crf.trans).ravel()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         delta = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -214,9 +215,6 @@ class Scorer:
         return score.tolist(), found
 
 
-_SCORERS: dict[str, Scorer] = {}  # the worker's
-
-
 def held_out(doc_id) -> F.Column:
     """Whether crc32 of the id as text leaves remainder 0 by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -253,13 +251,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, crf: Crf, text_col: str = "text", spans: bool = True) -> DataFrame:
     """All input columns, toxicity (0 to 1) and toxic_spans (character offsets and the strongest marginal of each)."""
-    name = hashlib.blake2b(repr((sorted(crf.weights.items()), crf.calibration.tolist())).encode(), digest_size=16).hexdigest()
+    scorers: list[Scorer] = []  # one a task: its memo goes when the task ends
 
     def run(texts: list[str | None]) -> dict[str, list]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(crf)
-        values, found = _SCORERS[name](texts, spans)
+        if not scorers:
+            forget()
+            scorers.append(Scorer(crf))
+        values, found = scorers[0](texts, spans)
         return {"toxicity": values, "toxic_spans": found}
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))

@@ -6,6 +6,7 @@ alternative of the splitting pattern lets white space follow anything else. Text
 
 from __future__ import annotations
 
+import gc
 import re
 
 # The Unicode property White_Space.
@@ -34,3 +35,21 @@ class Memo(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """A worker's lasting state under ``key``. A worker serves many stages; it keeps the state of one operator at a time."""
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Drop the state that earlier stages left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
