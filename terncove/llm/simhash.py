@@ -33,7 +33,8 @@ from pyspark.sql import types as T
 
 from .arrow import append
 from .components import components
-from .store import decide, materialize, row_key, slots
+from .jaccard import near_sets
+from .store import decide, materialize, slots
 from .units import forget
 
 SHARD = 4096
@@ -219,11 +220,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "class_id", *[F.col(f"keep_{k}").alias(k) for k in keep])
 
 
-def drop_near(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id, with all its columns."""
-    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    rows = near_duplicates(keyed, words, radius, "_id", "text", keep=("_fp",))
-    rows = materialize(rows.select(F.col("doc_id").alias("_id"), "_fp", "class_id"), "near-rows")
+def drop_near(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies (``jaccard.near_sets``), the one with the smallest id, with all its columns."""
+    rows = materialize(near_sets(docs, words, id_col, text_col), "near-classes")
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_fp").alias("fp"))
     first = rows.groupBy("class_id").agg(F.min(order).alias("first"))
     stays = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_fp").alias("fp")).eqNullSafe(F.col("first"))

@@ -69,3 +69,26 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
+
+
+def test_near_stage_drops_texts_of_similarity_four_fifths(spark):
+    r = random.Random(11)
+    texts = [[f"w{r.randrange(3000)}" for _ in range(r.randint(8, 160))] for _ in range(60)]
+    for t in texts[:40]:  # copies with changed words, similar and not
+        copy = list(t)
+        for _ in range(r.randint(1, 3)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+        texts.append(copy)
+    base = [f"y{k}" for k in range(200)]
+    texts += [[*base[:k], f"z{k}", *base[k + 1 :]] for k in range(0, 200, 4)]
+    texts += [[*base[:30], *[f"v{i}_{k}" for k in range(40)]] for i in range(50)]  # share a passage only
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(x.doc_id for x in corpus_pipeline.drop_near(spark, docs, "").collect())
+    assert got == sorted(set(root)) and len(got) < len(texts) - 50
