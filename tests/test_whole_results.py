@@ -1,0 +1,22 @@
+"""Queries over whole tables against the registered SQL without its cuts of rows."""
+
+import pytest
+
+from terncove.plans import catalogue
+
+from .test_catalogue import DIR, duck, rows  # noqa: F401
+
+#: Query, and what its SQL is freed of: (text, what stands there instead).
+CUTS = [
+    ("a06_shared_phones", [(" where l_orderkey < 400", ""), ("l_partkey % 400", "l_partkey")]),
+]
+
+
+@pytest.mark.parametrize("name, cuts", CUTS, ids=[c[0] for c in CUTS])
+def test_whole(spark, duck, name, cuts):  # noqa: F811
+    sql = catalogue.ORACLE[name]
+    for cut, instead in cuts:
+        sql = sql.replace(cut, instead)
+    want = duck.execute(sql).df()
+    got = catalogue.QUERIES[name](spark, DIR).toPandas()
+    assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
