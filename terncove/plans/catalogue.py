@@ -483,9 +483,9 @@ add("u04_fill", lambda t: linkage.fill(_fillable(t), *_foreign(t)).select("id",
     from (select *, copy = 0 and id % 4 = 0 as m from leads)""")
 add("u05_created", lambda t: linkage.created(*_foreign(t)).select("pos", "osm_id", "phone", "notes", "website", "size_estimate"),
     "select id as pos, 'nszu/' || cast(k as varchar) as osm_id, '+380441112233' as phone, 'доп.тел: +380671112233' as notes, 'https://x.ua' as website, 'small' as size_estimate from leads where copy = 0 and id % 4 <> 0")
-add("o07_events", lambda t: t.items.orderBy(F.desc("claimed_at"), F.desc("id")).limit(40).select("id"), "select id from items order by claimed_at desc nulls last, id desc limit 40", "items")
+add("o07_events", lambda t: t.items.orderBy(F.desc("claimed_at"), F.desc("id")).select("id"), "select id from items order by claimed_at desc nulls last, id desc limit 40", "items")
 add("j15_branches_joined", lambda t: stats.branch_counts(t.leads.withColumn("name", F.substring("name", 1, 7))).groupBy("name").agg(F.max("branches").alias("n")), "select substr(name, 1, 7) as name, count(*) as n from leads group by 1")
-add("k05_sheet_order", lambda t: t.leads.orderBy("id").select("id", "status").limit(100), "select id, status from leads order by id limit 100")
+add("k05_sheet_order", lambda t: t.leads.orderBy("id").select("id", "status"), "select id, status from leads order by id limit 100")
 add("k07_api_usage", lambda t: stats.calls_by_month(t.items.select("channel", "claimed_at", F.col("attempts").alias("calls")).withColumnsRenamed({"channel": "service", "claimed_at": "called_at"}).where("called_at is not null")),
     "select channel as service, strftime(claimed_at, '%Y-%m') as period, cast(sum(attempts) as bigint) as calls from items where claimed_at is not null group by 1, 2", "items")
 add("k08_lead_context", lambda t: t.leads.withColumn("size_estimate", F.lit("small")).select("id", queue.lead_context().alias("c")).select("id", "c.has_website", "c.automation_summary", "c.size"),
