@@ -72,6 +72,8 @@ runs as (
   from {orders})
 """
 VIEWS = {"leads": LEADS, "items": ITEMS, "runs": RUNS}
+#: The engine's items are made from all events; the SQL's view above still leaves six of seven out.
+WHOLE = VIEWS | {"items": ITEMS.replace(" where event_id % 7 = 0", "")}
 TABLES = ("customer", "nation", "events", "orders", "supplier", "lineitem", "part", "region", "pages", "documents")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,8 +88,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            used = [t for t in TABLES if "{" + t + "}" in VIEWS[name]]
-            view = self.spark.sql(f"with {VIEWS[name]} select * from {name}", **{t: getattr(self, t) for t in used})
+            used = [t for t in TABLES if "{" + t + "}" in WHOLE[name]]
+            view = self.spark.sql(f"with {WHOLE[name]} select * from {name}", **{t: getattr(self, t) for t in used})
             return with_maps(view) if name == "leads" else view
         if name in TABLES:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -330,7 +332,7 @@ add("q04_results", lambda t: queue.apply_results(_full_items(t), _reports(t)).se
     FOLD + "select id, last as status, case when status = 'claimed' and id % 2 = 0 then 't' end as message, case when last = 'replied' then 'ok' end as reply, case when status = 'claimed' and id % 2 = 1 then 't' end as error from s", "items")
 add("q04_result_events", lambda t: queue.result_events(t.items, _reports(t).where("seq = 1"), t.leads).select("business_id", "old_status", "new_status", "comment"),
     "select l.id as business_id, coalesce(crm_status, 'new') as old_status, case when i.id % 2 = 0 and coalesce(crm_status, 'new') = 'new' then 'in_progress' else coalesce(crm_status, 'new') end as new_status, 'Instagram @' || i.handle || ': ' || case when i.id % 2 = 0 then 'надіслано' else 'не вдалося' end || chr(10) || 't' as comment from items i join leads l on l.id = i.business_id where i.status = 'claimed'", "leads items")
-add("q07_pending", lambda t: t.runs.select("city", "category").distinct().join(t.runs.where("finished_at is not null and id % 50 = 0").select("city", "category").distinct(), ["city", "category"], "left_anti"),
+add("q07_pending", lambda t: t.runs.select("city", "category").distinct().join(t.runs.where("finished_at is not null").select("city", "category").distinct(), ["city", "category"], "left_anti"),
     "select distinct city, category from runs except select city, category from runs where finished_at is not null and id % 50 = 0", "runs")
 
 # --- functions (F) on cases ---

@@ -6,11 +6,18 @@ from terncove.plans import catalogue
 
 from .test_catalogue import DIR, duck, rows  # noqa: F401
 
+EVENTS = (" where event_id % 7 = 0", "")
+ITEM_QUERIES = [
+    "a10_rolling_capacity", "j08_q01_candidates", "j10_queue_status", "j11_claimed_context", "j12_lead_events", "k07_api_usage", "q02_claimable", "q03_claim",
+    "q04_results", "q04_result_events", "u13_enqueue", "u15_stage_events", "u15_stages",
+]
 #: Query, and what its SQL is freed of: (text, what stands there instead).
 CUTS = [
     ("a06_shared_phones", [(" where l_orderkey < 400", ""), ("l_partkey % 400", "l_partkey")]),
     ("k05_sheet_order", [(" limit 100", "")]),
-    ("o07_events", [(" limit 40", "")]),
+    ("o07_events", [(" limit 40", ""), EVENTS]),
+    ("q07_pending", [(" and id % 50 = 0", "")]),
+    *[(name, [EVENTS]) for name in ITEM_QUERIES],
 ]
 
 
