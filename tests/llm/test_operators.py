@@ -388,6 +388,21 @@ def test_pages(spark):
     assert html_text.extract(df.where("1 = 0")).count() == 0
 
 
+def test_names_of_page_state_delete_nothing(spark):
+    bodies = [
+        "<body class='single has-sidebar no-comments'><article><p>Kept.</p></article></body>",
+        "<body class='menu'><p>Kept.</p></body>",
+        "<div class='layout-with-menu'><p>Kept.</p></div>",
+        "<article class='post no-comments'><p>Kept.</p></article>",
+        "<main id='social'><p>Kept.</p></main>",
+        "<div class='overlay'><div><article><p>Kept.</p></article></div>no</div>",
+        "<article><section id='discussion'><p>Kept.</p></section><div class='related'><p>no</p></div><section id='comments'>no</section></article>",
+        "<article><p>Kept.</p><div class='box ad'>no</div><div class='nav-menu'>no</div></article>",
+    ]
+    df = spark.createDataFrame([(i, f"https://h{i}.com/", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: "Kept." for i in range(len(bodies))}
+
+
 def test_common_lines_are_longest():
     def length(a, b):
         best_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
