@@ -403,6 +403,11 @@ def test_names_of_page_state_delete_nothing(spark):
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: "Kept." for i in range(len(bodies))}
 
 
+def test_empty_and_embedded_elements_keep_text():
+    source = "<article>One <svg viewBox='0 0'/> two <svg><text>no</text></svg><math><mi>x</mi></math><math/> <object data=a>three</object><iframe src='a'/> four</article>"
+    assert [x.text for x in html_text.page_lines(source)] == ["One two x three four"]
+
+
 def test_common_lines_are_longest():
     def length(a, b):
         best_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
