@@ -1,4 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles: all pairs of at least 0.8, none left to chance.
+"""Near copies by the Jaccard similarity of word shingles: all pairs of at least 0.8, none left to chance.
+
+Trees first: SimHash fingerprints of the shingle sets within ``RADIUS`` bits of each other (``bktree``) name pairs; those whose sets are
+similar link. Similar sets are expected to differ in up to 10 of 64 bits, so trees of a radius that can be searched miss many; the
+rest is found by prefixes.
 
 Shingles have one order for all texts. Two sets of similarity 0.8 or more share at least four fifths of the larger, so
 their first common shingle lies in the first ``n - ceil(0.8 n) + 1`` of each (its prefix), and texts that share no prefix
@@ -6,8 +10,13 @@ shingle need no comparison. Any order is right; this one is by hash with shingle
 last, so passages that many texts share do not fill prefixes. The sample decides about speed only.
 
 Pairs are counted by the prefix shingles they share: what is common lies in both prefixes or beyond the shorter-reaching
-one, so ``shared + max(n - prefix)`` bounds the intersection. What passes is compared by its whole sets. Large groups are
-first linked to one member each, and only pairs of different components are looked at afterwards.
+one, so ``shared + max(n - prefix)`` bounds the intersection. A second bound compares how many shingles of either set fall into each
+of ``CELLS`` cells: differences there are differences of the sets. What passes both is compared by its whole sets.
+
+A group of near copies would give the square of its size in pairs. So texts are first compared with one other of those that have the
+same least shingle in one of ``ORDERS`` orders (similar sets have with probability 0.8 or more), as many pairs as texts; only pairs
+whose texts are in different components after ``ROUNDS`` rounds of this are looked for by prefixes. What stays quadratic is a group
+of texts that are nearly similar to each other, but not quite: all its pairs are told apart by the bounds.
 
 Sets are of 64-bit hashes. Texts without words have the empty set and count as equal; fewer words than a shingle make one.
 """
@@ -20,29 +29,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append
+from .arrow import append, trimmed
+from .bktree import near_links
 from .components import components
+from .fingerprints import bit_counts, majority, shingle_set
 from .store import decide, materialize, row_key
 from .units import forget
 
 SAMPLE = 8  # one text of so many is looked at to find frequent shingles
 OFTEN = 4  # times in the sample
 FREQUENT = 50_000  # shingles that are put last at most
-LARGE = 32  # texts with a prefix shingle, from which they are linked to one of them first
-
-
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Distinct int64 hashes of a text's space-joined shingles, lower-cased (A-Z)."""
-    from xxhash import xxh64_intdigest
-
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if not parts:
-        return np.empty(0, np.int64)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.r_[0, ends[:-1] + 1][: max(1, len(parts) - words + 1)]
-    stops = ends[min(words, len(parts)) - 1 :]
-    return np.unique(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)], "<u8")).view(np.int64)
+RADIUS = 3
+CELLS = 256
+ORDERS = 4
+ROUNDS = 2
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def name_of(found: np.ndarray) -> int:
@@ -53,7 +54,9 @@ def name_of(found: np.ndarray) -> int:
 
 def prefix(found: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The first shingles of a set, of which similar sets share one; ``last``: sorted shingles that come after all others."""
-    late = np.isin(found, last)
+    late = np.zeros(len(found), bool)
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
     return np.r_[found[~late], found[late]][: len(found) - (4 * len(found) + 4) // 5 + 1]
 
 
@@ -74,34 +77,68 @@ def _sizes_fit() -> Column:
     return (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def least_shingles(found: np.ndarray) -> np.ndarray:
+    """The least shingle of a set in each of ``ORDERS`` orders, as int64 (zeros for the empty set)."""
+    if not len(found):
+        return np.zeros(ORDERS, np.int64)
+    h = found.view(np.uint64)
+    return np.array([((h * odd) ^ ((h * odd) >> np.uint64(31))).min() for odd in _ODD[:ORDERS]], np.uint64).view(np.int64)
+
+
+def cells(found: np.ndarray) -> bytes:
+    """How many shingles fall into each cell, 255 at most."""
+    counts = np.bincount((found.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _can_be_similar(batches):
+    """Pairs a, b, na, nb with the cells of both to those that may be similar."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("cells_a", "cells_b"))
+        na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+        common = (na + nb - np.abs(x - y).sum(axis=1, dtype=np.int64)) // 2
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(9 * common >= 4 * (na + nb)))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b, na, nb) whose sets are similar, as edges a, b."""
-    pairs = materialize(pairs, "near-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_fp")).alias("r"))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("cells").alias(f"cells_{c}"))
+    pairs = materialize(pairs.distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(trimmed(_can_be_similar), "a long, b long"), "near-pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_fp")).alias("r"))
     chosen = materialize(chosen.select("node", "r._id", "r._fp"), "near-texts")
 
     def run(texts: list[str | None]) -> dict[str, list]:
         forget()
-        return {"found": [shingles(t, words) for t in texts]}
+        return {"found": [shingle_set(t, words) for t in texts]}
 
     texts = decide(docs.select(id_col, F.col(text_col).alias("text")), chosen, "inner", id_col, "text").select("text", "node")
     sets = append(texts, run, ["text"], [("found", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], drop=("text",))
     sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
+    both = both.withColumns({"na": F.size("fa"), "nb": F.size("fb")})
     return materialize(both.where(_similar(F.size(F.array_intersect("fa", "fb")))).select("a", "b"), "near-links")
 
 
 def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: _id, _fp (``row_key``) and class_id, equal for texts that a chain of similar pairs connects."""
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    adds = [("node", T.LongType(), pa.int64()), ("n", T.IntegerType(), pa.int32()), ("prefix", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
+    long, longs = (T.LongType(), pa.int64()), (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
+    adds = [("node", *long), ("n", T.IntegerType(), pa.int32()), ("fp", *long), ("least", *longs), ("cells", T.BinaryType(), pa.binary()), ("prefix", *longs)]
 
     def prefixes(of: DataFrame, last: np.ndarray) -> DataFrame:
         def run(texts: list[str | None]) -> dict[str, list]:
             forget()
-            found = [shingles(t, words) for t in texts]
-            return {"node": [name_of(x) for x in found], "n": [len(x) for x in found], "prefix": [prefix(x, last) for x in found]}
+            out: dict[str, list] = {name: [] for name, *_ in adds}
+            for t in texts:
+                found = shingle_set(t, words)
+                out["node"].append(name_of(found))
+                out["n"].append(len(found))
+                out["fp"].append(int(majority(bit_counts(found.view(np.uint64)), len(found)).view(np.int64)) if len(found) else 0)
+                out["least"].append(least_shingles(found))
+                out["cells"].append(cells(found))
+                out["prefix"].append(prefix(found, last))
+            return out
 
         return append(of, run, ["text"], adds, drop=("text",))
 
@@ -110,21 +147,43 @@ def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     last = np.sort(np.array([r.h for r in often.orderBy(F.desc("k"), "h").limit(FREQUENT).select("h").collect()], np.int64))
 
     rows = materialize(prefixes(keyed, last), "near-rows")
+    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "least", "cells")])
+    nodes = materialize(nodes, "near-nodes")
     w = Window.partitionBy("h")
-    held = rows.select("node", "n", F.explode("prefix").alias("h")).withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w), "k": F.count("*").over(w)})
-    held = materialize(held.where("low < high").select("h", "node", "n", "low", "k").distinct(), "near-shared")
-
-    large = held.where(F.col("k") >= LARGE)
-    sizes = large.where("node = low").select("h", F.col("n").alias("na"))
-    stars = large.where("node > low").join(sizes, "h").select(F.col("low").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb"))
-    stars = stars.where(_sizes_fit()).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(_possible())
-    first = _verified(stars.drop("c"), rows, docs, words, id_col, text_col)
-    joined = components(first)
-    named = held.join(joined, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
+    held = rows.select("node", "n", F.explode("prefix").alias("h")).withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)})
+    held = materialize(held.where("low < high").select("h", "node", "n").distinct(), "near-shared")
+
+    links = _verified(near_by_trees(nodes), nodes, rows, docs, words, id_col, text_col)
+    roots = components(links)
+    for k in range(ROUNDS):
+        links = links.unionByName(_verified(near_by_least(nodes, roots, k), nodes, rows, docs, words, id_col, text_col))
+        roots = components(links)
+    named = held.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
     one = named.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     two = named.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = one.join(two, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit())
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(_possible())
-    second = _verified(pairs.drop("c"), rows, docs, words, id_col, text_col)
-    roots = components(first.union(second))
+    roots = components(links.unionByName(_verified(pairs.drop("c"), nodes, rows, docs, words, id_col, text_col)))
     return rows.select("_id", "_fp", "node").join(roots, "node", "left").select("_id", "_fp", F.coalesce("root", "node").alias("class_id"))
+
+
+def near_by_least(nodes: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """Pairs a, b, na, nb: each text with one (another for each ``k``) of those that have the same least shingle in one of the orders."""
+    named = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("least").alias("o", "h"))
+    first = F.min(F.struct(F.xxhash64("root", F.lit(k)).alias("order"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")))
+    led = named.withColumn("first", first.over(Window.partitionBy("o", "h"))).where(F.col("root") != F.col("first.ra"))
+    return led.select("first.a", F.col("node").alias("b"), "first.na", F.col("n").alias("nb")).where(_sizes_fit())
+
+
+def near_by_trees(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``nodes``: node, n, fp (materialised). Pairs a, b, na, nb that BK-trees name: texts of one fingerprint with the first of them, and the
+    first text of each fingerprint with that of the first other fingerprint within ``radius`` bits."""
+    of_print = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"))
+    of_print = materialize(of_print.select("fp", F.col("first.node").alias("node"), F.col("first.n").alias("n")), "near-prints")
+    same = nodes.join(of_print.select("fp", F.col("node").alias("a"), F.col("n").alias("na")), "fp").where("node <> a")
+    same = same.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    found = near_links(of_print.select("fp"), radius, whole=False).select(F.least("a", "b").alias("fa"), F.greatest("a", "b").alias("fb")).distinct()
+    sides = found.join(of_print.select(F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("n").alias("na")), "fa").join(
+        of_print.select(F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("n").alias("nb")), "fb"
+    )
+    return same.unionByName(sides.select("a", "b", "na", "nb")).where(_sizes_fit())

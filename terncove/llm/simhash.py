@@ -1,204 +1,38 @@
 """SimHash near-dedup with BK-trees.
 
 A document's fingerprint has bit b set if more than half of its shingles' hashes have it. Two fingerprints link at
-``radius`` or fewer differing bits; linked documents form components.
-
-Search: fingerprints that differ in at most 3 of 64 bits agree in one of 4 blocks of 16 bits, so each distinct
-fingerprint goes to 4 shards, named by (block, its bits there), and every link lies inside a shard. A shard's
-fingerprints form a BK-tree: the children of a node are keyed by their Hamming distance to it, and a search for ``x`` at
-distance ``d`` from a node follows only the edges from ``d - radius`` to ``d + radius``. All shards of a batch are built
-and searched together, level by level, with vector operations. A shard above ``SHARD`` fingerprints is dealt over
-pairs of sub-shards (tiles), each a tree of bounded size searched by the fingerprints of the other; nothing is dropped.
-The method's usual broadcast of shard trees would grow with the corpus; here a tree lives in the task that owns the
-shard and its queries are shuffled to it instead, which has no size limit.
+``radius`` or fewer differing bits; linked documents form components. Links are found by BK-trees over shards of the
+fingerprints (``bktree``). The method's usual broadcast of shard trees would grow with the corpus; here a tree lives in the task
+that owns the shard and the fingerprints that can have links there are shuffled to it instead, which has no size limit.
 
 A shard reports its components as stars, at most one edge a fingerprint, and ``components`` joins these across shards. Equal
 fingerprints are one node, so copies never multiply links.
 
+``drop_near`` keeps one document of each group of near copies: there trees over fingerprints of five-word shingles name pairs, which
+count if the shingle sets are similar, and ``jaccard`` looks for the similar pairs that lie beyond the trees' radius.
+
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other; fewer
 words than a shingle make one shingle; rows with a null doc_id get a component whose id is the least non-null doc_id in
-it (null if none); repeated rows link to each other; an empty table gives an empty result; other columns are ignored.
+it (null if none); repeated rows link to each other; an empty table gives an empty result; other columns are ignored by
+``near_duplicates`` and passed through by ``drop_near``, which of rows that repeat both id and text keeps all or none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append
+from .bktree import near_links
 from .components import components
+from .fingerprints import simhash
 from .jaccard import near_sets
-from .store import decide, materialize, slots
+from .store import decide, materialize
 from .units import forget
 
-SHARD = 4096
-BATCH = 32_768  # fingerprints that one search holds, unless a tile is larger
-
-
-def simhash(texts: list[str | None], words: int = 3) -> np.ndarray:
-    """uint64 fingerprints of lower-cased (A-Z) texts, over XXH64 (seed 42) of their space-joined shingles."""
-    from xxhash import xxh64_intdigest
-
-    out = np.zeros(len(texts), np.uint64)
-    for k, text in enumerate(texts):
-        parts = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-        if not parts:
-            continue
-        joined = b" ".join(parts)
-        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        starts = np.r_[0, ends[:-1] + 1]
-        last = max(1, len(parts) - words + 1)
-        counts, n = np.zeros(64, np.int64), last
-        for at in range(0, last, 65_536):
-            to = min(last, at + 65_536)
-            stops = ends[min(words, len(parts)) - 1 :][at:to].tolist()
-            hashes = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:to].tolist(), stops, strict=True)], "<u8")
-            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]
-    return out
-
-
-class BkForest:
-    """BK-trees of several groups of distinct values, stored as arrays."""
-
-    def __init__(self, groups: np.ndarray, values: np.ndarray):
-        """``groups`` ascending; the first value of a group is its root."""
-        self.values = values
-        self.group_ids, self.roots = np.unique(groups, return_index=True)
-        waiting = np.setdiff1d(np.arange(len(values)), self.roots, assume_unique=True)
-        at = self.roots[np.searchsorted(self.group_ids, groups[waiting])]
-        keys, children = [], []
-        while len(waiting):
-            key = at * 128 + np.bitwise_count(values[waiting] ^ values[at])
-            found, first, which = np.unique(key, return_index=True, return_inverse=True)
-            keys.append(found)
-            children.append(waiting[first])
-            settled = np.zeros(len(waiting), bool)
-            settled[first] = True
-            at, waiting = children[-1][which][~settled], waiting[~settled]
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        self.children = np.concatenate(children) if children else np.empty(0, np.int64)
-        order = np.argsort(self.keys)
-        self.keys, self.children = self.keys[order], self.children[order]
-
-    def within(self, groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) index pairs of the same group whose values differ in at most ``radius`` bits."""
-        place = np.searchsorted(self.group_ids, groups)
-        has = (place < len(self.group_ids)) & (self.group_ids[np.minimum(place, len(self.group_ids) - 1)] == groups)
-        query = np.flatnonzero(has)
-        node, hits = self.roots[place[query]], []
-        while len(query):
-            d = np.bitwise_count(values[query] ^ self.values[node]).astype(np.int64)
-            near = d <= radius
-            hits.append((query[near], node[near]))
-            lo = np.searchsorted(self.keys, node * 128 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.keys, node * 128 + d + radius, "right")
-            n = hi - lo
-            query = np.repeat(query, n)
-            node = self.children[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-        if not hits:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
-
-
-def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after uniting the labels of a[i] and b[i]; labels are indices of their smallest member."""
-    while True:
-        x, y = labels[a], labels[b]
-        apart = x != y
-        if not apart.any():
-            return labels
-        pairs = np.unique(np.minimum(x, y)[apart] * len(labels) + np.maximum(x, y)[apart])
-        low, high = pairs // len(labels), pairs % len(labels)
-        to = np.arange(len(labels))
-        np.minimum.at(to, high, low)
-        while (to[to] != to).any():
-            to = to[to]
-        labels = to[labels]
-
-
-def stars(groups: np.ndarray, values: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, smallest-index member's value) of the components inside each group; ``groups`` ascending."""
-    labels = np.arange(len(values))
-    tree, queries = np.flatnonzero(in_tree), np.flatnonzero(asks)
-    if len(tree):
-        forest = BkForest(groups[tree], values[tree])
-        sizes = np.bincount(np.searchsorted(forest.group_ids, groups[tree]))
-        place = np.minimum(np.searchsorted(forest.group_ids, groups[queries]), len(sizes) - 1)
-        work = np.cumsum(sizes[place])  # a search holds at most about this many pairs at a time
-        for part in np.split(queries, np.searchsorted(work, np.arange(2_000_000, int(work[-1]) + 1 if len(work) else 0, 2_000_000))):
-            q, t = forest.within(groups[part], values[part], radius)
-            labels = _join_labels(labels, part[q], tree[t])
-    other = np.flatnonzero(labels != np.arange(len(labels)))
-    return values[other], values[labels[other]]
-
-
-def _search(radius: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-            a, b = stars(
-                pdf["shard"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64),
-                pdf["in_tree"].to_numpy(bool), pdf["asks"].to_numpy(bool), radius,
-            )
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-        size = 0
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size >= BATCH:
-                every = pd.concat(held, ignore_index=True)
-                shard = every["shard"].to_numpy()
-                whole = int(np.searchsorted(shard, shard[-1]))  # rows of shards that are complete
-                if whole:
-                    yield emit(every.iloc[:whole])
-                held = [every.iloc[whole:]]
-                size = len(held[0])
-        if size:
-            yield emit(pd.concat(held, ignore_index=True))
-
-    return run
-
-
-def near_links(fingerprints: DataFrame, radius: int = 3, blocks: int = 4, shard: int = SHARD) -> DataFrame:
-    """Edges a, b that connect all values of the distinct column ``fp`` (long) within ``radius`` bits of each other."""
-    if blocks <= radius:
-        raise ValueError("radius bits can change every block: use more blocks than the radius")
-    width = 64 // blocks
-    banded = fingerprints.select(
-        "fp",
-        F.explode(
-            F.array(*[F.xxhash64(F.lit(b), F.shiftrightunsigned("fp", b * width).bitwiseAND((1 << (width if b < blocks - 1 else 64 - b * width)) - 1)) for b in range(blocks)])
-        ).alias("shard"),
-    )
-    large = materialize(
-        banded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("shard", F.ceil(F.col("n") / shard).cast("int").alias("subs")),
-        "large-shards",
-    )
-    sized = banded.join(large, "shard", "left") if not large.isEmpty() else banded.withColumn("subs", F.lit(None).cast("int"))
-    sub = F.pmod(F.xxhash64("fp", F.lit(11)), F.col("subs")).cast("int")
-    # tile (i, j), i <= j: a tree of sub-shard i, asked by sub-shard j
-    tiles = F.transform(F.sequence(F.lit(0), F.col("subs") - 1), lambda o: F.struct(F.least(o, sub).alias("i"), F.greatest(o, sub).alias("j")))
-    tiled = sized.withColumn("tile", F.explode(F.coalesce(tiles, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
-    alone = F.col("subs").isNull()
-    rows = tiled.select(
-        F.when(alone, F.col("shard")).otherwise(F.xxhash64("shard", "tile.i", "tile.j")).alias("shard"),
-        "fp",
-        (alone | (sub == F.col("tile.i"))).alias("in_tree"),
-        (alone | (sub == F.col("tile.j"))).alias("asks"),
-    )
-    n = slots(fingerprints.sparkSession)
-    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInPandas(_search(radius), "a long, b long")
-
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id, class_id (smallest fingerprint), and the ``keep`` columns."""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append
-from .simhash import simhash
+from .fingerprints import simhash
 from .units import Memo, forget
 
 TOXIC_SAMPLE = 600

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terncove.llm import bpe, exact_dedup, html_text, mixing, nearest, sharding, simhash, token_counts, toxicity, window_index
+from terncove.llm import bktree, bpe, exact_dedup, html_text, mixing, nearest, sharding, simhash, token_counts, toxicity, window_index
 from terncove.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,8 +110,8 @@ def test_simhash_components(docs):
     assert got == {i: (p, c) for i, (p, c) in enumerate(zip(prints, linked(prints, 3), strict=True))}
 
 
-@pytest.mark.parametrize("shard", [3, 4096])
-def test_clusters_survive_tiling(spark, shard):
+@pytest.mark.parametrize("shard, blocks", [(3, None), (4096, None), (4096, 5), (4096, 6)])
+def test_clusters_survive_tiling(spark, shard, blocks):
     values, base = set(), [rnd.getrandbits(64) for _ in range(6)]
     for b in base:
         for _ in range(40):
@@ -122,12 +122,25 @@ def test_clusters_survive_tiling(spark, shard):
     values = sorted(values)
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    root = {r.node: r.root for r in components(simhash.near_links(df, shard=shard)).collect()}
+    root = {r.node: r.root for r in components(bktree.near_links(df, blocks=blocks, shard=shard)).collect()}
     want = linked(values, 3)
     groups = lambda labels: sorted(sorted(g) for g in _groups(labels))
     assert groups([root.get(s, s) for s in signed]) == groups(want)
 
 
+def test_shard_names_grow_with_the_corpus():
+    assert [bktree.choose_blocks(n, 3) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [4, 4, 5, 6, 6]
+
+
+def test_direct_pairs_are_near(spark):
+    values = sorted({rnd.getrandbits(12) for _ in range(300)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    pairs = {(x.a, x.b) for x in bktree.near_links(df, whole=False).collect()}
+    assert all(0 < (a ^ b).bit_count() <= 3 for a, b in pairs)
+    has = {a for a in values for b in values if a != b and (a ^ b).bit_count() <= 3}
+    assert {a for a, _ in pairs} == has
+
+
 def _groups(labels):
     out = {}
     for i, x in enumerate(labels):
@@ -314,7 +327,14 @@ def test_mixture_meets_its_targets(spark, empty, odd):
     for s, (_, taken, target) in size.items():
         assert abs(target - want[s]) < 1e-6 * max(1, want[s]) and abs(taken - target) <= 0.01 * target + 2
     again = {(x.doc_id, x.size): x.taken for x in mixing.mix(df.repartition(7)).collect()}
-    assert all(again[x.doc_id, x.size] == x.taken for x in got if x.doc_id != 5)
+    assert all(again[x.doc_id, x.size] == x.taken for x in got)
+    copies = {}
+    for x in mixing.repeat_rows(df).collect():
+        copies[x.doc_id] = copies.get(x.doc_id, 0) + 1
+    want_copies = {}
+    for x in got:
+        want_copies[x.doc_id] = want_copies.get(x.doc_id, 0) + x.copies
+    assert copies == {i: n for i, n in want_copies.items() if n}
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() == odd.count()
     assert mixing.repeat_rows(odd).columns == odd.columns
 
@@ -322,9 +342,9 @@ def test_mixture_meets_its_targets(spark, empty, odd):
 def test_rates_do_not_depend_on_the_order_of_sums(spark):
     r = random.Random(8)
     sizes = [int(r.lognormvariate(5, 1.5)) + 1 for _ in range(4000)]
-    classes = spark.createDataFrame([("a", x, 1) for x in sizes], "source string, size long, n long").groupBy("source", "size").agg(F.sum("n").alias("n"))
-    targets = spark.createDataFrame([("a", sum(sizes), 0.618 * sum(sizes))], "source string, source_size long, target double")
-    lams = [mixing.solve_dual(classes.repartition(p), targets, 2.0, steps).first()["lam"] for p, steps in ((3, 10), (7, 14), (5, 20))]
+    classes = spark.createDataFrame([("a", x, 1) for x in sizes], "name string, size long, n long").groupBy("name", "size").agg(F.sum("n").alias("n"))
+    targets = spark.createDataFrame([("a", sum(sizes), 0.618 * sum(sizes))], "name string, source_size long, target double")
+    lams = [mixing.solve_dual(classes.repartition(p), targets, 2.0, steps).first()["lam"] for p, steps in ((3, 10), (7, 14), (5, 40))]
     assert len(set(lams)) == 1 and lams[0] < 0
     m = sum(sizes) / len(sizes)
     words = sum(2 * x / (1 + np.exp(-lams[0] * x / m)) for x in sizes)
@@ -354,14 +374,29 @@ def test_exact_groups(docs, empty, odd):
     assert sorted(t or "" for (t,) in kept.select("text").collect()) == sorted({t or "" for (t,) in odd.select("text").collect()})
 
 
-def test_filters_merge_without_loss():
+@pytest.mark.parametrize("segment_bits, slot_bits", [(0, 0), (0, 6), (3, 5), (5, 0), (4, 14)])
+def test_filters_merge_without_loss(segment_bits, slot_bits):
     r = np.random.default_rng(1)
-    parts = [r.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(4)]
-    parts = [np.r_[p, parts[0][:50], p[:5]] for p in parts]
-    filters = [exact_dedup.CountingQuotientFilter.build(p, 8) for p in parts]
-    merged = filters[0].merge(filters[1:])
+    parts = [r.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(5)]
+    parts = [np.r_[p, parts[0][:50], p[:5], np.array([0, 2**64 - 1], np.uint64)] for p in parts]
+    by_segment = {}
+    for p in parts:
+        for segment, *row in exact_dedup.partition_filters(p, segment_bits, slot_bits):
+            by_segment.setdefault(segment, []).append(exact_dedup.CountingQuotientFilter.read(segment_bits, slot_bits, *row))
+    got = {}
+    for segment, filters in by_segment.items():
+        one = exact_dedup.merged(filters)
+        assert (one.remainders < 2 ** (64 - segment_bits - slot_bits)).all() and one.runs.sum() == len(one.remainders)
+        top = segment << (64 - segment_bits) if segment_bits else 0
+        got |= {int(k) | top: int(c) for k, c in zip(one.keys(), one.counts, strict=True)}
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    assert (merged.keys() == keys).all() and (merged.counts == counts).all() and set(merged.repeated()) == set(keys[counts > 1])
+    assert got == dict(zip(keys.tolist(), counts.tolist(), strict=True))
+
+
+def test_remainders_travel_in_fewer_bytes_than_fingerprints():
+    keys = np.random.default_rng(2).integers(0, 2**64, 100_000, dtype=np.uint64)
+    rows = exact_dedup.partition_filters(keys, 2, 14)
+    assert sum(len(x) for r in rows for x in r[1:]) < 7 * len(keys)
 
 
 # --- 9 ---
