@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terncove.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from terncove.llm.store import materialize
+from terncove.llm.store import drop_since, materialize, written
 
 TOXIC_FROM = 0.5
 
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        mark = written(spark)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{k}")
+            drop_since(spark, mark)  # what led to the stage's result
     return docs
