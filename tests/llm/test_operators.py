@@ -443,6 +443,63 @@ def test_empty_and_embedded_elements_keep_text():
     assert [x.text for x in html_text.page_lines(source)] == ["One two x three four"]
 
 
+def differenced(pages):
+    """Texts of pages (key, host, path, lines) without article elements, by the definition: quadratic alignment, runs of copies."""
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    def size(lines):
+        return sum(map(len, lines))
+
+    pages, runs, out = sorted(pages, key=lambda p: (p[1], p[2], p[0])), [], {}
+    for p in pages:
+        last = runs[-1][-1] if runs else None
+        if last and last[1] == p[1]:
+            shared = [last[3][i] for i in html_text.common_lines(last[3], p[3])]
+            assert len(shared) == common(last[3], p[3])
+            if size(shared) >= 0.8 * max(size(last[3]), size(p[3])):
+                runs[-1].append(p)
+                continue
+        runs.append([p])
+    for k, run in enumerate(runs):
+        for p in run:
+            near = [q for q in ([runs[k - 1][-1]] if k else []) + ([runs[k + 1][0]] if k + 1 < len(runs) else []) if q[1] == p[1]]
+            prefix = lambda q: next((i for i, (x, y) in enumerate(zip(q[2], p[2], strict=False)) if x != y), min(len(q[2]), len(p[2])))  # noqa: E731, B023
+            gone = set(html_text.common_lines(p[3], max(near, key=prefix)[3])) if near else set()
+            out[p[0]] = "\n".join(x for i, x in enumerate(p[3]) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("slots", [1, 7])
+def test_differencing_decides_on_pages_without_an_article_element(spark, slots):
+    r, pages = random.Random(5), []
+    for h in range(4):
+        top = [f"Menu {h} {k}" for k in range(r.randint(2, 4))]
+        for n in range(12 if h else 40):
+            body = [" ".join(f"w{r.randrange(9)}" for _ in range(r.randint(8, 20))) for _ in range(r.randint(1, 5))]
+            if n and r.random() < 0.4:  # a copy of the page before, with another line at most
+                body = [*pages[-1][3][len(top) : -1], *(["Updated."] if r.random() < 0.5 else [])]
+            pages.append((len(pages), f"h{h}.com", f"/{r.choice('ab')}/{n:02}", [*top, *body, f"Footer {h}"]))
+    rows = [(k, f"https://{h}{p}", "<body>" + "".join(f"<p>{x}</p>" for x in lines)) for k, h, p, lines in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slots)
+    try:
+        # keys order pages of one path, so the model orders them alike; paths differ here
+        got = {x.page_id: x.text for x in html_text.extract(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == differenced(pages)
+    cut = sum(got[k] != "\n".join(lines) for k, _, _, lines in pages)
+    copies = sum(any(a[3][-2] in got[a[0]] for _ in (0,)) for a in pages)
+    assert cut > 0.9 * len(pages) and copies > 0.9 * len(pages)  # menus went, copies kept their article
+
+
 def test_common_lines_are_longest():
     def length(a, b):
         best_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
