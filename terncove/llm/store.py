@@ -12,6 +12,7 @@ same plan.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -74,6 +75,12 @@ def drop_since(spark: SparkSession, mark: int) -> None:
     del paths[mark:-1]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is done: it does when the driver's JVM has collected the plans that refer to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it."""
     spark = df.sparkSession

@@ -1,26 +1,33 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A window is ``size`` consecutive words of one document. The index holds, for every window fingerprint seen so far, the
-smallest doc_id and the place where it starts, as immutable runs sorted by fingerprint and cut into segments by its top
-bits. A new batch of documents becomes sorted runs of the same form, one per block of documents and segment; each
-segment merge-joins the batch's runs with the index's. A window whose fingerprint starts in a document with a smaller
-doc_id is a claim (place, earlier place). Claims are verified by comparing digests of the words themselves before any
-word is removed. The batch's own fingerprints become a new run of the index, and when ``FAN_IN`` runs have gathered they
-are compacted into one.
+smallest doc_id and the place where it starts, as immutable runs: fingerprints ascending, cut into segments by their top bits. A
+batch of documents becomes sorted runs of the same form, one per block of documents and segment, and each segment
+merge-joins them with the index's. A window whose fingerprint starts in a document with a smaller doc_id is a claim (place, earlier
+place). What the index lacks of the batch is written as one new run of level 0; when ``FAN_IN`` runs of a level have gathered they
+are compacted into one of the next, so a fingerprint is rewritten once a level, as often as the logarithm of the history. The number
+of segments follows the number of windows: rows of runs written with fewer segments are split as they are read, and stay so
+when they are compacted.
+
+Claims are verified by digests of the words themselves before any word is removed. A claim that fails means that two different
+windows have one fingerprint. Then the true repeats among the windows concerned are found by their words, over all texts.
 
 Sizes: a block holds about ``BLOCK_WORDS`` words, and within a block only windows that do not already start in an earlier
-document of it leave the task, so a passage that half the documents share sends one window a block. The number of
-segments follows the number of words. Runs are packed: fingerprints as differences, about 10 bytes a window in all.
+document of it leave the task, so a passage that half the documents share sends one window a block. Runs are packed:
+fingerprints as differences, about 10 bytes a window in all. A batch shuffles its own windows and the packed index, and writes its own.
 
 Defined results: a null text counts as empty; documents shorter than a window and rows with a null doc_id lose nothing;
 rows that repeat a doc_id claim nothing from each other, and a stretch is removed from each of them that has the verified
-words at that place; an empty table gives an empty result; other columns are passed on by ``deduplicate``.
+words at that place; documents judged in earlier batches stay as they were judged; an empty table gives an empty result; other
+columns are passed on by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import append
-from .store import fresh_path, materialize
+from .arrow import append, small_batches, trimmed
+from .store import delete, fresh_path, free_shuffles, materialize, sieve, sift, unused
 
 SIZE = 13
 BLOCK_WORDS = 1_000_000
 SEGMENT_WINDOWS = 1_500_000
-FAN_IN = 4
+FAN_IN = 3
+BATCHES = 4  # of a table that is deduplicated as a whole
+REPAIR_KEYS = 500_000  # fingerprints of failed claims that one pass over the texts looks for
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -72,8 +81,8 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
 
 
-def window_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """A 64-bit fingerprint of each window's space-joined bytes, from prefix sums of one polynomial."""
+def window_hashes(words: list[bytes], size: int, bits: int = 64) -> np.ndarray:
+    """A fingerprint (uint64 with only ``bits`` top bits) of each window's space-joined bytes, from prefix sums of one polynomial."""
     if len(words) < size:
         return np.empty(0, np.uint64)
     data = np.frombuffer(b" ".join(words), np.uint8)
@@ -82,7 +91,8 @@ def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _UP.upto(len(data))[: len(data)], dtype=np.uint64, out=sums[1:])
     first, last = starts[: len(words) - size + 1], ends[size - 1 :]
-    return _mix((sums[last] - sums[first]) * _DOWN.upto(len(data) + 1)[first] + (last - first).astype(np.uint64))
+    found = _mix((sums[last] - sums[first]) * _DOWN.upto(len(data) + 1)[first] + (last - first).astype(np.uint64))
+    return found if bits == 64 else found >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 def _squash(values: np.ndarray) -> bytes:
@@ -108,7 +118,7 @@ RUN = "segment int, block string, kind string, keys binary, docs binary, doc_of
 RUN_COLUMNS = [c.split()[0] for c in RUN.split(", ")]
 
 
-def _block_runs(size: int, bits: int, block_words: int):
+def _block_runs(size: int, bits: int, block_words: int, batch: int, fingerprint_bits: int):
     """Batches of (doc_id, text) to the runs of blocks, and the claims that a block settles on its own."""
 
     def emit(held: list[tuple[int, int, np.ndarray]], name: str) -> pd.DataFrame:
@@ -144,10 +154,10 @@ def _block_runs(size: int, bits: int, block_words: int):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        prefix = task.partitionId() if task else 0
+        prefix = f"{batch}-{task.partitionId() if task else 0}"
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                keys = window_hashes(split_words(text), size)
+                keys = window_hashes(split_words(text), size, fingerprint_bits)
                 # a very long text is dealt over several blocks
                 for lo in range(0, len(keys), block_words):
                     held.append((doc_id, lo, keys[lo : lo + block_words]))
@@ -158,7 +168,7 @@ def _block_runs(size: int, bits: int, block_words: int):
         if n:
             yield emit(held, f"{prefix}-{block}")
 
-    return run
+    return trimmed(run)
 
 
 def _expand(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +176,31 @@ def _expand(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unpack(row.keys), np.frombuffer(row.docs, np.int64)[_restore(row.doc_of)], _restore(row.at)
 
 
-def _merge_segment(with_run: bool):
-    """All runs of one segment, those of the index included, merged: claims per block and the segment's new run."""
+def _packed(segment: int, name: str, kind: str, keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple:
+    docs, doc_of = np.unique(doc, return_inverse=True)
+    return segment, name, kind, _pack(keys), docs.tobytes(), _squash(doc_of), _squash(at), b"", b""
+
+
+def _split(bits: int):
+    """Rows of runs with fewer segments, each cut into its segments of ``bits`` bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                keys, doc, at = _expand(row)
+                of = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                for lo, hi in zip(head, np.r_[head[1:], len(of)], strict=True):
+                    rows.append(_packed(int(of[lo]), "", "index", keys[lo:hi], doc[lo:hi], at[lo:hi]))
+            yield pd.DataFrame(rows, columns=RUN_COLUMNS)
+
+    return trimmed(run)
+
+
+def _merge_segment(remember: bool):
+    """All runs of one segment merged: claims per block of the batch, and, if ``remember``, one row with what the index lacked of the
+    batch, or, without a batch, with all of the index."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [tuple(r) for r in pdf[pdf["kind"] == "claim"].itertuples(index=False)]
@@ -184,7 +217,8 @@ def _merge_segment(with_run: bool):
         source = order[np.repeat(head, np.diff(np.r_[head, len(keys)]))]
         later = doc[order] > doc[source]
         claimed, source = order[later], source[later]
-        block = np.searchsorted(np.cumsum(sizes), claimed, "right")
+        ends = np.cumsum(sizes)
+        block = np.searchsorted(ends, claimed, "right")
         segment = int(pdf["segment"].iloc[0])
         for b in np.unique(block):
             if runs[b].kind == "index":
@@ -192,10 +226,12 @@ def _merge_segment(with_run: bool):
             c, s = claimed[block == b], source[block == b]
             docs, doc_of = np.unique(doc[c], return_inverse=True)
             rows.append((segment, runs[b].block, "claim", b"", docs.tobytes(), _squash(doc_of), _squash(at[c]), doc[s].tobytes(), _squash(at[s])))
-        if with_run:
+        if remember:
             first = order[head]
-            docs, doc_of = np.unique(doc[first], return_inverse=True)
-            rows.append((segment, "", "index", _pack(keys[head]), docs.tobytes(), _squash(doc_of), _squash(at[first]), b"", b""))
+            old = np.array([r.kind == "index" for r in runs])
+            lacked = ~old[np.searchsorted(ends, first, "right")] if not old.all() else np.ones(len(first), bool)
+            if lacked.any():
+                rows.append(_packed(segment, "", "index", keys[head[lacked]], doc[first[lacked]], at[first[lacked]]))
         return pd.DataFrame(rows, columns=RUN_COLUMNS)
 
     return run
@@ -225,44 +261,113 @@ def _stretches(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Run:
+    """One immutable run: where it lies, its level, the bits that name its segments, how many windows it was made from at most."""
+
+    path: str
+    level: int
+    bits: int
+    windows: int
+
+
 class WindowIndex:
-    """The index: runs below ``path``. ``add`` judges a batch of documents against it and makes the batch part of it."""
+    """The index below ``path``: its runs, and a manifest for each state it was in. ``claims`` judges a batch of documents against it and makes
+    the batch part of it."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, size: int = SIZE, segment_bits: int | None = None):
-        self.spark, self.size, self.bits = spark, size, segment_bits
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = SIZE, segment_windows: int | None = None, block_words: int | None = None, fingerprint_bits: int = 64):
+        self.spark, self.size, self.fingerprint_bits = spark, size, fingerprint_bits
+        self.segment_windows, self.block_words = segment_windows or SEGMENT_WINDOWS, block_words or BLOCK_WORDS
         self.path = path or fresh_path(spark, "window-index")
-        self.runs: list[str] = []
-        self.written = 0
-
-    def _history(self) -> DataFrame | None:
-        return self.spark.read.schema(RUN).parquet(*self.runs).where("kind = 'index'") if self.runs else None
-
-    def claims(self, docs: DataFrame, remember: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
-        """``docs``: doc_id, text. The stretches of windows that also start in an earlier document, before verification."""
-        if self.bits is None:
-            words = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-            self.bits = max(0, int(np.ceil(np.log2(max(1, words / 6 / SEGMENT_WINDOWS)))))
-        runs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text").mapInPandas(_block_runs(self.size, self.bits, block_words), RUN)
-        old = self._history()
-        runs = runs.unionByName(old) if old is not None else runs
-        merged = runs.groupBy("segment").applyInPandas(_merge_segment(remember), RUN)
+        self.runs: list[Run] = []
+        self.version = 0
+        self.rewritten = 0  # windows written by compactions so far
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> WindowIndex:
+        """The index that was left at ``path``, in its last state."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*/_SUCCESS")
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+        versions = [int(f.getPath().getParent().getName().split("-")[1]) for f in found]
+        index = cls(spark, path)
+        if versions:
+            state = json.loads(spark.read.text(f"{path}/manifest-{max(versions)}").first()["value"])
+            index.size, index.fingerprint_bits, index.version, index.rewritten = (state[k] for k in ("size", "fingerprint_bits", "version", "rewritten"))
+            index.runs = [Run(**r) for r in state["runs"]]
+        return index
+
+    def _commit(self, runs: list[Run]) -> None:
+        """The index consists of ``runs`` from now on; a reader sees the state before or this one."""
+        gone = [r for r in self.runs if r not in runs]
+        self.runs, self.version = runs, self.version + 1
+        state = {"size": self.size, "fingerprint_bits": self.fingerprint_bits, "version": self.version, "rewritten": self.rewritten, "runs": [asdict(r) for r in runs]}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version}")
+        for r in gone:
+            delete(self.spark, r.path)
+
+    def _bits(self, windows: int) -> int:
+        return max([0, int(np.ceil(np.log2(max(1, windows / self.segment_windows)))), *[r.bits for r in self.runs]])
+
+    def _rows(self, runs: list[Run], bits: int) -> DataFrame | None:
+        found = None
+        for r in runs:
+            rows = self.spark.read.schema(RUN).parquet(r.path)
+            rows = rows if r.bits == bits else rows.mapInPandas(_split(bits), RUN)
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
+    def claims(self, docs: DataFrame, remember: bool = True) -> DataFrame:
+        """``docs``: doc_id, text. Packed rows of the windows that also start in an earlier document of the batch or the index, not verified."""
+        small_batches(self.spark)
+        size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        windows = size // 6 + 1
+        bits = self._bits(sum(r.windows for r in self.runs) + windows)
+        batch = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
+        rows = batch.mapInPandas(_block_runs(self.size, bits, self.block_words, self.version, self.fingerprint_bits), RUN)
+        old = self._rows(self.runs, bits)
+        merged = (rows if old is None else rows.unionByName(old)).groupBy("segment").applyInPandas(_merge_segment(remember), RUN)
+        path = f"{self.path}/batch-{self.version}" if remember else fresh_path(self.spark, "window-claims")
+        merged.withColumn("of", F.col("kind")).write.partitionBy("of").parquet(path)
+        for kind in ("claim", "index")[: 1 + remember]:  # a folder for each, also where a batch has no rows of the kind
+            self.spark.createDataFrame([], RUN).write.mode("append").parquet(f"{path}/of={kind}")
+        found = self.spark.read.schema(RUN).parquet(f"{path}/of=claim")
         if remember:
-            path = f"{self.path}/run-{self.written}"
-            merged.write.parquet(path)
-            # a merge already holds all of the history, so the new run replaces the old ones
-            self.runs, self.written = [path], self.written + 1
-            merged = self.spark.read.schema(RUN).parquet(path)
-        return merged.where("kind = 'claim'").groupBy("block").applyInPandas(_stretches, STRETCH)
+            self._commit([*self.runs, Run(f"{path}/of=index", 0, bits, windows)])
+            self._compact()
+        return found
+
+    def _compact(self) -> None:
+        while full := [level for level in {r.level for r in self.runs} if sum(r.level == level for r in self.runs) >= FAN_IN]:
+            level = min(full)
+            old = [r for r in self.runs if r.level == level]
+            bits, windows, path = max(r.bits for r in self.runs), sum(r.windows for r in old), f"{self.path}/run-{self.version}"
+            self._rows(old, bits).groupBy("segment").applyInPandas(_merge_segment(True), RUN).write.parquet(path)
+            self.rewritten += windows
+            self._commit([*[r for r in self.runs if r.level != level], Run(path, level + 1, bits, windows)])
 
     def verified(self, docs: DataFrame, claims: DataFrame, *earlier: DataFrame) -> DataFrame:
-        """doc_id, start, length, digest of the claims whose words are the same in both places, by digests of these words."""
-        claims = materialize(claims, "claims")
+        """doc_id, start, length, digest of what the claims (packed) name and the words confirm. ``docs`` and ``earlier``: where the texts of
+        all documents can be read that are or were part of the index."""
+        claims = materialize(claims.groupBy("block").applyInPandas(_stretches, STRETCH), "claims")
         sides = claims.select("doc_id", "start", "length").union(claims.select("from_doc", "from_start", "length")).distinct()
-        wanted = sides.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-        wanted = materialize(wanted.where(F.col("doc_id") != LAST), "spans")
         texts = docs.select("doc_id", "text")
         for more in earlier:
             texts = texts.union(more.select("doc_id", "text"))
+        digests = materialize(self._digests(texts, sides), "digests")
+        a = digests.withColumnRenamed("digest", "own")
+        b = digests.select(F.col("doc_id").alias("from_doc"), F.col("start").alias("from_start"), "length", F.col("digest").alias("other"))
+        both = claims.join(a, ["doc_id", "start", "length"]).join(b, ["from_doc", "from_start", "length"])
+        both = materialize(both.select("doc_id", "start", "length", F.col("own").alias("digest"), (F.col("own") == F.col("other")).alias("same")).distinct(), "compared")
+        # rows that repeat a doc_id have several digests for a place: it failed if none agrees
+        good = both.where("same").select("doc_id", "start", "length", "digest").distinct()
+        failed = both.groupBy("doc_id", "start", "length").agg(F.max("same").alias("same")).where("not same").drop("same")
+        failed = materialize(failed, "failed-claims")
+        return good if failed.isEmpty() else good.unionByName(self._by_words(texts, failed))
+
+    def _digests(self, texts: DataFrame, spans: DataFrame) -> DataFrame:
+        """doc_id, start, length, digest of the words of each stretch of windows."""
+        wanted = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+        wanted = materialize(wanted.where(F.col("doc_id") != LAST), "spans")
         size = self.size
 
         def digest(texts: list[str | None], spans: list[list[dict]]) -> dict[str, list]:
@@ -272,29 +377,95 @@ class WindowIndex:
                 got.append([{"start": s["start"], "length": s["length"], "digest": stretch_digest(words, s["start"], s["length"] + size - 1)} for s in own])
             return {"digests": got}
 
-        joined = texts.join(wanted, "doc_id")
+        key = F.xxhash64("doc_id")
+        joined = sift(texts, sieve(wanted, key), key).join(wanted, "doc_id")
         adds = [("digests", T._parse_datatype_string("array<struct<start:bigint,length:bigint,digest:binary>>"), DIGESTS)]
-        found = append(joined, digest, ["text", "spans"], adds, drop=("text", "spans"))
-        digests = materialize(found.select("doc_id", F.inline("digests")).distinct(), "digests")
-        a = digests.withColumnRenamed("digest", "own")
-        b = digests.select(F.col("doc_id").alias("from_doc"), F.col("start").alias("from_start"), "length", F.col("digest").alias("other"))
-        both = claims.join(a, ["doc_id", "start", "length"]).join(b, ["from_doc", "from_start", "length"])
-        return both.where("own = other").select("doc_id", "start", "length", F.col("own").alias("digest")).distinct()
+        return append(joined, digest, ["text", "spans"], adds, drop=("text", "spans")).select("doc_id", F.inline("digests")).distinct()
+
+    def _by_words(self, texts: DataFrame, failed: DataFrame) -> DataFrame:
+        """The windows of ``failed`` stretches whose words also start in a document with a smaller id, each as a stretch of one window."""
+        size, bits = self.size, self.fingerprint_bits
+        windows = failed.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("start"), F.lit(1).cast("long").alias("length")).distinct()
+        own = materialize(self._digests(texts, windows), "failed-windows")
+
+        def seen(keys: np.ndarray):
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    out = []
+                    for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                        words = split_words(text)
+                        found = window_hashes(words, size, bits)
+                        at = np.flatnonzero(np.isin(found, keys))
+                        out += [(doc_id, int(i), int(found[i].view(np.int64)), stretch_digest(words, int(i), size)) for i in at]
+                    yield pd.DataFrame(out, columns=["doc_id", "start", "key", "digest"])
+
+            return trimmed(run)
+
+        there = texts.where("doc_id is not null")
+        key = F.xxhash64("doc_id")
+        keyed = sift(there, sieve(own, key), key).mapInPandas(_keys_of_windows(size, bits), "doc_id long, start long, key long")
+        keys = materialize(keyed.join(own.select("doc_id", "start"), ["doc_id", "start"], "left_semi").select("key").distinct(), "failed-keys")
+        passes, firsts = -(-keys.count() // REPAIR_KEYS), None
+        for k in range(passes):
+            some = [r["key"] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).collect()]  # about REPAIR_KEYS numbers
+            found = there.mapInPandas(seen(np.array(some, np.int64).view(np.uint64)), "doc_id long, start long, key long, digest binary")
+            first = materialize(found.groupBy("key", "digest").agg(F.min("doc_id").alias("first")).drop("key"), "first-windows")
+            firsts = first if firsts is None else firsts.unionByName(first)
+        firsts = firsts.groupBy("digest").agg(F.min("first").alias("first"))
+        return own.join(firsts, "digest").where(F.col("first") < F.col("doc_id")).select("doc_id", "start", "length", "digest")
 
     def add(self, docs: DataFrame, *earlier: DataFrame, remember: bool = True) -> DataFrame:
         """Verified stretches doc_id, start, length, digest. ``earlier``: where documents of former batches can be read."""
         return self.verified(docs, self.claims(docs, remember), *earlier)
 
 
-def deduplicate(docs: DataFrame, index: WindowIndex | None = None, id_col: str = "doc_id", text_col: str = "text", *earlier: DataFrame) -> DataFrame:
-    """All input columns, and n_words, n_removed, kept_text: the words outside removed windows, joined by one space."""
+def _keys_of_windows(size: int, bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                found = window_hashes(split_words(text), size, bits)
+                yield pd.DataFrame({"doc_id": np.full(len(found), doc_id), "start": np.arange(len(found)), "key": found.view(np.int64)})
+
+    return trimmed(run)
+
+
+def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
+    """``docs`` (doc_id, text) in ``n`` ranges of ascending doc_id with about as many rows each; null ids come last."""
+    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    bounds = [None, *cuts, None]
+    out = []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        rows = docs if lo is None else docs.where((F.col("doc_id") > lo) | F.col("doc_id").isNull() if hi is None else F.col("doc_id") > lo)
+        out.append(rows if hi is None else rows.where(F.col("doc_id") <= hi))
+    return out
+
+
+def deduplicate(docs: DataFrame, index: WindowIndex | None = None, id_col: str = "doc_id", text_col: str = "text", *earlier: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """All input columns, and n_words, n_removed, kept_text: the words outside removed windows, joined by one space.
+
+    With ``index`` the table is its next batch. Without one, an index is built for it from ``batches`` ranges of doc_id, in ascending order, so
+    that each range is judged against the runs of those before; the last is judged but not written.
+    """
     spark = docs.sparkSession
-    remember, index = index is not None, index or WindowIndex(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = index.add(plain, *earlier, remember=remember).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "digest")).alias("_spans"))
-    spans = materialize(spans, "removed").withColumnRenamed("doc_id", "_doc")
-    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumn("_doc", F.col(id_col).cast("long"))
-    joined = keyed.join(spans, "_doc", "left").drop("_doc")
+    if index is not None:
+        claims = index.claims(plain)
+    else:
+        index, claims, parts = WindowIndex(spark), None, batches_of(plain, batches)
+        for k, part in enumerate(parts):
+            found = index.claims(part, remember=k + 1 < len(parts))
+            claims = found if claims is None else claims.unionByName(found)
+            free_shuffles(spark)
+        for r in index.runs:
+            delete(spark, r.path)
+    marked = materialize(index.verified(plain, claims, *earlier).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "digest")).alias("spans")), "removed")
+    doc, spans = unused(docs, "_doc", "_spans")
+    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumn(doc, F.col(id_col).cast("long"))
+    few = sieve(marked, F.xxhash64("doc_id"))
+    others = sift(keyed, few, F.xxhash64(doc), passing=False).withColumn(spans, F.lit(None).cast(marked.schema["spans"].dataType))
+    own = sift(keyed, few, F.xxhash64(doc)).join(marked.select(F.col("doc_id").alias(doc), F.col("spans").alias(spans)), doc, "left")
+    joined = others.unionByName(own).drop(doc)
     size = index.size
 
     def cut(texts: list[str | None], spans: list[list[dict] | None]) -> dict[str, list]:
@@ -316,7 +487,7 @@ def deduplicate(docs: DataFrame, index: WindowIndex | None = None, id_col: str =
 
     long = (T.LongType(), pa.int64())
     adds = [("n_words", *long), ("n_removed", *long), ("kept_text", T.StringType(), pa.string())]
-    return append(joined, cut, [text_col, "_spans"], adds, drop=("_spans",))
+    return append(joined, cut, [text_col, spans], adds, drop=(spans,))
 
 
 def op10_window_dedup(spark, sf_dir):

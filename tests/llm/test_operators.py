@@ -496,7 +496,7 @@ def test_differencing_decides_on_pages_without_an_article_element(spark, slots):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == differenced(pages)
     cut = sum(got[k] != "\n".join(lines) for k, _, _, lines in pages)
-    copies = sum(any(a[3][-2] in got[a[0]] for _ in (0,)) for a in pages)
+    copies = sum(lines[-2] in got[k] for k, _, _, lines in pages)
     assert cut > 0.9 * len(pages) and copies > 0.9 * len(pages)  # menus went, copies kept their article
 
 
@@ -530,23 +530,54 @@ def removed_words(texts, size):
     return out
 
 
-@pytest.mark.parametrize("block", [50, 1_000_000])
-def test_windows(spark, docs, monkeypatch, block):
-    monkeypatch.setattr(window_index.WindowIndex.claims, "__defaults__", (True, block))
+@pytest.mark.parametrize("block, batches", [(50, 1), (50, 5), (1_000_000, 4)])
+def test_windows(spark, docs, monkeypatch, block, batches):
+    monkeypatch.setattr(window_index, "BLOCK_WORDS", block)
     texts = [*TEXTS, *[" ".join(BASE[i].split()[:20] + ["new"] + BASE[i + 1].split()) for i in range(10)]]
     df = documents(spark, texts)
     want = removed_words(texts, 13)
-    for r in window_index.deduplicate(df).collect():
+    for r in window_index.deduplicate(df, batches=batches).collect():
         assert (r.n_words, r.n_removed, r.kept_text) == (len(WORD.findall(texts[r.doc_id] or "")), len(WORD.findall(texts[r.doc_id] or "")) - len(want[r.doc_id]), " ".join(want[r.doc_id]))
 
 
 def test_batches_against_the_index(spark):
-    texts = [*BASE, *BASE[::-1], *NEAR]
-    df, index, got = documents(spark, texts), window_index.WindowIndex(spark, segment_bits=2), {}
-    for lo in range(0, len(texts), 20):
-        batch, past = df.where(f"doc_id >= {lo} and doc_id < {lo + 20}"), df.where(f"doc_id < {lo}")
+    texts = [*BASE, *BASE[::-1], *NEAR, *BASE[5:30]]
+    df, index, got, levels = documents(spark, texts), window_index.WindowIndex(spark, segment_windows=400), {}, []
+    for lo in range(0, len(texts), 12):
+        batch, past = df.where(f"doc_id >= {lo} and doc_id < {lo + 12}"), df.where(f"doc_id < {lo}")
         got |= {r.doc_id: r.kept_text for r in window_index.deduplicate(batch, index, "doc_id", "text", past).collect()}
+        levels.append(sorted(r.level for r in index.runs))
+        index = window_index.WindowIndex.open(spark, index.path) if lo % 24 else index  # a later session goes on from the manifest
+        index.segment_windows = 400
     assert got == {i: " ".join(w) for i, w in enumerate(removed_words(texts, 13))}
+    # batches gather as runs; every third run of a level is compacted into one of the next
+    assert levels[:9] == [[0], [0, 0], [1], [0, 1], [0, 0, 1], [1, 1], [0, 1, 1], [0, 0, 1, 1], [2]]
+    total = sum(r.windows for r in index.runs)
+    assert index.rewritten <= 2 * total  # as often as there are levels
+    assert len({r.bits for r in index.runs}) >= 1 and max(r.bits for r in index.runs) >= 2  # segments became more as windows did
+
+
+def test_segments_split_as_they_grow():
+    keys = np.sort(np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64))
+    doc, at = np.arange(5000) % 37, np.arange(5000) * 3
+    row = window_index._packed(0, "", "index", keys, doc, at)
+    import pandas as pd
+
+    parts = pd.concat(window_index._split(3)(iter([pd.DataFrame([row], columns=window_index.RUN_COLUMNS)])))
+    assert sorted(parts["segment"]) == list(range(8))
+    got = [window_index._expand(r) for r in parts.itertuples(index=False)]
+    assert (np.concatenate([g[0] for g in got]) == keys).all() and (np.concatenate([g[1] for g in got]) == doc).all()
+    assert (np.concatenate([g[2] for g in got]) == at).all() and all((g[0] >> np.uint64(61) == s).all() for g, s in zip(got, parts["segment"], strict=True))
+
+
+def test_repeats_are_found_though_fingerprints_collide(spark):
+    """With fingerprints of 5 bits nearly all claims name a wrong place; the repeats are the same."""
+    texts = [" ".join(f"v{rnd.randrange(60)}" for _ in range(40)) for _ in range(30)]
+    texts += [" ".join(texts[k].split()[:25] + texts[k + 7].split()[5:]) for k in range(20)]
+    df = documents(spark, texts)
+    index = window_index.WindowIndex(spark, fingerprint_bits=5)
+    got = {r.doc_id: r.kept_text for r in window_index.deduplicate(df, index).collect()}
+    assert got == {i: " ".join(x) for i, x in enumerate(removed_words(texts, 13))}
 
 
 def test_window_edges(odd, empty):
