@@ -1,16 +1,17 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the characters of a text cuts it into chunks wherever the hash of the last ``WINDOW`` characters has
-``CUT_BITS`` zero bits, so passages that documents share are cut alike wherever they stand. A chunk's encoding is kept
-under its 128-bit digest: in a worker it is computed once, however many documents hold the chunk. Cutting at arbitrary
-characters makes tokens near a chunk's ends wrong, so joins are repaired: the text around a join is encoded anew, from
-the last sure boundary inside the left chunk to the first inside the right one (``units.SYNC``). The window widens over
-as many chunks as it takes to find one. At its ends both encodings agree by construction, and the result equals
-encoding the whole text.
+``CUT_BITS`` zero bits, so passages that documents share are cut alike wherever they stand. Chunks are looked up first, by 128-bit
+digests, and only new ones are encoded, however many documents hold them: a text of known chunks costs no more than cutting it
+and its joins. What is kept of a chunk is its core, the text from its first to its last sure boundary (``units.SYNC``, where every
+tokenisation of this family ends a token), because cutting at arbitrary characters makes tokens near a chunk's ends wrong.
 
-Chunks in turn are encoded from the memo of their units (a word with the space before it), and only units never seen
-reach the tokenizer library, in batches. All stores are bounded (``MEMO_UNITS``, ``MEMO_CHUNKS``) and local to a worker:
-nothing is shuffled, a lost executor costs its own tasks only.
+Joins are repaired by encoding the text between two cores anew, together with the last unit of the left core and the first of the
+right one (a unit is a word with the space before it). The library's tokens for these two units have to be those the cores have;
+where they are not, the window widens, to the whole text at last. Where they are, both encodings agree, and so does what lies beyond.
+
+New cores are encoded from the memo of their units, and only units never seen reach the tokenizer library, in batches. All stores
+are bounded (``MEMO_UNITS``, ``MEMO_CHUNKS``) and local to a worker: nothing is shuffled, a lost executor costs its own tasks only.
 
 Defined results: a null text counts as empty (no tokens, empty decoded text); very long texts are processed chunk by
 chunk; an empty table gives an empty result; other columns are ignored; repeated rows give repeated results.
@@ -60,6 +61,17 @@ def chunk_ends(text: str) -> list[int]:
     return ends if ends[-1] == n else [*ends, n]
 
 
+def sure_ends(chunk: str) -> tuple[int, int]:
+    """The first and the last sure boundary inside a chunk; (0, 0) if it has none."""
+    first = SYNC.search(chunk)
+    if first is None:
+        return 0, 0
+    for at in range(len(chunk) - 1, first.start(), -1):
+        if SYNC.match(chunk, at):
+            return first.start(), at
+    return first.start(), first.start()
+
+
 class ChunkEncoder:
     """Encodes texts as ``tokenizers.Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
@@ -72,7 +84,7 @@ class ChunkEncoder:
         self.units: Memo = Memo(MEMO_UNITS)
         self.chunks: Memo = Memo(MEMO_CHUNKS)
         self.surface = self._surfaces()
-        self.chunks_seen = self.chunks_encoded = 0
+        self.chunks_seen = self.chunks_encoded = self.widened = 0
 
     def _surfaces(self) -> list[bytes]:
         """The bytes each id stands for. Byte-level vocabularies write bytes as printable characters."""
@@ -97,13 +109,13 @@ class ChunkEncoder:
             for unit, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 units[unit] = np.array(enc.ids, np.uint32).tobytes()
 
-    def _encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text that begins and ends at sure boundaries."""
+    def _encode(self, found: list[str]) -> bytes:
+        """Little-endian 32-bit ids of units that follow each other."""
         units = self.units
         try:
-            return b"".join(map(units.__getitem__, UNIT.findall(text)))
+            return b"".join(map(units.__getitem__, found))
         except KeyError:
-            return b"".join(units[u] if u in units else self._unit(u) for u in UNIT.findall(text))
+            return b"".join(units[u] if u in units else self._unit(u) for u in found)
 
     def _unit(self, unit: str) -> bytes:
         if (got := self.units.recall(unit)) is None:
@@ -112,20 +124,9 @@ class ChunkEncoder:
                 self.units[unit] = got
         return got
 
-    def _chunk(self, text: str, chunk: str) -> tuple[int, int, bytes] | None:
-        """(first sure boundary, last one, ids between them) or None if the chunk has none."""
-        first = SYNC.search(chunk)
-        if first is None:
-            return None
-        head, last = first.start(), first.start()
-        for at in range(len(chunk) - 1, head, -1):
-            if SYNC.match(chunk, at):
-                last = at
-                break
-        return head, last, self._encode(chunk[head:last])
-
-    def encode(self, text: str) -> bytes:
-        out, waiting, start = [], 0, 0  # waiting: from where the text up to the next sure boundary is yet to be encoded
+    def _known(self, text: str, fresh: list[tuple[bytes, str]]) -> list[tuple[int, int, list]]:
+        """(start, end, what is kept of it) of the cores of a text's chunks; cores never seen are added to ``fresh``."""
+        found, start = [], 0
         for end in chunk_ends(text):
             chunk = text[start:end]
             key = hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -133,21 +134,53 @@ class ChunkEncoder:
             kept = self.chunks.get(key) or self.chunks.recall(key)
             if kept is None:
                 self.chunks_encoded += 1
-                kept = self.chunks[key] = self._chunk(text, chunk) or ()
-            if kept:
-                head, last, ids = kept
-                out.append(self._encode(text[waiting : start + head]))  # the repaired join
-                out.append(ids)
-                waiting = start + last
+                head, last = sure_ends(chunk)
+                kept = self.chunks[key] = [head, last, None, "", ""]  # ids and the first and last unit follow
+                if head < last:
+                    fresh.append((key, chunk[head:last]))
+            if kept[0] < kept[1]:
+                found.append((start + kept[0], start + kept[1], kept))
             start = end
-        out.append(self._encode(text[waiting:]))
-        return b"".join(out)
+        return found
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian 32 bits."""
         self.units.turn()
         self.chunks.turn()
-        self.learn(texts)
-        return [self.encode(t) for t in texts]
+        fresh: list[tuple[bytes, str]] = []
+        cores = [self._known(t, fresh) for t in texts]
+        entries = [self.chunks[key] for key, _ in fresh]
+        self.learn([core for _, core in fresh])
+        for entry, (_, core) in zip(entries, fresh, strict=True):
+            units = UNIT.findall(core)
+            entry[2:] = self._encode(units), units[0], units[-1]
+        windows, places = [], []  # the text around each join
+        for k, (text, own) in enumerate(zip(texts, cores, strict=True)):
+            for j in range(len(own) + 1 if text else 0):
+                left, right = own[j - 1] if j else None, own[j] if j < len(own) else None
+                lo = left[1] - len(left[2][4]) if left else 0
+                hi = right[0] + len(right[2][3]) if right else len(text)
+                windows.append(text[lo:hi])
+                places.append((k, left, right))
+        out: list[list[bytes]] = [[] for _ in texts]
+        agreed = [True] * len(texts)
+        for at in range(0, len(windows), 4096):
+            for enc, (k, left, right) in zip(self.tokenizer.encode_batch(windows[at : at + 4096], add_special_tokens=False), places[at : at + 4096], strict=True):
+                ids = np.array(enc.ids, np.uint32).tobytes()
+                before = self._unit(left[2][4]) if left else b""
+                after = self._unit(right[2][3]) if right else b""
+                agreed[k] &= ids.startswith(before) and ids.endswith(after) and len(ids) >= len(before) + len(after)
+                out[k].append(ids[len(before) : len(ids) - len(after)])
+                if right:
+                    out[k].append(right[2][2])
+        for k, same in enumerate(agreed):
+            if not same:
+                self.widened += 1
+                out[k] = [np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32).tobytes()]
+        return [b"".join(x) for x in out]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")

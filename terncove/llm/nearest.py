@@ -1,14 +1,16 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are cut into candidate blocks and query blocks of bounded size. Each pair of blocks is one tile: the int8 codes
-of both are multiplied (the products are exact integers), which gives every inner product up to a known quantisation
-error. With ``x = s*q + e`` for both sides, ``|x.y - s_x s_y q_x.q_y| <= |e_x| |y| + |s_x q_x| |e_y|``. A pair whose upper
-bound is below the k-th best lower bound of its query in the tile cannot be among the k nearest; the pairs that survive
-are recomputed in double precision from the original vectors. Each tile yields at most k pairs a query, best first, and
-tiles are merged by heaps, ``FAN_IN`` lists at a time, until one is left. Memory depends on block sizes only.
-
-Vectors that are equal within a block are compared once: of a set of equal vectors only the k + 1 smallest ids can be
-among a query's k nearest, so the rest leave the tile before the product. This is exact, ties going to smaller ids.
+Each vector is quantised once to int8 codes and a scale; codes are what is dealt over candidate blocks and query blocks of bounded
+size. Each pair of blocks is one tile: the codes of both are multiplied (the products are exact integers), which gives every inner
+product up to a known quantisation error. With ``x = s*q + e`` for both sides, ``|x.y - s_x s_y q_x.q_y| <= |e_x| |y| + |s_x q_x| |e_y|``.
+A pair whose upper bound is below the k-th best lower bound of its query cannot be among the k nearest; that is applied in each
+tile, and again as the tiles' lists are merged, ``FAN_IN`` at a time, until one list a query is left. Original vectors are fetched for its
+pairs only; these are recomputed in double precision and the k best taken by a heap.
+
+Vectors that are equal (one hash, one code) are listed once: of a set of equal vectors only the k + 1 smallest ids can be among a
+query's k nearest. This is exact, ties going to smaller ids. Where vectors lie closer to each other than codes can tell, a tile would
+list them all; a query with more than ``CROWD * k`` survivors in a tile is judged there by the original vectors instead, in a second
+round of only the tiles that have such queries. So no list exceeds ``CROWD * k`` and memory depends on block sizes only.
 
 Defined results: vectors that are null, of zero length or norm, or that hold a null or non-finite component take no part,
 nor do rows with a null id; vectors are compared only with vectors of their own dimension; rows that repeat an id count
@@ -25,12 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import small_batches, trimmed
 from .store import materialize
 
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 2048
 FAN_IN = 32
 QUERY_BUCKET = 512  # queries that one merging call holds
+CROWD = 16
+LISTS = "query_id long, ids array<long>, low array<double>, high array<double>, hashes array<long>, part int, crowded boolean"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,24 +54,31 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, list[int], list[float]]]:
-    """The k best candidates of each query in one tile: (query, ids, scores), best first."""
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    _, groups = np.unique(c.view(np.dtype((np.void, c.shape[1] * c.itemsize))).ravel(), return_inverse=True)
-    by_group = np.argsort(groups, kind="stable")  # ids ascend inside a group
-    starts = np.flatnonzero(np.r_[True, np.diff(groups[by_group]) != 0])
-    rank = np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)]))
-    kept = np.sort(by_group[rank <= k])
-    c_ids, c = c_ids[kept], np.ascontiguousarray(c[kept])
-    q_codes, q_scale, q_norm, q_err = quantise(q)
-    c_codes, c_scale, c_norm, c_err = quantise(c)
-    kind = np.float32 if c.shape[1] * 127 * 127 < 1 << 24 else np.float64  # the sums stay exact integers
-    out = []
-    q_full = q_norm + q_err
+def first_of_equals(groups: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the ``k + 1`` smallest ids of each group, ascending."""
+    order = np.lexsort((ids, groups))
+    own = groups[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+    return np.sort(order[rank <= k])
+
+
+def _column(pdf: pd.DataFrame, name: str, kind) -> np.ndarray:
+    return pdf[name].to_numpy(kind)
+
+
+def tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple]:
+    """Rows (query, ids, lower bounds, upper bounds, hashes, crowded) of one tile. ``q``, ``c``: id, code, scale, stands, err, hash."""
+    c = c.iloc[first_of_equals(np.unique(c["code"].to_numpy(object) + c["hash"].map(lambda h: int(h).to_bytes(8, "little", signed=True)).to_numpy(object), return_inverse=True)[1], _column(c, "id", np.int64), k)]
+    c_ids, c_hash = _column(c, "id", np.int64), _column(c, "hash", np.int64)
+    q_ids = _column(q, "id", np.int64)
+    q_codes, c_codes = (np.frombuffer(b"".join(x["code"]), np.int8).reshape(len(x), -1) for x in (q, c))
+    q_scale, q_norm, q_err, c_scale, c_norm, c_err = (_column(x, n, float) for x in (q, c) for n in ("scale", "stands", "err"))
+    kind = np.float32 if c_codes.shape[1] * 127 * 127 < 1 << 24 else np.float64  # the sums stay exact integers
+    right, out, q_full = c_codes.astype(kind).T, [], q_norm + q_err
     for at in range(0, len(q), 256):
         rows = slice(at, at + 256)
-        close = (q_codes[rows].astype(kind) @ c_codes.astype(kind).T).astype(np.float64)
+        close = (q_codes[rows].astype(kind) @ right).astype(np.float64)
         close *= q_scale[rows, None] * c_scale[None, :]
         slack = (q_err[rows, None] * (c_norm + c_err)[None, :] + q_norm[rows, None] * c_err[None, :]) * (1 + 1e-9) + 1e-12 * q_full[rows, None] * c_norm
         own = q_ids[rows, None] == c_ids[None, :]
@@ -76,19 +88,36 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
         alive = (close + slack >= floor[:, None]) & ~own
         for i in range(len(low)):
             js = np.flatnonzero(alive[i])
-            score = inner(np.broadcast_to(q[at + i], (len(js), q.shape[1])), c[js])
-            best = heapq.nsmallest(k, zip((-score).tolist(), c_ids[js].tolist(), strict=True)) if len(js) <= 8 * k else [
-                (-score[j], int(c_ids[js[j]])) for j in np.lexsort((c_ids[js], -score))[:k]
-            ]
-            out.append((int(q_ids[at + i]), [b[1] for b in best], [-b[0] for b in best]))
+            if len(js) > CROWD * k:
+                out.append((int(q_ids[at + i]), [], [], [], [], True))
+            elif len(js):
+                out.append((int(q_ids[at + i]), c_ids[js], low[i, js], close[i, js] + slack[i, js], c_hash[js], False))
+    return out
+
+
+def exact_tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple]:
+    """Rows of a tile by the original vectors, the k best of each query. ``q``, ``c``: id, vec, hash."""
+    c = c.sort_values("id")
+    c_ids, c_hash, vectors = _column(c, "id", np.int64), _column(c, "hash", np.int64), np.stack(c["vec"].to_numpy()).astype(np.float64)
+    out = []
+    for query, vec in zip(q["id"].tolist(), q["vec"], strict=True):
+        score = inner(np.broadcast_to(np.asarray(vec, np.float64), vectors.shape), vectors)
+        score[c_ids == query] = -np.inf
+        best = heapq.nsmallest(k, zip((-score).tolist(), c_ids.tolist(), range(len(score)), strict=True))
+        js = [b[2] for b in best if b[0] < np.inf]
+        if js:
+            out.append((query, c_ids[js], score[js], score[js], c_hash[js], False))
     return out
 
 
-def merge_lists(lists: list[tuple[list[int], list[float]]], k: int) -> tuple[list[int], list[float]]:
-    """The first k of several best-first lists."""
-    merged = heapq.merge(*(zip((-s for s in scores), ids, strict=True) for ids, scores in lists))
-    best = [b for _, b in zip(range(k), merged, strict=False)]
-    return [i for _, i in best], [-s for s, _ in best]
+def merge_lists(lists: pd.DataFrame, k: int) -> tuple[np.ndarray, ...]:
+    """ids, lower and upper bounds and hashes of what can be among the k best of several lists of one query."""
+    ids, low, high, hashes = (np.concatenate([np.asarray(x) for x in lists[c]]) for c in ("ids", "low", "high", "hashes"))
+    kept = first_of_equals(hashes.astype(np.int64), ids, k)
+    ids, low, high, hashes = ids[kept], low[kept], high[kept], hashes[kept]
+    floor = heapq.nlargest(k, low.tolist())[-1] if len(low) >= k else -np.inf
+    alive = high >= floor
+    return ids[alive].astype(np.int64), low[alive], high[alive], hashes[alive].astype(np.int64)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -109,44 +138,77 @@ def nearest(
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row for which ``is_query`` (of column id) holds."""
-    rows = materialize(usable(vectors, id_col, vector_col).withColumn("dim", F.size("vec")), "vectors")
-    queries = rows.where(is_query(F.col("id")))
-    n_rows, n_queries = rows.count(), queries.count()
+    spark = vectors.sparkSession
+    small_batches(spark)
+    rows = materialize(usable(vectors, id_col, vector_col).withColumns({"dim": F.size("vec"), "hash": F.xxhash64("vec")}), "vectors")
+
+    def code(batches):
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                codes, scale, stands, err = quantise(np.stack(part["vec"].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"id": part["id"], "dim": dim, "hash": part["hash"], "code": [c.tobytes() for c in codes], "scale": scale, "stands": stands, "err": err})
+
+    columns = ["id", "hash", "code", "scale", "stands", "err"]
+    coded = materialize(rows.mapInPandas(trimmed(code), "id long, dim int, hash long, code binary, scale double, stands double, err double"), "codes")
+    asked = is_query(F.col("id"))
+    n_rows, n_queries = rows.count(), rows.where(asked).count()
     c_blocks, q_blocks = max(1, -(-n_rows // candidate_block)), max(1, -(-n_queries // query_block))
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    c = rows.withColumn("cb", spread(c_blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    q = queries.withColumn("qb", spread(q_blocks, 2)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     keys = ["qb", "cb", "dim"]
-    q = q.select(*[F.col(x).alias(f"q_{x}") for x in (*keys, "id", "vec")])  # columns of its own: both sides scan one table
-    c = c.select(*keys, "id", "vec")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        if len(left) and len(right):
-            qv, cv = np.stack(left["q_vec"].to_numpy()).astype(np.float64), np.stack(right["vec"].to_numpy()).astype(np.float64)
-            got = tile(left["q_id"].to_numpy(), qv, right["id"].to_numpy(), cv, k)
-            got = [(*g, int(right["cb"].iloc[0])) for g in got if g[1]]
-        return pd.DataFrame(got, columns=["query_id", "ids", "scores", "part"])
-
-    lists = q.groupBy(*[f"q_{x}" for x in keys]).cogroup(c.groupBy(*keys)).applyInPandas(run, "query_id long, ids array<long>, scores array<double>, part int")
+    c = coded.withColumn("cb", spread(c_blocks, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    q = coded.where(asked).withColumn("qb", spread(q_blocks, 2)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    named = lambda df, more: df.select(*[F.col(x).alias(f"q_{x}") for x in (*keys, *more)])  # noqa: E731  columns of its own: both sides scan one table
+
+    def tiles(find):
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            got = []
+            if len(left) and len(right):
+                block = int(right["cb"].iloc[0])
+                found = find(left.rename(columns=lambda n: n.removeprefix("q_")), right, k)
+                got = [(query, ids, low, high, hashes, block, crowded) for query, ids, low, high, hashes, crowded in found]
+            return pd.DataFrame(got, columns=[x.split()[0] for x in LISTS.split(", ")])
+
+        return run
+
+    by = lambda side, prefix="": side.groupBy(*[f"{prefix}{x}" for x in keys])
+    first = by(named(q, columns), "q_").cogroup(by(c.select(*keys, *columns))).applyInPandas(tiles(tile), LISTS)
+    first = materialize(first, "tiles")
+    crowds = materialize(first.where("crowded").select(F.col("query_id").alias("id"), F.col("part").alias("cb")), "crowds")
+    crowded = rows.join(crowds, "id").withColumn("qb", spread(q_blocks, 2))
+    there = crowded.select("qb", "cb", "dim").distinct()
+    around = rows.withColumn("cb", spread(c_blocks, 1)).join(there, ["cb", "dim"])
+    second = by(named(crowded, ["id", "vec", "hash"]), "q_").cogroup(by(around.select(*keys, "id", "vec", "hash"))).applyInPandas(tiles(exact_tile), LISTS)
+    lists = first.where("not crowded").unionByName(second)
     buckets = max(1, -(-n_queries // QUERY_BUCKET))
+    bucket = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        for query, part in pdf.groupby("query_id", sort=False):
-            ids, scores = merge_lists([(list(i), list(s)) for i, s in zip(part["ids"], part["scores"], strict=True)], k)
-            got.append((query, ids, scores, int(part["part"].iloc[0])))
-        return pd.DataFrame(got, columns=["query_id", "ids", "scores", "part"])
+        got = [(query, *merge_lists(part, k), int(part["part"].iloc[0]), False) for query, part in pdf.groupby("query_id", sort=False)]
+        return pd.DataFrame(got, columns=[x.split()[0] for x in LISTS.split(", ")])
 
     parts = c_blocks
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        bucket = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket")
-        lists = lists.withColumn("part", F.pmod("part", F.lit(parts))).groupBy(bucket, "part").applyInPandas(
-            merge, "query_id long, ids array<long>, scores array<double>, part int"
-        )
-    pairs = lists.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("pos", "hit"))
-    return pairs.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
+        lists = lists.withColumn("part", F.pmod("part", F.lit(parts))).groupBy(bucket, "part").applyInPandas(merge, LISTS)
+    pairs = lists.select("query_id", F.explode("ids").alias("vec_id"))
+    both = pairs.join(rows.select(F.col("id").alias("vec_id"), F.col("vec").alias("there")), "vec_id")
+    both = both.join(rows.where(asked).select(F.col("id").alias("query_id"), F.col("vec").alias("here")), "query_id")
+
+    def recompute(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["here"].map(len)):
+                score = inner(np.stack(part["here"].to_numpy()).astype(np.float64), np.stack(part["there"].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"query_id": part["query_id"], "vec_id": part["vec_id"], "score": score})
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        for query, part in pdf.groupby("query_id", sort=False):
+            nearest_k = heapq.nsmallest(k, zip((-part["score"]).tolist(), part["vec_id"].tolist(), strict=True))
+            got += [(query, n + 1, i, -s) for n, (s, i) in enumerate(nearest_k)]
+        return pd.DataFrame(got, columns=["query_id", "rank", "vec_id", "score"])
+
+    scored = both.mapInPandas(trimmed(recompute), "query_id long, vec_id long, score double")
+    return scored.groupBy(bucket).applyInPandas(best, "query_id long, rank int, vec_id long, score double")
 
 
 def op1_nearest(spark, sf_dir):

@@ -74,6 +74,19 @@ def test_nearest_is_exact(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [16, 10_000])
+def test_vectors_closer_than_codes_can_tell(spark, block, monkeypatch):
+    monkeypatch.setattr(nearest, "CROWD", 2)
+    r = np.random.default_rng(6)
+    base = r.normal(size=8)
+    rows = [(i, [float(x) for x in base + r.normal(size=8) * 1e-7]) for i in range(90)] + [(200 + i, [float(x) for x in r.normal(size=8)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r_ in nearest.nearest(df, lambda i: i % 20 == 0, 4, candidate_block=block, query_block=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r_.query_id, []).append((r_.vec_id, r_.score))
+    assert got == best(rows, 4)
+
+
 def test_nearest_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.nearest(df, lambda i: i % 20 == 0).count() == 0
@@ -222,6 +235,15 @@ def test_chunked_encoding_equals_the_library(library, monkeypatch, chunks):
     assert [np.frombuffer(g, np.uint32).tolist() for g in got] == want
     assert [coder.decode(g) for g in got] == [library.decode(w, skip_special_tokens=False) for w in want]
     assert coder.chunks_encoded < coder.chunks_seen  # repeated texts reuse their chunks
+    encoded, learned = coder.chunks_encoded, []
+    monkeypatch.setattr(coder, "learn", learned.extend)
+    assert coder.encode_batch(texts) == got and coder.chunks_encoded == encoded and not learned  # known chunks cost no tokenising
+
+
+def test_joins_that_disagree_widen_to_the_whole_text(library):
+    coder, text = bpe.ChunkEncoder(bpe.tokenizer_file("byte_bpe_50k.json")), " ".join(f"word{k} of" for k in range(600))
+    coder.units[" of"] = b"\x01\x00\x00\x00"  # a wrong memory
+    assert np.frombuffer(coder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids and coder.widened == 1
 
 
 def test_encode_documents(docs, odd, empty, library):
