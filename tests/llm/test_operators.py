@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -54,7 +55,7 @@ def best(vectors, k):
     ok = {i: v for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     for q, v in ok.items():
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok.items() if i != q and len(w) == len(v))
+            scored = sorted((-reduce(lambda s, ab: s + ab[0] * ab[1], zip(v, w, strict=True), 0.0), i) for i, w in ok.items() if i != q and len(w) == len(v))
             out[q] = [(i, -s) for s, i in scored[:k]]
     return out
 
