@@ -44,7 +44,7 @@ SIZE = 13
 BLOCK_WORDS = 1_000_000
 SEGMENT_WINDOWS = 1_500_000
 FAN_IN = 3
-BATCHES = 4  # of a table that is deduplicated as a whole
+BATCHES = 3  # of a table that is deduplicated as a whole
 REPAIR_KEYS = 500_000  # fingerprints of failed claims that one pass over the texts looks for
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
