@@ -167,8 +167,8 @@ class ChunkEncoder:
         for at in range(0, len(windows), 4096):
             for enc, (k, left, right) in zip(self.tokenizer.encode_batch(windows[at : at + 4096], add_special_tokens=False), places[at : at + 4096], strict=True):
                 ids = np.array(enc.ids, np.uint32).tobytes()
-                before = self._unit(left[2][4]) if left else b""
-                after = self._unit(right[2][3]) if right else b""
+                before = self._encode([left[2][4]]) if left else b""
+                after = self._encode([right[2][3]]) if right else b""
                 agreed[k] &= ids.startswith(before) and ids.endswith(after) and len(ids) >= len(before) + len(after)
                 out[k].append(ids[len(before) : len(ids) - len(after)])
                 if right:
