@@ -96,6 +96,11 @@ def with_survivors(leads: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(keep.alias("keep_id"), drop.alias("drop_id"), "distance_m", "similarity")
 
 
+def latest(*stamps: str) -> Column:
+    """The latest time that is known."""
+    return F.greatest(*stamps)
+
+
 def merge_pairs(leads: DataFrame, chosen: DataFrame) -> DataFrame:
     """Leads after each chosen drop row gave its keep row what that lacks; all columns stay, drop rows go."""
     others = leads.select(*[F.col(c).alias(f"_{c}") for c in leads.columns]).join(chosen.select(F.col("drop_id").alias("_id"), "keep_id"), "_id")
@@ -123,7 +128,7 @@ def merge_pairs(leads: DataFrame, chosen: DataFrame) -> DataFrame:
     new["merged_ids"] = F.when(paired, F.array_sort(F.array_distinct(every))).otherwise(F.col("merged_ids"))
     notes = F.trim(F.concat(F.coalesce("notes", F.lit("")), F.lit(" "), F.col("_notes")))
     new["notes"] = F.when(paired & (F.coalesce(F.col("_notes"), F.lit("")) != ""), notes).otherwise(F.col("notes"))
-    new |= {c: F.greatest(F.col(c), F.col(f"_{c}")) for c in STAMPS if c in leads.columns}
+    new |= {c: latest(c, f"_{c}") for c in STAMPS if c in leads.columns}
     if "website" in leads.columns and "website_status" in leads.columns:
         copied = paired & (F.coalesce(F.col("website"), F.lit("")) == "") & filled(F.col("_website")).isNotNull()
         new["website_status"] = F.when(copied, "has_website").otherwise(F.col("website_status"))

@@ -50,5 +50,10 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def sheet_rows(leads: DataFrame, fields: list[str]) -> DataFrame:
+    """What a sheet is overwritten with: all leads in order of their ids."""
+    return leads.orderBy("id").select(*fields)
+
+
 def snapshot(rows: DataFrame, path: str) -> None:
     rows.orderBy("id").write.mode("overwrite").parquet(path)

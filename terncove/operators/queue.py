@@ -129,3 +129,24 @@ def lead_context() -> Column:
         "id", "name", "category", "city", F.coalesce(F.col("website_status") == "has_website", F.lit(False)).alias("has_website"), "website",
         describe_automation(F.col("automation")).alias("automation_summary"), "has_automation", F.col("size_estimate").alias("size"),
     )
+
+
+def with_context(items: DataFrame, leads: DataFrame) -> DataFrame:
+    """Items with what their writer needs to know (``lead``)."""
+    known = leads.select(F.col("id").alias("business_id"), lead_context().alias("lead"))
+    return items.join(known, "business_id")
+
+
+def with_queue_status(leads: DataFrame, items: DataFrame) -> DataFrame:
+    """All leads with ``item_status``: that of their last item in the channel, NULL if they have none."""
+    last = items.where(F.col("channel") == CHANNEL).groupBy(F.col("business_id").alias("id")).agg(F.max(F.struct(F.col("id").alias("item"), "status")).alias("_last"))
+    return leads.join(last, "id", "left").withColumn("item_status", F.col("_last.status")).drop("_last")
+
+
+def newest_first(events: DataFrame, at: str = "created_at") -> DataFrame:
+    return events.orderBy(F.desc_nulls_last(at), F.desc("id"))
+
+
+def lead_events(events: DataFrame, leads: DataFrame) -> DataFrame:
+    """The history of each of ``leads``, newest first, with the lead's name."""
+    return newest_first(events.join(leads.select(F.col("id").alias("business_id"), "name"), "business_id"))

@@ -45,7 +45,7 @@ def text_search(query: str) -> Column:
     return F.col("name").ilike(pattern) | F.col("phone").like(pattern)
 
 
-def query(leads: DataFrame, city=None, category=None, status=None, contact=False, is_hot=False, is_automated=False, valid_email=False, without_site=False, limit: int | None = 10_000) -> DataFrame:
+def query(leads: DataFrame, city=None, category=None, status=None, contact=False, is_hot=False, is_automated=False, valid_email=False, without_site=False, limit: int | None = None) -> DataFrame:
     """All given conditions together, ordered by name; ids break ties."""
     conditions = [F.col(k) == v for k, v in (("city", city), ("category", category), ("status", status)) if v]
     conditions += [c() for wanted, c in ((contact, has_contact), (is_hot, hot), (is_automated, automated), (valid_email, email_usable), (without_site, no_website)) if wanted]

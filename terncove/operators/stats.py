@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,9 @@ def source_tags(leads: DataFrame) -> DataFrame:
 def branch_counts(leads: DataFrame, scope: str = "global") -> DataFrame:
     """Leads with the number of leads of exactly the same name, everywhere or in the same city."""
     keys = ["name", "city"] if scope == "city" else ["name"]
-    return leads.withColumn("branches", F.count("*").over(Window.partitionBy(*keys)))
+    counts = leads.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("branches"))  # combines before the shuffle; a window would gather a common name's rows
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return leads.drop("branches").join(counts, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def funnel(leads: DataFrame) -> DataFrame:
@@ -81,6 +86,20 @@ def due_targets(plan: DataFrame, runs: DataFrame, now: Column, rerun_days: int =
     return plan.join(last.select("city", "category", "started_at"), ["city", "category"], "left").where(old).select("city", "category")
 
 
+def pending(plan: DataFrame, runs: DataFrame) -> DataFrame:
+    """Pairs of city and category that never finished: where a run that broke off goes on."""
+    return plan.join(last_runs(runs, ("city", "category")).select("city", "category"), ["city", "category"], "left_anti")
+
+
+def recent_runs(runs: DataFrame, limit: int) -> DataFrame:
+    return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
+
+
+def dimensions(leads: DataFrame) -> DataFrame:
+    """The cities and categories there are, for choice lists."""
+    return leads.select("city", "category").distinct().orderBy("city", "category")
+
+
 def failure_stops(attempts: DataFrame, after: int = 3) -> DataFrame:
     """attempts: run_id, seq, ok. Where a run stops: the first attempt that ends so many failures in a row."""
     order = Window.partitionBy("run_id").orderBy("seq")
