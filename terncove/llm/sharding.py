@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 8
+SLICES = 64
 RING_BITS = 52
 CELL_BITS = 9
 
@@ -88,7 +88,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, vnodes: int = 64, id_col:
     arcs_by_cell = F.broadcast(spark.createDataFrame(cell_arcs([p for p, _ in points]), "_cell int, _from long, _to long, _arc int"))
     keyed = keyed.withColumn("_cell", F.shiftright("_pos", RING_BITS - CELL_BITS).cast("int")).join(arcs_by_cell, "_cell")
     keyed = keyed.where((F.col("_pos") >= F.col("_from")) & (F.col("_pos") < F.col("_to"))).drop("_cell", "_from", "_to")
-    fine = F.xxhash64(F.col("doc_id"), F.lit(7))
+    fine = F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.lit(7))  # rows that repeat an id spread too
     keyed = keyed.withColumn("_slice", F.pmod(fine, F.lit(SLICES)).cast("int"))
     counted = {
         (r["_arc"], r["_slice"]): r["n"] for r in keyed.groupBy("_arc", "_slice").agg(F.count("*").alias("n")).collect()

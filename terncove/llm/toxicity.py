@@ -10,7 +10,8 @@ the log-likelihood ratio. All other words are clean. The CRF is fitted to these
 then a small logistic model maps a document's marginals (expected number of toxic words, strongest word) to its score.
 
 The sample is bounded and documented: ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE`` labelled documents at most, those with the
-smallest hash of doc_id. Everything else covers all rows and whole texts. Scores depend on the text alone.
+smallest hash of doc_id; among them texts above ``LONGEST`` bytes are left out, and rows that repeat a doc_id count as the greatest. Everything else covers all rows and whole texts. Scores
+depend on the text alone.
 
 Defined results: null and empty texts have no words and get the score of no evidence; rows of a doc_id with contradictory
 labels are not learned from; without labels of both kinds every score is the share of toxic labels (0 without labels); an
@@ -35,6 +36,7 @@ from .units import Memo, forget
 
 TOXIC_SAMPLE = 600
 CLEAN_SAMPLE = 1500
+LONGEST = 32_768
 ALIKE = 12  # bits by which SimHash fingerprints of near copies differ at most
 CHAIN = 256  # words; a text is cut into chains of this length
 LEAST_DOCUMENTS = 3  # of the sample in which a feature occurs to get a weight
@@ -235,14 +237,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most")
     order = F.xxhash64("doc_id", F.lit(5))
-    counts = {int(r["toxic"]): r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = {int(r["toxic"]): r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     pick = own.where("toxic = 1").orderBy(order).limit(TOXIC_SAMPLE).union(own.where("toxic = 0").orderBy(order).limit(CLEAN_SAMPLE))
     wanted = {r["doc_id"]: int(r["toxic"]) for r in pick.select("doc_id", "toxic").collect()}
     if not wanted:
         return fit([], [])
-    few = docs.sparkSession.createDataFrame([(k,) for k in wanted], "_wanted long")
-    rows = docs.join(F.broadcast(few), docs[id_col] == few["_wanted"], "left_semi").select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).collect()
-    texts = {r[0]: r[1] for r in sorted(rows)}  # of rows that repeat a doc_id, the last in order
+    few = docs.sparkSession.createDataFrame([(k,) for k in wanted], "_wanted long")  # as many as the samples hold
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    there = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.octet_length("text") <= LONGEST)
+    rows = there.join(F.broadcast(few), there["id"] == few["_wanted"], "left_semi").groupBy("id").agg(F.max("text").alias("text")).collect()
+    texts = {r["id"]: r["text"] for r in rows}
     ids = one_of_each(texts)
     toxic = [wanted[i] for i in ids]
     share = (counts.get(0, 0) / max(1, toxic.count(0))) / (counts.get(1, 1) / max(1, toxic.count(1)))
