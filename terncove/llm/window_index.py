@@ -430,8 +430,9 @@ def _keys_of_windows(size: int, bits: int):
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
-    """``docs`` (doc_id, text) in ``n`` ranges of ascending doc_id with about as many rows each; null ids come last."""
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 1000).alias("c")).first()["c"] or []
+    """``docs`` (doc_id, text) in ``n`` ranges of ascending doc_id with about as many rows each, but for the last, which need not be written
+    and has twice as many; null ids come last."""
+    cuts = docs.select(F.percentile_approx("doc_id", [k / (n + 1) for k in range(1, n)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     bounds = [None, *cuts, None]
     out = []

@@ -206,6 +206,46 @@ def test_shards_are_full_and_gapless(docs, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def ring_by_keys(rows, shards, vnodes):
+    """Where each key goes when keys are dealt one by one: (position, tie-breakers) to shard. Rows: (slice, doc_id, crc, size)."""
+    points = sorted((int(hashlib.md5(f"shard/{s}/{v}".encode()).hexdigest()[:13], 16), s) for s in range(shards) for v in range(vnodes))
+    places = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    arcs = {}
+    for key, (part, doc_id, crc, size) in enumerate(rows):
+        p = int(hashlib.md5(f"key/{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16)
+        arc = next((i for i, (q, _) in enumerate(points) if q >= p), 0)
+        arcs.setdefault(arc, []).append((part, p, (doc_id is not None, doc_id), crc, size, key))
+    queues, out, used = {a: sorted(r) for a, r in sorted(arcs.items())}, {}, [0] * shards
+    for step in range(len(points)):
+        for a, q in queues.items():  # each arc offers its first keys to the next point clockwise
+            shard = points[(a + step) % len(points)][1]
+            while q and places[shard]:
+                out[q.pop(0)[-1]] = shard
+                places[shard] -= 1
+                used[shard] += 1
+    return out
+
+
+def test_every_key_goes_where_the_ring_says(spark, docs, odd):
+    for df in (docs, odd, spark.createDataFrame([(None if i % 3 else 7, f"t{i % 11}") for i in range(300)], "doc_id long, text string")):
+        got = sharding.shard_documents(df, 5, 3).collect()
+        hashed = spark.createDataFrame([(r.doc_id, r.text_crc32, r.size) for r in got], "doc_id long, crc long, size long")
+        part = F.pmod(F.xxhash64("doc_id", "crc", "size", F.lit(7)), F.lit(sharding.SLICES))
+        rows = [(r.part, r.doc_id, r.crc, r.size) for r in hashed.select("*", part.alias("part")).collect()]
+        model = ring_by_keys(rows, 5, 3)
+        want, have = {}, {}
+        for k, (row, r) in enumerate(zip(rows, got, strict=True)):  # equal rows are told apart by nothing: they are counted
+            want.setdefault(row, []).append(model[k])
+            have.setdefault(row, []).append(r.shard)
+        assert {k: sorted(v) for k, v in want.items()} == {k: sorted(v) for k, v in have.items()}
+
+
+def test_rows_that_repeat_an_id_spread_over_slices(spark):
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    part = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.octet_length("text") + 1, F.lit(7)), F.lit(sharding.SLICES))
+    assert df.select(part.alias("p")).distinct().count() > sharding.SLICES // 2
+
+
 def test_few_keys_move_when_a_shard_joins(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a = {r.doc_id: r.shard for r in sharding.shard_documents(df, 8).collect()}
@@ -319,6 +359,35 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p, weight / total)
 
 
+def test_scores_from_enumerated_marginals():
+    """A text's score is the logistic of what forward-backward gives, here summed over all labellings of its words."""
+    crf = toxicity.fit(*toxic_corpus(200, 4))
+    for text in ("plain1 vile plain2 nasty", "plain3", "nasty vile gruff1 plain9 plain8 vile", ""):
+        words = text.split()
+        scores = [crf.emission(w) for w in words]
+        weight, total = np.zeros(len(words)), 0.0
+        for bits in range(1 << len(words)):
+            y = [(bits >> i) & 1 for i in range(len(words))]
+            w = np.exp(sum(s for s, b in zip(scores, y, strict=True) if b) + sum(crf.trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            weight += w * np.array(y)
+        p = weight / total if words else np.zeros(0)
+        most = min(max(p.max() if words else 1e-6, 1e-6), 1 - 1e-6)
+        x = np.array([1.0, np.log(p.sum() + 1e-3), np.log(most / (1 - most))])
+        want = 1 / (1 + np.exp(-np.clip(x @ crf.calibration, -30, 30)))
+        assert abs(toxicity.Scorer(crf)([text], False)[0][0] - want) < 1e-6
+
+
+def test_toxicity_of_the_given_labels(spark):
+    """On the given tables, by rows that the model did not learn from and by the others. Labels of texts without any word that tells are noise."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), spans=False).join(labels.where("toxic is not null"), "doc_id")
+    n = {(r.held, r.toxic, r.hit): r["count"] for r in scored.groupBy(toxicity.held_out(F.col("doc_id")).alias("held"), "toxic", (F.col("toxicity") >= 0.5).alias("hit")).count().collect()}
+    for held in (True, False):
+        right, wrong, missed = n.get((held, 1, True), 0), n.get((held, 0, True), 0), n.get((held, 1, False), 0)
+        assert right / max(1, right + wrong) >= 0.9 and right / (right + missed) >= 0.6
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(i, None, i % 2) for i in range(12)] + [(5, None, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
     for model in (toxicity.learn(odd, labels), toxicity.learn(odd, labels.where("1 = 0")), toxicity.learn(empty, labels)):
