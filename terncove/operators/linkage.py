@@ -67,12 +67,80 @@ def _metres(a: float, b: float, c: float, d: float) -> float:
     return 2 * 6_371_000.0 * math.asin(math.sqrt(h))
 
 
+class Places:
+    """The leads of a city in order of their arrival, and which of them a record's name and place can match at all.
+
+    Nearly equal names (``NAME_ALONE``) are found by letter triples: a text that differs in few letters has one of the rarest triples, a longer
+    one has all, a shorter one begins with one. Other names count only nearby (cells of ``NEAR_M``) or at the same address.
+    """
+
+    SIZE = NEAR_M / 111_000
+
+    def __init__(self):
+        self.rows: list[dict] = []
+        self.triples: dict[str, list[int]] = {}
+        self.begins: dict[str, list[int]] = {}
+        self.short: list[int] = []
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.addresses: dict[tuple[str, str], list[int]] = {}
+
+    @classmethod
+    def column(cls, row: int, lon: float) -> int:
+        """Cells of a row are as wide as the distance is there at least."""
+        return math.floor(lon / (cls.SIZE / max(math.cos(math.radians(min((abs(row) + 2) * cls.SIZE, 89.0))), 0.01)))
+
+    def add(self, row: dict) -> None:
+        n, name = len(self.rows), row["norm"] or ""
+        self.rows.append(row)
+        for t in {name[i : i + 3] for i in range(len(name) - 2)}:
+            self.triples.setdefault(t, []).append(n)
+        if len(name) >= 3:
+            self.begins.setdefault(name[:3], []).append(n)
+        elif name:
+            self.short.append(n)
+        if _usable(row["lat"]) and _usable(row["lon"]):
+            cy = math.floor(row["lat"] / self.SIZE)
+            self.cells.setdefault((cy, self.column(cy, row["lon"])), []).append(n)
+        if row["house"]:
+            for stem in row["stems"]:
+                self.addresses.setdefault((row["house"], stem), []).append(n)
+
+    def candidates(self, rec: dict, stems: set[str]) -> list[dict]:
+        name, found = rec["norm"] or "", set()
+        if not name:
+            return []
+        if len(name) < 3:
+            return self.rows
+        # at most so many letters of both differ if the ratio is NAME_ALONE; each spoils three triples at most
+        differ = int((1 - NAME_ALONE) * len(name) * (1 + (2 - NAME_ALONE) / NAME_ALONE) + 1e-9)
+        own = {name[i : i + 3] for i in range(len(name) - 2)}
+        for t in sorted(own, key=lambda t: len(self.triples.get(t, ())))[: 3 * differ + 1]:
+            found.update(self.triples.get(t, ()))
+        for t in own:
+            found.update(self.begins.get(t, ()))
+        found.update(self.short)
+        if _usable(rec["lat"]) and _usable(rec["lon"]):
+            cy = math.floor(rec["lat"] / self.SIZE)
+            for y in (cy - 1, cy, cy + 1):
+                cx = self.column(y, rec["lon"])
+                for x in (cx - 1, cx, cx + 1):
+                    found.update(self.cells.get((y, x), ()))
+        if rec["house"]:
+            for stem in stems:
+                found.update(self.addresses.get((rec["house"], stem), ()))
+        return [self.rows[n] for n in sorted(found)]
+
+
+def _usable(x) -> bool:
+    return x is not None and x == x
+
+
 def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
     """Sequential matching of one component: a record may match a lead that an earlier record of the batch created."""
     known = leads.sort_values("id").to_dict("records")
     by_key: dict[str, dict] = {}
     by_phone: dict[tuple, dict] = {}
-    by_city: dict[str, list[dict]] = {}
+    by_city: dict[str, Places] = {}
 
     def add(row: dict) -> None:
         by_key[row["osm_id"]] = row
@@ -82,10 +150,7 @@ def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
             by_key[e] = row
         if row["phone"]:
             by_phone.setdefault((row["city"], row["phone"]), row)
-        by_city.setdefault(row["city"], []).append(row)
-
-    def usable(x) -> bool:
-        return x is not None and x == x
+        by_city.setdefault(row["city"], Places()).add(row)
 
     for row in known:
         row["stems"] = set(row["stems"])
@@ -98,8 +163,8 @@ def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
         if row is None:
             best, best_score, alone = None, 0.0, []
             stems = set(rec["stems"])
-            for other in by_city.get(rec["city"], ()):
-                near = usable(rec["lat"]) and usable(other["lat"]) and _metres(rec["lat"], rec["lon"], other["lat"], other["lon"]) <= NEAR_M
+            for other in by_city[rec["city"]].candidates(rec, stems) if rec["city"] in by_city else ():
+                near = _usable(rec["lat"]) and _usable(other["lat"]) and _metres(rec["lat"], rec["lon"], other["lat"], other["lon"]) <= NEAR_M
                 same = bool(rec["house"]) and rec["house"] == other["house"] and bool(stems & other["stems"])
                 least = NAME_LEAST if near or same else NAME_ALONE  # elsewhere only nearly equal names count
                 score = similarity_from(rec["norm"], other["norm"], least)
@@ -130,7 +195,7 @@ def link(leads: DataFrame, records: DataFrame) -> DataFrame:
     city, address, lat, lon, phones, email, website, create_if_missing.
     """
     recs = prepared(records)
-    part = F.broadcast(city_components(leads, recs))
+    part = city_components(leads, recs)
     lead = leads.select(
         "id", "osm_id", "city", "phone", "lat", "lon", X.normalize_name(F.col("name")).alias("norm"), X.address_house(F.col("address")).alias("house"),
         X.address_stems(F.col("address")).alias("stems"), F.coalesce("merged_ids", F.array().cast("array<string>")).alias("merged_keys"),

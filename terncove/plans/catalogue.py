@@ -472,16 +472,34 @@ add("w02_w03_dedupe", lambda t: dedupe.dedupe(_mergeable(t)).select("id", "osm_i
 
 
 def _link(t: Tables) -> DataFrame:
+    """Records of known leads by phone, by their name a little changed near by or at the address, of places that are new, told of twice
+    (the second time with another phone, number and address), and of places that may not be created."""
     leads = t.leads.withColumns({"merged_ids": F.lit(None).cast("array<string>"), "external_ids": F.lit(None).cast("map<string,string>")})
-    r = t.leads.where("k % 3 = 1").select(
-        F.col("id").alias("pos"), F.lit("nszu").alias("source"), F.col("id").cast("string").alias("ext_id"), "name", "category", "city", "address", "lat", "lon",
-        F.when(F.col("k") % 2 == 0, F.array("phone")).otherwise(F.array().cast("array<string>")).alias("phones"), "email", "website", (F.col("k") % 5 != 0).alias("create_if_missing"),
+    none = F.array().cast("array<string>")
+    nszu = F.lit("nszu").alias("source")
+    own = ["category", "city", "address", "lat", "lon"]
+    near = F.when(F.col("k") % 4 == 1, F.concat("name", F.lit("a"))).otherwise(F.col("name")).alias("name")
+    known = t.leads.where("k % 3 = 1").select(
+        F.col("id").alias("pos"), nszu, F.concat(F.lit("k"), "id").alias("ext_id"), near, *own,
+        F.when(F.col("k") % 2 == 0, F.array("phone")).otherwise(none).alias("phones"), "email", "website", (F.col("k") % 5 != 0).alias("create_if_missing"),
     )
-    return linkage.link(leads, r)
+    coded = F.translate(F.md5(F.concat(F.lit("x"), "k")), "0123456789", "ghijklmnop")
 
+    def place(first: int, ext: str, street: str):
+        phone = F.concat(F.lit("+38050"), F.lpad(F.col("k").cast("string"), 7, "0"))
+        return t.leads.where("copy = 0 and k % 3 = 2").select(
+            (F.col("id") + F.lit(first)).alias("pos"), nszu, F.concat(F.lit(ext), "id").alias("ext_id"), coded.alias("name"), "category", "city", F.lit(street).alias("address"),
+            (F.col("lat") + 1).alias("lat"), F.col("lon"), (F.array(phone) if first < 2 * 10**9 else none).alias("phones"), "email", "website", (F.col("k") % 2 == 0).alias("create_if_missing"),
+        )
 
-LINKED = "select id as pos, 'matched' as outcome, case when k % 2 = 0 then first else id end as lead_id from (select *, min(id) over (partition by city, phone) as first from leads) where k % 3 = 1"
-add("j02_j03_u06_linkage", lambda t: _link(t).select("pos", "outcome", "lead_id"), LINKED)
+    return linkage.link(leads, known.unionByName(place(10**9, "f", "вул. Нова, 1")).unionByName(place(2 * 10**9, "g", "вул. Інша, 7")))
+
+
+LINKED = """select id as pos, 'matched' as outcome, case when k % 2 = 0 then first else id end as lead_id, cast(null as bigint) as created_by
+  from (select *, min(id) over (partition by city, phone) as first from leads) where k % 3 = 1
+  union all select id + 1000000000, case when k % 2 = 0 then 'new' else 'skipped' end, null, case when k % 2 = 0 then id + 1000000000 end from leads where copy = 0 and k % 3 = 2
+  union all select id + 2000000000, case when k % 2 = 0 then 'merged' else 'skipped' end, null, case when k % 2 = 0 then id + 1000000000 end from leads where copy = 0 and k % 3 = 2"""
+add("j02_j03_u06_linkage", lambda t: _link(t).select("pos", "outcome", "lead_id", "created_by"), LINKED)
 add("u06_counters", lambda t: linkage.counters(_link(t)), f"select outcome, count(*) as n from ({LINKED}) group by 1")
 
 

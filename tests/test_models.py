@@ -62,6 +62,34 @@ def test_linkage_rules_in_order(spark):
     assert got == {0: ("matched", 1, None), 1: ("matched", 1, None), 2: ("matched", 2, None), 3: ("matched", 3, None), 4: ("new", None, 4), 5: ("merged", None, 4), 6: ("skipped", None, None)}
 
 
+def test_candidates_miss_no_match():
+    """The indexed fold against a scan of all leads of a city, with one city that holds nine tenths of them."""
+    r = random.Random(7)
+    words = ["слон", "лев", "дентал", "арт", "смайл", "плюс", "медік", "к", "ок", "центр здоров"]
+
+    def name():
+        base = " ".join(r.choices(words, k=r.randint(1, 3)))
+        return base if r.random() < 0.6 else base[: r.randint(1, len(base))] + r.choice("абвгд") + base[r.randint(1, len(base)) :]
+
+    def place(i):
+        house = r.choice([None, "1", "2", "3"])
+        where = {"lat": r.choice([None, 50.0 + r.random() * 0.01]), "lon": 30.0 + r.random() * 0.01, "house": house, "stems": r.sample(["шевче", "франк", "нова"], r.randint(0, 2))}
+        return {"city": "Київ" if r.random() < 0.9 else "Львів", "norm": r.choice([name(), name(), ""]), "phone": None, **where}
+
+    leads = [{"id": i, "osm_id": f"node/{i}", "merged_keys": [], "own_keys": [], "created_by": None, **place(i)} for i in range(400)]
+    records = [{"pos": i, "key": f"n/{i}", "raw_key": f"n/{i}", "phones": [], "create_if_missing": r.random() < 0.5, **place(i)} for i in range(300)]
+    frames = lambda rows: pd.DataFrame(rows).astype(object).where(lambda d: d.notna(), None)
+    got = linkage.fold(frames(leads), frames(records)).astype(object)
+    every = linkage.Places.candidates
+    try:
+        linkage.Places.candidates = lambda self, rec, stems: self.rows
+        want = linkage.fold(frames(leads), frames(records)).astype(object)
+    finally:
+        linkage.Places.candidates = every
+    assert got.fillna(-1).values.tolist() == want.fillna(-1).values.tolist()
+    assert {"matched", "merged", "new", "skipped"} == set(got["outcome"])
+
+
 def test_fill_takes_only_what_is_missing(spark):
     leads = spark.createDataFrame(
         [(1, "node/1", "Слон", "Ужгород", None, None, None, "+380671111111", None, None, None, None, True, None, None, None, "osm", None)],
