@@ -1,11 +1,12 @@
 """Word lists, tables and patterns that results depend on, stated as they are."""
 
 # words that do not tell one business from another
-NAME_STOP_WORDS = (
-    "салон студія студия студио studio тату tattoo tatoo барбершоп barbershop barber перукарня парикмахерская beauty клініка клиника "
-    "clinic медичний центр center centre стоматологія стоматология dental кафе cafe ресторан restaurant бар bar магазин shop store "
-    "маркет market тов фоп ооо чп пп llc ltd спа spa краси красоты"
-).split()
+NAME_STOP_WORDS = [
+    "салон", "студія", "студия", "студио", "studio", "тату", "tattoo", "tatoo", "барбершоп", "barbershop", "barber",
+    "перукарня", "парикмахерская", "beauty", "клініка", "клиника", "clinic", "медичний", "центр", "center", "centre",
+    "стоматологія", "стоматология", "dental", "кафе", "cafe", "ресторан", "restaurant", "бар", "bar", "магазин", "shop",
+    "store", "маркет", "market", "тов", "фоп", "ооо", "чп", "пп", "llc", "ltd", "спа", "spa", "краси", "красоты",
+]
 
 # discovery tags in order of preference
 PHONE_KEYS = ["contact:phone", "phone", "contact:mobile", "mobile", "contact:whatsapp"]
@@ -20,12 +21,14 @@ SOCIAL_KEYS = {
     "youtube": ["contact:youtube"],
 }
 
-BIG_SHOPS = "supermarket department_store mall doityourself hypermarket wholesale chain_store variety_store".split()
+BIG_SHOPS = [
+    "supermarket", "department_store", "mall", "doityourself", "hypermarket", "wholesale", "chain_store", "variety_store",
+]
 BIG_AMENITIES = ["marketplace"]
-BIG_BRANDS = (
-    "сільпо silpo атб atb ашан auchan метро metro епіцентр epicentr новус novus фора варус varus watsons eva єва rozetka розетка comfy "
-    "комфі фокстрот foxtrot мті mti"
-).split()
+BIG_BRANDS = [
+    "сільпо", "silpo", "атб", "atb", "ашан", "auchan", "метро", "metro", "епіцентр", "epicentr", "новус", "novus", "фора",
+    "варус", "varus", "watsons", "eva", "єва", "rozetka", "розетка", "comfy", "комфі", "фокстрот", "foxtrot", "мті", "mti",
+]
 MEDICAL_BRANDS = [
     "synevo", "сінево", "синэво", "синево", "діла", "dila", "дила", "ескулаб", "eskulab", "эскулаб", "csd", "csd lab", "invitro",
     "інвітро", "инвитро", "медлаб", "medlab", "астра-діа", "астра діа", "astra-dia", "astra dia", "анц", "аптека низьких цін",
@@ -130,14 +133,12 @@ STRONG_KINDS = ["booking", "chat", "callback", "crm", "calltracking"]
 
 # size scoring
 BASELINE = {
-    0: "hairdresser nails tattoo florist photo craft jewelry doctors".split(),
-    1: (
-        "beauty cafe bakery bar cleaning pet optician repair_car lawyer accountant travel real_estate insurance clothes furniture kids "
-        "cosmetology"
-    ).split(),
-    2: "restaurant dentist vet fitness spa language_school driving_school pharmacy lab rehab".split(),
-    3: "clinic hotel hospital".split(),
-}
+    "hairdresser": 0, "nails": 0, "tattoo": 0, "florist": 0, "photo": 0, "craft": 0, "jewelry": 0, "beauty": 1, "cafe": 1, "bakery": 1,
+    "bar": 1, "cleaning": 1, "pet": 1, "optician": 1, "repair_car": 1, "lawyer": 1, "accountant": 1, "travel": 1, "real_estate": 1,
+    "insurance": 1, "clothes": 1, "furniture": 1, "kids": 1, "restaurant": 2, "dentist": 2, "vet": 2, "fitness": 2, "spa": 2,
+    "language_school": 2, "driving_school": 2, "clinic": 3, "hotel": 3, "pharmacy": 2, "doctors": 0, "cosmetology": 1, "lab": 2, "rehab": 2,
+    "hospital": 3,
+}
 CHAIN_TAGS = ["brand", "brand:wikidata", "operator", "operator:wikidata"]
 CAPACITY_TAGS = ["capacity", "rooms", "beds", "capacity:persons"]
 NEGATIVE_VALUES = ["no", "none", "false", "0", ""]
@@ -167,17 +168,20 @@ MAKER_CREDIT = (
 )
 CONTACT_LINK = r"(контакт|contact|kontakt|звяж|зв.?язатися|связ|about|про[- _]?нас|о[- _]?нас|reach)"
 CONTACT_WORD = r"контакт|contact|kontakt"
-KNOWN_MAIL_DOMAINS = (
-    "gmail.com googlemail.com ukr.net i.ua meta.ua outlook.com hotmail.com yahoo.com icloud.com proton.me protonmail.com bigmir.net "
-    "online.ua email.ua"
-).split()
-AGGREGATORS = (
-    "olx.ua prom.ua rieltor.ua dom.ria.com ria.com 2gis.ua 2gis.ru yell.ru ua.kompass.com b2btoday.com.ua flagma.ua allbiz.ua ua.all.biz "
-    "tripadvisor.com booking.com foursquare.com yelp.com zoon.com.ua google.com maps.google.com youtube.com wikipedia.org work.ua "
-    "rabota.ua facebook.com instagram.com t.me linkedin.com pinterest.com"
-).split()
+KNOWN_MAIL_DOMAINS = [
+    "gmail.com", "googlemail.com", "ukr.net", "i.ua", "meta.ua", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com",
+    "proton.me", "protonmail.com", "bigmir.net", "online.ua", "email.ua",
+]
+AGGREGATORS = [
+    "olx.ua", "prom.ua", "rieltor.ua", "dom.ria.com", "ria.com", "2gis.ua", "2gis.ru", "yell.ru", "ua.kompass.com",
+    "b2btoday.com.ua", "flagma.ua", "allbiz.ua", "ua.all.biz", "tripadvisor.com", "booking.com", "foursquare.com", "yelp.com",
+    "zoon.com.ua", "google.com", "maps.google.com", "youtube.com", "wikipedia.org", "work.ua", "rabota.ua", "facebook.com",
+    "instagram.com", "t.me", "linkedin.com", "pinterest.com",
+]
 # Ukrainian numbers: +380 and nine digits that begin with an operator's or an area's code
-UA_OPERATOR_CODES = "39 50 63 66 67 68 73 75 77 91 92 93 94 95 96 97 98 99 89".split()
+UA_OPERATOR_CODES = [
+    "39", "50", "63", "66", "67", "68", "73", "75", "77", "91", "92", "93", "94", "95", "96", "97", "98", "99", "89",
+]
 UA_AREA_FIRST_DIGITS = "3456"
 
 # addresses and names
@@ -210,7 +214,10 @@ PROFILE_TITLE_TAIL = r"\s*(\(@[^)]*\)|[•|·]\s*instagram.*$)"
 SEARCH_NAME_TAIL = r"\s+[–—-]\s+.*$|\s*[|,(].*$"
 INSTAGRAM_URL = r"^(?:https?://)?(?:[\w-]+\.)?instagram\.com/([^/?#]+)"
 INSTAGRAM_NAME = r"^[a-z0-9._]{1,30}$"
-INSTAGRAM_RESERVED = "p reel reels tv explore accounts stories direct about legal developer web challenge s".split()
+INSTAGRAM_RESERVED = [
+    "p", "reel", "reels", "tv", "explore", "accounts", "stories", "direct", "about", "legal", "developer", "web", "challenge",
+    "s",
+]
 
 # registry codes
 PRIVATE_PROPERTY = ["ФОП", "Приватна (без ФОП)"]

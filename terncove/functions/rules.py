@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,11 +66,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def required_text(pattern: str) -> list[str] | None:
+    """A text for each alternative of a pattern that whatever matches it contains; NULL where one has none of three letters or more."""
+    out = []
+    for alternative in re.split(r"\|(?![^(]*\))", pattern):
+        plain = re.sub(r"\[[^\]]*\][*+?]?|\([^()]*\)[*+?]?|\\[wdsb][*+?]?|[^\\][?*]", "\0", alternative)
+        runs = [re.sub(r"\\(.)", r"\1", r) for r in re.split(r"\0|(?<!\\)[.+]", plain)]
+        out.append(max(runs, key=len))
+    return out if all(len(r) >= 3 for r in out) else None
+
+
 def detect_automation(html: Column) -> Column:
     """map<kind, vendors> of the signatures a page matches, in their order; a hint only where no booking vendor is known."""
 
     def hits(page: Column) -> Column:
-        flags = [F.when(page.rlike(f"(?U){p}"), F.struct(F.lit(k).alias("kind"), F.lit(v).alias("vendor"))) for p, k, v in C.SIGNATURES]
+        def matched(pattern: str) -> Column:
+            texts = required_text(pattern)  # looking for a text is far cheaper than matching a pattern
+            found = page.rlike(f"(?U){pattern}")
+            return reduce(or_, [F.contains(page, F.lit(t)) for t in texts]) & found if texts else found
+
+        flags = [F.when(matched(p), F.struct(F.lit(k).alias("kind"), F.lit(v).alias("vendor"))) for p, k, v in C.SIGNATURES]
         return F.filter(F.array(*flags), lambda h: h.isNotNull())
 
     def by_kind(found: Column, kinds: Column) -> Column:
@@ -103,9 +122,8 @@ def describe_automation(automation: Column) -> Column:
 
 def estimate_size(tags: Column, category: Column, branches: Column) -> Column:
     """struct<size, score, signals...> from category, number of branches and tags."""
-    base = F.lit(1)
-    for weight, names in C.BASELINE.items():
-        base = F.when(category.isin(names), weight).otherwise(base)
+    weights = F.create_map(*[F.lit(x) for kv in C.BASELINE.items() for x in kv])
+    base = F.coalesce(F.try_element_at(weights, category), F.lit(1))
     n = F.greatest(F.coalesce(branches, F.lit(1)), F.lit(1))
     chain = F.filter(F.array(*map(F.lit, C.CHAIN_TAGS)), lambda t: has_value(F.try_element_at(tags, t)))
     web = has_value(tag(tags, "website")) | has_value(tag(tags, "contact:website"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import geo, rules
 from ..functions import text as X
 from ..functions.harvest import aligned_similarity, harvest
@@ -464,7 +465,23 @@ add("f13_a13_site_contacts", lambda t: pages.site_contacts(t.spark.createDataFra
     "select 1::bigint as id, '+380671234567,+380501112233' as phones, 'a@s.ua' as emails, 'chat:tawk/tidio' as automation", "")
 add("k01_export", lambda t: export.export_rows(t.leads).select("id", "phone", "has_automation", "automation", "contact_score", "crm_status", "notes", "last_verified_at"),
     f"select cast(id as varchar) as id, coalesce(phone, '') as phone, coalesce(cast(cast(has_automation as int) as varchar), '') as has_automation, case when has_automation then 'booking:fresha, chat:tawk/tidio' when not has_automation then 'platform:wix' else '—' end as automation, cast({SCORE} as varchar) as contact_score, case coalesce(crm_status, 'new') when 'new' then 'Новий' when 'in_progress' then 'В роботі' when 'interested' then 'Зацікавлений' when 'lost' then 'Відмова' else 'Закрито (угода)' end as crm_status, coalesce(notes, '') as notes, coalesce(strftime(last_verified_at, '%Y-%m-%dT%H:%M:%S'), '') as last_verified_at from leads")
-add("pages_signals", lambda t: t.pages.select("page_id", rules.is_automated(rules.detect_automation(F.col("html"))).alias("automated"), F.size(X.find_emails(F.col("html"))).alias("n_emails")))
+
+
+def _signals_sql() -> str:
+    """Signatures over lower-cased pages by DuckDB's own expressions."""
+    hit = lambda p: f"regexp_matches(h, {quoted(p)})"
+    kinds = list(dict.fromkeys(k for _, k, _ in C.SIGNATURES))
+    of = {k: "list_filter([" + ", ".join(f"case when {hit(p)} then '{v}' end" for p, kind, v in C.SIGNATURES if kind == k) + "], lambda x: x is not null)" for k in kinds}
+    shown = ", ".join(f"case when len({of[k]}) > 0 then '{k}:' || array_to_string({of[k]}, '/') end" for k in kinds)
+    hint = f"case when len({of['booking']}) = 0 and {hit(C.BOOKING_HINT)} then 'booking_hint:custom_or_manual' end"
+    strong = " or ".join(f"len({of[k]}) > 0" for k in C.STRONG_KINDS)
+    mails = f"list_distinct(list_filter(list_transform(regexp_extract_all(html, {quoted(C.EMAIL)}), lambda m: lower(m)), lambda m: not regexp_matches(m, {quoted('(?i)' + C.EMAIL_BLOCKED)})))"
+    listed = f"array_to_string(list_sort(list_filter([{shown}, {hint}], lambda x: x is not null)), ', ')"
+    return f"select page_id, {strong} as automated, case when {listed} = '' then '—' else {listed} end as automation, cast(least(5, len({mails})) as int) as n_emails from (select page_id, html, lower(html) as h from pages)"
+
+
+add("pages_signals", lambda t: t.pages.select("page_id", rules.detect_automation(F.col("html")).alias("a"), F.size(X.find_emails(F.col("html"))).alias("n_emails"))
+    .select("page_id", rules.is_automated(F.col("a")).alias("automated"), rules.describe_automation(F.col("a")).alias("automation"), "n_emails"), _signals_sql(), "")
 add("pages_contacts", lambda t: pages.site_contacts(t.pages.select(F.col("page_id").alias("id"), F.lit(0).alias("seq"), "url", "html")).select("id", F.size("phones").alias("phones"), F.size("emails").alias("emails")))
 add("pages_hosts", lambda t: t.pages.select("page_id", X.host_of(F.col("url")).alias("host")), r"select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') as host from pages", "")
 add("w02_w03_dedupe", lambda t: dedupe.dedupe(_mergeable(t)).select("id", "osm_id", F.array_join("merged_ids", ",").alias("merged")),
