@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.rules import contact_score, describe_automation
 from ..functions.text import strip
+from .merge import apply_sheet
 
 PRIMARY = ["instagram", "facebook", "telegram"]
 
@@ -55,5 +57,28 @@ def sheet_rows(leads: DataFrame, fields: list[str]) -> DataFrame:
     return leads.orderBy("id").select(*fields)
 
 
+def sync(leads: DataFrame, sheet: DataFrame, edited: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pull, then push: leads with what was edited in the sheet, and the rows that the sheet is overwritten with."""
+    pulled = apply_sheet(leads, sheet, edited)
+    return pulled, sheet_rows(pulled, fields)
+
+
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """One pretty JSON array as one text file, for people: the rows of one export, gathered in one task."""
+    texts = rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1)
+
+    def joined(batches):
+        yield pd.DataFrame({"value": ["["]})
+        before = None
+        for pdf in batches:
+            for value in pdf["value"]:
+                if before is not None:
+                    yield pd.DataFrame({"value": [before + ","]})
+                before = value
+        yield pd.DataFrame({"value": ([] if before is None else [before]) + ["]"]})
+
+    texts.mapInPandas(joined, "value string").write.mode("overwrite").text(path)
+
+
 def snapshot(rows: DataFrame, path: str) -> None:
     rows.orderBy("id").write.mode("overwrite").parquet(path)

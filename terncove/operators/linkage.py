@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.harvest import similarity_from
 from ..functions.rules import estimate_size, merge_automation
+from ..plans.cut import cut
+from .merge import new_id, with_columns_of
 
 NEAR_M = 150.0
 NAME_LEAST, NAME_ALONE = 0.80, 0.95
@@ -215,6 +217,20 @@ def counters(links: DataFrame) -> DataFrame:
     return links.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def apply_records(leads: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Import as one step: (leads after it, counters). Records are linked; matched leads are filled, places that may be created become
+    leads with ids of their own, and records that match those fill them in turn."""
+    links = cut(link(leads, records))
+    filled = fill(leads, records, links)
+    fresh = created(records, links)
+    fresh = cut(fresh.withColumn("id", new_id(F.col("osm_id"))))
+    like = with_columns_of(fresh, [f for f in leads.schema if f.name in fresh.columns])
+    shaped = like.select(*[F.col(c) for c in like.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in leads.schema if f.name not in like.columns])
+    ids = fresh.select(F.col("pos").alias("created_by"), F.col("id").alias("lead_id"))
+    again = links.where("outcome = 'merged'").drop("lead_id").join(ids, "created_by").withColumn("outcome", F.lit("matched"))
+    return filled.unionByName(fill(shaped.select(*leads.columns), records, again)), counters(links)
+
+
 def fill(leads: DataFrame, records: DataFrame, links: DataFrame) -> DataFrame:
     """Matched leads with what their records add, in order of position: empty fields, phone, email with its verdict unset,
     further phones in the notes, external ids, automation, source tags."""

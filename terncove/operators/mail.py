@@ -9,6 +9,18 @@ from ..functions import constants as C
 from ..functions.text import email_domain
 
 
+def verdicts(answers: DataFrame) -> DataFrame:
+    """domain, ok from landed DNS answers: domain, mx_status (``ok``, ``no_answer``, ``nxdomain``, ``timeout``, ...), mx (host names), a_status.
+
+    Mail goes to MX hosts, or to the domain's address if it has no MX record at all; a timeout confirms nothing. Of several answers for a
+    domain one that confirms is enough.
+    """
+    direct = (F.col("mx_status") == "ok") & (F.coalesce(F.size("mx"), F.lit(0)) > 0)
+    fallback = F.col("mx_status").isin("no_answer", "nxdomain") & (F.col("a_status") == "ok")
+    ok = F.coalesce(direct | fallback, F.lit(False))
+    return answers.groupBy(F.lower("domain").alias("domain")).agg(F.max(ok).alias("ok"))
+
+
 def domains_to_ask(leads: DataFrame, verdicts: DataFrame) -> DataFrame:
     domains = leads.select(email_domain(F.col("email")).alias("domain")).where("domain is not null").distinct()
     return domains.where(~F.col("domain").isin(C.KNOWN_MAIL_DOMAINS)).join(verdicts, "domain", "left_anti")

@@ -72,6 +72,12 @@ def calls_by_month(calls: DataFrame) -> DataFrame:
     return calls.groupBy("service", F.date_format("called_at", "yyyy-MM").alias("period")).agg(F.sum("calls").alias("calls"))
 
 
+def calls_left(calls: DataFrame, service: str, now: Column, budget: int = 500) -> DataFrame:
+    """One row: what the month's budget of a paid service leaves."""
+    this = calls_by_month(calls).where((F.col("service") == service) & (F.col("period") == F.date_format(now, "yyyy-MM")))
+    return this.agg(F.greatest(F.lit(0), F.lit(budget) - F.coalesce(F.sum("calls"), F.lit(0))).alias("remaining"))
+
+
 def last_runs(runs: DataFrame, keys: tuple[str, ...] = ("kind", "city", "category")) -> DataFrame:
     """The latest finished run of each kind, city and category."""
     row = F.struct("started_at", "id", "finished_at")

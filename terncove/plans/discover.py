@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import estimate_size
 from ..operators.dedupe import dedupe
-from ..operators.merge import upsert
+from ..operators.merge import new_id, upsert
 from ..operators.stats import branch_counts, due_targets
 from ..sources.poi import parse_responses, response_status
 
 
-def new_id(osm_id: Column) -> Column:
-    """An id that needs no global order: 62 bits of a hash of the map id."""
-    return F.shiftrightunsigned(F.xxhash64(osm_id), 2)
-
-
 def discover(leads: DataFrame, raw: DataFrame, runs: DataFrame, now: Column, rerun_days: int = 21, scope: str = "global") -> tuple[DataFrame, DataFrame]:
     """raw: category, city, body. (leads with ``size_estimate`` anew, log rows of the pairs that succeeded).
 

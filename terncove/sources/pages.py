@@ -42,6 +42,28 @@ def robots_allow(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return urls.withColumn("origin", origin).join(robots, "origin", "left").withColumn("allowed", allowed("url", "body")).drop("origin", "body")
 
 
+def crawl(sites: DataFrame, fetched: DataFrame, max_pages: int = 4) -> DataFrame:
+    """What a crawl of each site gives from landed responses: the home page, then its contact pages in order of rank while the budget of
+    ``max_pages`` lasts. A page that cannot be read costs nothing and stops nothing; a home page that cannot be read is the outcome.
+
+    sites: id, url. fetched: url, final_url, allowed, status, content_type, html. One row a site: id, error (``bad_url``, ``robots_disallow``,
+    ``unreachable``, ``not_html``, ``crashed`` for a page whose text could not be decoded, or NULL), pages_visited and the columns of ``site_contacts``.
+    """
+    got = fetched.dropDuplicates(["url"]).select(
+        F.col("url").alias("_asked"), F.coalesce("final_url", "url").alias("_final"), "allowed", "status", "content_type", "html"
+    )
+    asked = sites.select("id", "url", X.normalize_url(F.col("url")).alias("_asked"))
+    home = asked.join(got, "_asked", "left").withColumn("error", outcome(F.col("url"), F.col("allowed"), F.col("status"), F.col("content_type")))
+    home = home.withColumn("error", F.coalesce("error", F.when(F.col("html").isNull(), "crashed")))
+    first = home.where("error is null").select("id", F.lit(0).alias("seq"), F.col("_final").alias("url"), "html")
+    linked = first.select("id", F.posexplode(F.slice(harvest("html", "url")["contact_pages"], 1, max_pages - 1)).alias("at", "_asked"))
+    more = linked.join(got, "_asked").where(outcome(F.col("_asked"), F.col("allowed"), F.col("status"), F.col("content_type")).isNull() & F.col("html").isNotNull())
+    pages = first.unionByName(more.select("id", (F.col("at") + 1).alias("seq"), F.col("_final").alias("url"), "html"))
+    visited = pages.groupBy("id").agg(F.count("*").cast("int").alias("pages_visited"))
+    result = home.select("id", "error").join(visited, "id", "left").join(site_contacts(pages), "id", "left")
+    return result.withColumn("pages_visited", F.coalesce("pages_visited", F.lit(0)))
+
+
 def site_contacts(pages: DataFrame, phones: int = 5) -> DataFrame:
     """pages: id, seq, url, html. One row a site: phones, emails, socials, automation, in order of pages and of kinds of evidence."""
     h = pages.withColumns({"h": harvest("html", "url"), "automation": detect_automation(F.col("html"))})

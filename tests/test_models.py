@@ -163,3 +163,81 @@ def test_city_list(spark, tmp_path):
 
     (tmp_path / "c.json").write_text('{"cities": [{"name": "А", "pop": 1}, {"name": "Б", "pop": 5, "excluded": "x"}]}', encoding="utf-8")
     assert [(r.pos, r.name) for r in registry.read_cities(spark, str(tmp_path / "c.json")).orderBy("pos").collect()] == [(0, "Б"), (1, "А")]
+
+
+def test_import_as_one_step(spark):
+    more = ", website string, email string, email_valid boolean, contact_person string, edrpou string, notes string, source string, automation map<string,array<string>>"
+    leads = spark.createDataFrame([(1, "node/1", "Слон", "Ужгород", None, None, None, "+380671111111", None, None, None, None, True, None, None, None, "osm", None)], LEAD + more)
+    rows = [
+        (0, "nszu", "x1", "Слон", "clinic", "Ужгород", "вул. А, 1", None, None, ["0671111111"], "a@b.ua", None, True, None, None, None),
+        (1, "nszu", "x2", "Лев", "clinic", "Ужгород", None, None, None, ["0673333333"], None, None, True, None, None, None),
+        (2, "likarni", "x3", "Лев плюс", "clinic", "Ужгород", "вул. Б, 2", None, None, ["0673333333"], "lev@b.ua", None, True, None, None, None),
+        (3, "doc", "x4", "Тигр", "clinic", "Ужгород", None, None, None, [], None, None, False, None, None, None),
+    ]
+    records = spark.createDataFrame(rows, RECORD + ", contact_person string, edrpou string, automation map<string,array<string>>")
+    after, counted = linkage.apply_records(leads, records)
+    assert after.columns == leads.columns
+    got = {r.osm_id: r for r in after.collect()}
+    assert len(got) == 2 and got["node/1"].address == "вул. А, 1" and got["node/1"].email == "a@b.ua"
+    lion = got["nszu/x2"]
+    assert lion.id > 1 and lion.phone == "+380673333333" and lion.address == "вул. Б, 2" and lion.email == "lev@b.ua" and lion.external_ids == {"nszu": "x2", "likarni": "x3"}
+    assert {r.outcome: r.n for r in counted.collect()} == {"matched": 1, "new": 1, "merged": 1, "skipped": 1}
+
+
+def test_mail_verdicts_from_dns(spark):
+    from terncove.operators import mail
+
+    answers = [("A.ua", "ok", ["mx.a.ua"], None), ("b.ua", "ok", [], "ok"), ("c.ua", "no_answer", None, "ok"), ("d.ua", "nxdomain", None, "nxdomain"), ("e.ua", "timeout", None, "ok"), ("e.ua", "timeout", None, None)]
+    got = mail.verdicts(spark.createDataFrame(answers, "domain string, mx_status string, mx array<string>, a_status string"))
+    assert {r.domain: r.ok for r in got.collect()} == {"a.ua": True, "b.ua": False, "c.ua": True, "d.ua": False, "e.ua": False}
+
+
+def test_crawl_reads_home_then_contact_pages(spark):
+    from terncove.sources import pages
+
+    link = lambda *paths: "".join(f'<a href="{p}">{t}</a>' for p, t in paths)
+    fetched = [
+        ("https://a.ua", None, True, 200, "text/html", "<p>0671234567</p>" + link(("/about", "про нас"), ("/contacts", "контакти"), ("/kontakt2", "контакт"), ("/contact3", "contact"))),
+        ("https://a.ua/contacts", None, True, 200, "text/html", "<p>a@a.ua</p>"), ("https://a.ua/kontakt2", None, True, 500, "text/html", None),
+        ("https://a.ua/contact3", None, False, 200, "text/html", "<p>0502222222</p>"), ("https://a.ua/about", None, True, 200, "text/html", "<p>0503333333</p>"),
+        ("https://b.ua", None, False, 200, "text/html", "x"), ("https://c.ua", None, True, 404, "text/html", None), ("https://d.ua", None, True, 200, "image/png", None), ("https://e.ua", None, True, 200, "text/html", None),
+    ]
+    df = spark.createDataFrame(fetched, "url string, final_url string, allowed boolean, status int, content_type string, html string")
+    sites = spark.createDataFrame([(1, "a.ua"), (2, "b.ua"), (3, "c.ua"), (4, "d.ua"), (5, "e.ua"), (6, "x"), (7, "f.ua")], "id long, url string")
+    got = {r.id: r for r in pages.crawl(sites, df).collect()}
+    assert {i: r.error for i, r in got.items()} == {1: None, 2: "robots_disallow", 3: "unreachable", 4: "not_html", 5: "crashed", 6: "bad_url", 7: "unreachable"}
+    assert got[1].pages_visited == 2 and got[1].phones == ["+380671234567"] and got[1].emails == ["a@a.ua"] and got[2].pages_visited == 0
+    assert pages.crawl(sites, df, max_pages=1).where("id = 1").first().emails == []
+
+
+def test_sheet_sync_pulls_before_it_pushes(spark, tmp_path):
+    import json
+
+    from terncove.operators import export
+
+    leads = spark.createDataFrame([(2, "new", "b"), (1, "new", "a")], "id long, status string, name string")
+    sheet = spark.createDataFrame([("2", "contacted"), ("x", "lost")], "id string, status string")
+    pulled, pushed = export.sync(leads, sheet, ["status"], ["id", "status"])
+    assert [tuple(r) for r in pushed.collect()] == [(1, "new"), (2, "contacted")] and pulled.columns == leads.columns
+    export.write_json_array(pushed, str(tmp_path / "j"))
+    assert json.loads(next((tmp_path / "j").glob("part-*")).read_text()) == [{"id": 1, "status": "new"}, {"id": 2, "status": "contacted"}]
+
+
+def test_calls_left_of_the_month(spark):
+    from terncove.operators import stats
+
+    calls = spark.sql("select 'places' service, timestamp '2024-05-03 00:00:00' called_at, 490 calls union all select 'places', timestamp '2024-05-09 00:00:00', 30 union all select 'places', timestamp '2024-04-09 00:00:00', 30")
+    left = lambda at: stats.calls_left(calls, "places", F.lit(at).cast("timestamp")).first().remaining
+    assert (left("2024-05-20 00:00:00"), left("2024-04-20 00:00:00"), left("2024-06-20 00:00:00")) == (0, 470, 500)
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    from terncove.plans import cut
+
+    monkeypatch.setattr(SparkContext, "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(ValueError):
+        cut.cut(spark.range(1))
