@@ -40,3 +40,14 @@ def test_tables_between_are_deleted(spark):
     last = store.materialize(spark.range(4), "last")
     store.drop_since(spark, mark)
     assert last.count() == 4 and store.written(spark) == mark + 1
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    sc = spark.sparkContext
+    monkeypatch.setattr(sc, "master", "yarn")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(sc, "getCheckpointDir", lambda: None)
+    with pytest.raises(ValueError):
+        store.shared_dir(spark)
+    monkeypatch.setattr(sc, "getCheckpointDir", lambda: "hdfs:///shared/")  # SparkContext.setCheckpointDir names it as well
+    assert store.shared_dir(spark) == "hdfs:///shared"
