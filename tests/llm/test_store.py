@@ -46,6 +46,7 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     sc = spark.sparkContext
     monkeypatch.setattr(sc, "master", "yarn")
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(sc, "getConf", dict)  # a session without any setting
     monkeypatch.setattr(sc, "getCheckpointDir", lambda: None)
     with pytest.raises(ValueError):
         store.shared_dir(spark)
