@@ -239,5 +239,6 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(SparkContext, "getCheckpointDir", lambda self: None)
     monkeypatch.setattr(spark.sparkContext, "master", "yarn")
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(spark.sparkContext, "getConf", dict)  # a session without any setting
     with pytest.raises(ValueError):
         cut.cut(spark.range(1))
