@@ -377,6 +377,39 @@ cases("f40_size", "tags map<string,string>, c string, b int", [
 ], lambda d: F.concat_ws(":", rules.estimate_size(F.col("tags"), F.col("c"), F.col("b"))["size"], rules.estimate_size(F.col("tags"), F.col("c"), F.col("b"))["score"].cast("string")))
 cases("f41_label", "x string", [(None, "Новий"), ("won", "Закрито (угода)")], lambda d: F.create_map(*[F.lit(v) for kv in stats.C.CRM_LABELS.items() for v in kv])[F.coalesce("x", F.lit("new"))])
 
+# --- functions over whole tables, each with an SQL of its own ---
+STOP_SQL = "[" + ", ".join(quoted(w) for w in C.NAME_STOP_WORDS) + "]"
+add("f17_document_names", lambda t: t.documents.select("doc_id", X.normalize_name(F.substring("text", 1, 200)).alias("name")),
+    rf"""select doc_id, array_to_string(case when len(told) > 0 then told else words end, ' ') as name from (
+      select doc_id, words, list_filter(words, lambda w: not list_contains({STOP_SQL}, w)) as told from (
+        select doc_id, list_filter(string_split_regex(regexp_replace(replace(lower(substr(text, 1, 200)), 'ё', 'е'), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '') as words from documents))""", "")
+add("f39_document_numbers", lambda t: t.documents.select("doc_id", X.first_number(F.col("text")).alias("n")), r"select doc_id, try_cast(regexp_extract(text, '(\d+)', 1) as bigint) as n from documents", "")
+add("f04_page_emails", lambda t: t.pages.select("page_id", F.array_join(X.find_emails(F.col("html")), ",").alias("emails")),
+    f"""select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], ',') as emails from (
+      select page_id, list_filter(list_transform(regexp_extract_all(html, {quoted(C.EMAIL)}), lambda m: lower(m)), lambda m: not regexp_matches(m, {quoted("(?i)" + C.EMAIL_BLOCKED)})) as l from pages)""", "")
+add("f12_page_urls", lambda t: t.pages.select("page_id", X.normalize_url(F.concat(F.lit(" //"), F.regexp_replace("url", "^https?://", ""), F.lit(";http://b.ua"))).alias("url")),
+    r"select page_id, 'https://' || regexp_replace(url, '^https?://', '') as url from pages", "")
+add("f20_lead_cells", lambda t: t.leads.select("id", geo.cell(F.col("lat") - 50.41, 0.003).alias("cy")), "select id, cast(trunc((lat - 50.41) / 0.003) as bigint) as cy from leads")
+add("f05_lead_handles", lambda t: t.leads.select("id", X.normalize_instagram(F.when(F.col("k") % 2 == 0, F.concat(F.lit("@"), F.upper("handle"))).otherwise(F.concat(F.lit("https://www.instagram.com/"), F.upper("handle"), F.lit("/?hl=uk")))).alias("profile")),
+    "select id, 'https://instagram.com/' || handle as profile from leads")
+add("f26_lead_keys", lambda t: t.leads.select("id", X.record_key(F.lit("nszu"), F.when(F.col("k") % 2 == 0, F.repeat("osm_id", 8)).otherwise(F.col("osm_id"))).alias("key")),
+    "select id, 'nszu/' || case when k % 2 = 1 then osm_id when length(osm_id) * 8 <= 40 then repeat(osm_id, 8) else substr(sha1(repeat(osm_id, 8)), 1, 16) end as key from leads")
+add("f21_nation_names", lambda t: t.nation.select("n_nationkey", X.normalize_city(F.concat(F.lit(" м.  "), "n_name", F.lit("  ё ’Y"))).alias("city")), "select n_nationkey, lower(n_name) || ' е ''y' as city from nation", "")
+SIZE_TAGS = {"brand": "k % 3 = 0", "website": "k % 2 = 0", "contact:email": "k % 4 = 0", "capacity": "k % 5 = 0", "opening_hours": "k % 7 = 0"}
+
+
+def _sized(t: Tables) -> DataFrame:
+    values = {"brand": F.lit("X"), "website": F.lit("a"), "contact:email": F.lit("b"), "capacity": F.concat(F.lit("approx "), (F.col("k") % 90).cast("string")), "opening_hours": F.lit("Mo 24/7")}
+    tags = F.map_filter(F.create_map(*[x for k, c in SIZE_TAGS.items() for x in (F.lit(k), F.when(F.expr(c), values[k]))]), lambda _, v: v.isNotNull())
+    kind = F.element_at(F.array(*[F.lit(c) for c in ("hotel", "dentist", "cafe", "nails", "unknown")]), (F.col("k") % 5 + 1).cast("int"))
+    return t.leads.select("id", rules.estimate_size(tags, kind, (F.col("k") % 6).cast("int")).alias("s")).select("id", "s.size", "s.score")
+
+
+add("f40_lead_sizes", _sized,
+    """select id, case when score >= 5 then 'medium' when score >= 2 then 'small' else 'micro' end as size, cast(score as int) as score from (
+      select id, case k % 5 when 0 then 3 when 1 then 2 when 2 then 1 when 3 then 0 else 1 end + case when k % 6 >= 4 then 2 when k % 6 > 1 then 1 else 0 end + case when k % 3 = 0 then 2 else 0 end
+        + case when k % 2 = 0 and k % 4 = 0 then 1 else 0 end + case when k % 5 <> 0 then 0 when k % 90 >= 50 then 2 when k % 90 >= 15 then 1 else 0 end + case when k % 7 = 0 then 1 else 0 end as score from leads)""")
+
 # --- sources (S) on landed cases ---
 BODY = json.dumps({"elements": [
     {"type": "node", "id": 1, "lat": 50.1, "lon": 30.1, "tags": {"name": " Слон ", "phone": "0671234567", "addr:street": "Хрещатик", "addr:housenumber": "1", "contact:instagram": "@slon"}},
