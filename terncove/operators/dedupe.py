@@ -137,13 +137,19 @@ def merge_pairs(leads: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def dedupe(leads: DataFrame, radius_m: float = 30.0, threshold: float = 0.84, passes: int = 3, exact_cells: bool = True) -> DataFrame:
-    """Up to ``passes`` rounds of pairs, greedy choice and merge. Not a transitive closure: names stay those of survivors."""
+    """Up to ``passes`` rounds of greedy choice and merge. Not a transitive closure: names stay those of survivors.
+
+    What decides about a pair, names, categories and places, no merge changes; so pairs are found once, and a round goes on with those
+    whose rows are both still there.
+    """
+    pairs = cut(duplicate_pairs(leads, radius_m, threshold, exact_cells))
     for _ in range(passes):
-        chosen = greedy_pairs(duplicate_pairs(leads, radius_m, threshold, exact_cells))
-        chosen = cut(with_survivors(leads, chosen))
-        if chosen.isEmpty():
+        if pairs.isEmpty():
             break
+        chosen = cut(with_survivors(leads, greedy_pairs(pairs)))
         leads = cut(merge_pairs(leads, chosen))
+        gone = chosen.select("drop_id")
+        pairs = cut(pairs.join(gone, pairs["left_id"] == gone["drop_id"], "left_anti").join(gone, pairs["right_id"] == gone["drop_id"], "left_anti"))
     return leads
 
 

@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.rules import estimate_size
 from ..operators.dedupe import dedupe
 from ..operators.merge import new_id, upsert
-from ..operators.stats import branch_counts, due_targets
+from ..operators.stats import branch_counts, due_targets, failure_stops
 from ..sources.poi import parse_responses, response_status
 
 
 def discover(leads: DataFrame, raw: DataFrame, runs: DataFrame, now: Column, rerun_days: int = 21, scope: str = "global") -> tuple[DataFrame, DataFrame]:
-    """raw: category, city, body. (leads with ``size_estimate`` anew, log rows of the pairs that succeeded).
+    """raw: category, city, body and, where requests were made one after another, seq: after three failures in a row a run stops, and
+    later answers do not count. (leads with ``size_estimate`` anew, log rows of the pairs that succeeded).
 
     Only pairs that are due are read; a pair whose response failed leaves no log row, so it stays due. Branches are counted after
     duplicates are gone.
     """
     due = due_targets(raw.select("city", "category").distinct(), runs, now, rerun_days)
     answered = raw.join(due, ["city", "category"], "left_semi").withColumn("outcome", response_status(F.col("body")))
+    if "seq" in raw.columns:
+        stop = failure_stops(answered.select(F.lit(0).alias("run_id"), "seq", (F.col("outcome") != "failed").alias("ok")))  # one row at most
+        answered = answered.join(F.broadcast(stop.select("stops_at")), F.col("seq") > F.col("stops_at"), "left_anti").drop("seq")
     found = parse_responses(answered.drop("outcome")).where("reject is null").drop("reject")
     found = found.groupBy("osm_id").agg(*[F.min_by(c, "category").alias(c) if c != "category" else F.min(c).alias(c) for c in found.columns if c != "osm_id"])
     merged = upsert(leads, found)

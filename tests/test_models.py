@@ -242,3 +242,39 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "getConf", dict)  # a session without any setting
     with pytest.raises(ValueError):
         cut.cut(spark.range(1))
+
+
+def test_discovery_stops_after_three_failures(spark):
+    from terncove.plans import catalogue, discover
+
+    t = catalogue.Tables(spark, "/root/testdata/sf0.001")
+    leads = t.spark.createDataFrame([], "id long, osm_id string, name string, category string, city string, lat double, lon double, phone string")
+    more = {"address": "string", "website": "string", "email": "string", "website_status": "string", "source": "string", "notes": "string", "size_estimate": "string", "email_valid": "boolean", "has_automation": "boolean",
+            "socials": "map<string,string>", "raw_tags": "map<string,string>", "automation": "map<string,array<string>>", "merged_ids": "array<string>", "last_verified_at": "timestamp"}
+    leads = leads.withColumns({k: F.lit(None).cast(v) for k, v in more.items()})
+    runs = spark.createDataFrame([], "id long, kind string, city string, category string, started_at timestamp, finished_at timestamp")
+    body = lambda i: '{"elements": [{"type": "node", "id": %d, "lat": 50.%d, "lon": 30.1, "tags": {"name": "Слон%d"}}]}' % (i, i, i)  # noqa: E731, UP031
+    raw = [("beauty", "c1", body(1), 1), ("beauty", "c2", "<html>", 2), ("beauty", "c3", body(3), 3), ("beauty", "c4", None, 4), ("beauty", "c5", "<x>", 5), ("beauty", "c6", "", 6), ("beauty", "c7", body(7), 7)]
+    found, log = discover.discover(leads, spark.createDataFrame(raw, "category string, city string, body string, seq long"), runs, t.now)
+    assert sorted(r.osm_id for r in found.collect()) == ["node/1", "node/3"] and sorted(r.city for r in log.collect()) == ["c1", "c3"]
+
+
+def test_history_reads_back_whole(spark, tmp_path):
+    for n in range(3):
+        pd.DataFrame({"business_id": [n], "new_status": [f"s{n}"]}).to_parquet(tmp_path / f"{n}.parquet")
+    stream = spark.readStream.schema("business_id long, new_status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    q = results.history(stream, str(tmp_path / "h"), str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.new_status for r in spark.read.parquet(str(tmp_path / "h")).collect()) == ["s0", "s1", "s2"]
+
+
+def test_chains_of_near_copies_merge_pass_by_pass(spark):
+    """Three and more copies of one place: a pass takes disjoint pairs only, so a chain of five needs three."""
+    schema = "id long, osm_id string, name string, category string, city string, lat double, lon double, phone string, email string, website string, address string, source string, notes string, email_valid boolean, has_automation boolean, website_status string"
+    rows = [(i, f"node/{i}", "Слон", "cafe", "c", 50.0 + i * 1e-5, 30.0, f"+{i}" if i == 3 else None, None, None, None, f"s{i}", None, None, None, None) for i in range(5)]
+    leads = spark.createDataFrame(rows, schema).withColumns({"socials": F.lit(None).cast("map<string,string>"), "automation": F.lit(None).cast("map<string,array<string>>"), "merged_ids": F.lit(None).cast("array<string>")})
+    for passes, left in ((1, 3), (2, 2), (3, 1)):
+        got = dedupe.dedupe(leads, passes=passes).collect()
+        assert len(got) == left and sum(1 + len(r.merged_ids or []) for r in got) == 5
+    assert got[0].id == 3 and got[0].phone == "+3"
