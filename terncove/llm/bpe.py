@@ -32,7 +32,7 @@ from .units import LONGEST_KEY, SYNC, UNIT, Memo, held
 WINDOW_DOUBLINGS = 4  # a window of 16 characters
 CUT_BITS = 10  # chunks of about 1,000 characters beyond the least length
 LEAST, MOST = 256, 8192
-MEMO_UNITS = 200_000
+MEMO_UNITS = 120_000
 MEMO_CHUNKS = 5_000
 _MULTIPLIER = 0x9E3779B1
 

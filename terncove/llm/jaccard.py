@@ -15,7 +15,7 @@ of ``CELLS`` cells: differences there are differences of the sets. What passes b
 
 A group of near copies would give the square of its size in pairs. So texts are first compared with one other of those that have the
 same least shingle in one of ``ORDERS`` orders (similar sets have with probability 0.8 or more), as many pairs as texts; only pairs
-whose texts are in different components after ``ROUNDS`` rounds of this are looked for by prefixes. What stays quadratic is a group
+whose texts are in different components after this are looked for by prefixes. What stays quadratic is a group
 of texts that are nearly similar to each other, but not quite: all its pairs are told apart by the bounds.
 
 Sets are of 64-bit hashes. Texts without words have the empty set and count as equal; fewer words than a shingle make one.
@@ -37,12 +37,11 @@ from .store import decide, materialize, row_key
 from .units import forget
 
 SAMPLE = 8  # one text of so many is looked at to find frequent shingles
-OFTEN = 4  # times in the sample
-FREQUENT = 50_000  # shingles that are put last at most
+OFTEN = 2  # times in the sample
+FREQUENT = 400_000  # shingles that are put last at most
 RADIUS = 3
 CELLS = 256
 ORDERS = 4
-ROUNDS = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -100,6 +99,16 @@ def _can_be_similar(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(9 * common >= 4 * (na + nb)))
 
 
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``texts`` with the set (``found``) in place of the text."""
+
+    def run(texts: list[str | None]) -> dict[str, list]:
+        forget()
+        return {"found": [shingle_set(t, words) for t in texts]}
+
+    return append(texts, run, ["text"], [("found", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], drop=("text",))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Those of ``pairs`` (a, b, na, nb) whose sets are similar, as edges a, b."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("cells").alias(f"cells_{c}"))
@@ -108,13 +117,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, docs: DataFra
     chosen = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_fp")).alias("r"))
     chosen = materialize(chosen.select("node", "r._id", "r._fp"), "near-texts")
 
-    def run(texts: list[str | None]) -> dict[str, list]:
-        forget()
-        return {"found": [shingle_set(t, words) for t in texts]}
-
     texts = decide(docs.select(id_col, F.col(text_col).alias("text")), chosen, "inner", id_col, "text").select("text", "node")
-    sets = append(texts, run, ["text"], [("found", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], drop=("text",))
-    sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
+    sets = materialize(_sets(texts, words).dropDuplicates(["node"]), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
     both = both.withColumns({"na": F.size("fa"), "nb": F.size("fb")})
     return materialize(both.where(_similar(F.size(F.array_intersect("fa", "fb")))).select("a", "b"), "near-links")
@@ -142,9 +146,16 @@ def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
 
         return append(of, run, ["text"], adds, drop=("text",))
 
-    some = prefixes(keyed.where(F.pmod("_fp", F.lit(SAMPLE)) == 0), np.empty(0, np.int64))
-    often = some.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
-    last = np.sort(np.array([r.h for r in often.orderBy(F.desc("k"), "h").limit(FREQUENT).select("h").collect()], np.int64))
+    some = _sets(keyed.where(F.pmod("_fp", F.lit(SAMPLE)) == 0), words)
+    often = some.select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
+    often = materialize(often, "near-often")
+    least, n = OFTEN, 0
+    for r in often.groupBy(F.least("k", F.lit(10_000)).alias("k")).count().orderBy(F.desc("k")).collect():  # 10,000 rows at most
+        n += r["count"]
+        if n > FREQUENT:
+            least = r["k"] + 1
+            break
+    last = np.sort(often.where(F.col("k") >= least).select("h").toArrow().column("h").to_numpy())  # FREQUENT numbers at most
 
     rows = materialize(prefixes(keyed, last), "near-rows")
     nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "least", "cells")])
@@ -153,11 +164,8 @@ def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     held = rows.select("node", "n", F.explode("prefix").alias("h")).withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)})
     held = materialize(held.where("low < high").select("h", "node", "n").distinct(), "near-shared")
 
-    links = _verified(near_by_trees(nodes), nodes, rows, docs, words, id_col, text_col)
+    links = _verified(near_by_trees(nodes).unionByName(near_by_least(nodes)), nodes, rows, docs, words, id_col, text_col)
     roots = components(links)
-    for k in range(ROUNDS):
-        links = links.unionByName(_verified(near_by_least(nodes, roots, k), nodes, rows, docs, words, id_col, text_col))
-        roots = components(links)
     named = held.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
     one = named.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     two = named.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -167,11 +175,11 @@ def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     return rows.select("_id", "_fp", "node").join(roots, "node", "left").select("_id", "_fp", F.coalesce("root", "node").alias("class_id"))
 
 
-def near_by_least(nodes: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-    """Pairs a, b, na, nb: each text with one (another for each ``k``) of those that have the same least shingle in one of the orders."""
-    named = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("least").alias("o", "h"))
-    first = F.min(F.struct(F.xxhash64("root", F.lit(k)).alias("order"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")))
-    led = named.withColumn("first", first.over(Window.partitionBy("o", "h"))).where(F.col("root") != F.col("first.ra"))
+def near_by_least(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b, na, nb: each text with the first of those that have the same least shingle in one of the orders."""
+    named = nodes.select("node", "n", F.posexplode("least").alias("o", "h"))
+    first = named.groupBy("o", "h").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("na"))).alias("first"))
+    led = named.join(first, ["o", "h"]).where(F.col("node") != F.col("first.a"))
     return led.select("first.a", F.col("node").alias("b"), "first.na", F.col("n").alias("nb")).where(_sizes_fit())
 
 

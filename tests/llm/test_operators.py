@@ -142,6 +142,19 @@ def test_clusters_survive_tiling(spark, shard, blocks):
     assert groups([root.get(s, s) for s in signed]) == groups(want)
 
 
+@pytest.mark.parametrize("finish", [0, 30, 10**6])
+def test_components_of_chains_and_hubs(spark, monkeypatch, finish):
+    import terncove.llm.components as module
+
+    monkeypatch.setattr(module, "FINISH", finish)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 200), (200, 250), (7, 7)]
+    r = random.Random(3)
+    r.shuffle(edges)
+    got = {x.node: x.root for x in components(spark.createDataFrame([(b, a) if k % 2 else (a, b) for k, (a, b) in enumerate(edges)], "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100), **dict.fromkeys((200, 250, 300), 200)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_shard_names_grow_with_the_corpus():
     assert [bktree.choose_blocks(n, 3) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [4, 4, 5, 6, 6]
 
