@@ -20,6 +20,7 @@ chunk; an empty table gives an empty result; other columns are ignored; repeated
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,7 @@ class ChunkEncoder:
     """Encodes texts as ``tokenizers.Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
     def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
