@@ -15,7 +15,7 @@ of ``CELLS`` cells: differences there are differences of the sets. What passes b
 
 A group of near copies would give the square of its size in pairs. So texts are first compared with one other of those that have the
 same least shingle in one of ``ORDERS`` orders (similar sets have with probability 0.8 or more), as many pairs as texts; only pairs
-whose texts are in different components after this are looked for by prefixes. What stays quadratic is a group
+whose texts are in different components after some rounds of this, each with another text of a list, are looked for by prefixes. What stays quadratic is a group
 of texts that are nearly similar to each other, but not quite: all its pairs are told apart by the bounds.
 
 Sets are of 64-bit hashes. Texts without words have the empty set and count as equal; fewer words than a shingle make one.
@@ -42,6 +42,8 @@ FREQUENT = 400_000  # shingles that are put last at most
 RADIUS = 3
 CELLS = 256
 ORDERS = 4
+ROUNDS = 8  # at most
+FEW = 0.05  # a round that links so few, beside the first, is the last
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -164,8 +166,15 @@ def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     held = rows.select("node", "n", F.explode("prefix").alias("h")).withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)})
     held = materialize(held.where("low < high").select("h", "node", "n").distinct(), "near-shared")
 
-    links = _verified(near_by_trees(nodes).unionByName(near_by_least(nodes)), nodes, rows, docs, words, id_col, text_col)
-    roots = components(links)
+    asked = near_by_trees(nodes).unionByName(near_by_least(nodes, None, 0))
+    links = _verified(asked, nodes, rows, docs, words, id_col, text_col)
+    first, roots = links.count(), components(links)
+    for k in range(1, ROUNDS):
+        more = _verified(near_by_least(nodes, roots, k), nodes, rows, docs, words, id_col, text_col)
+        links, n = links.unionByName(more), more.count()
+        roots = components(links) if n else roots
+        if n <= FEW * first:
+            break
     named = held.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
     one = named.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     two = named.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -175,11 +184,14 @@ def near_sets(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     return rows.select("_id", "_fp", "node").join(roots, "node", "left").select("_id", "_fp", F.coalesce("root", "node").alias("class_id"))
 
 
-def near_by_least(nodes: DataFrame) -> DataFrame:
-    """Pairs a, b, na, nb: each text with the first of those that have the same least shingle in one of the orders."""
-    named = nodes.select("node", "n", F.posexplode("least").alias("o", "h"))
-    first = named.groupBy("o", "h").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n").alias("na"))).alias("first"))
-    led = named.join(first, ["o", "h"]).where(F.col("node") != F.col("first.a"))
+def near_by_least(nodes: DataFrame, roots: DataFrame | None, k: int) -> DataFrame:
+    """Pairs a, b, na, nb: each text with one (another for each ``k``) of those that have the same least shingle in one of the orders, where
+    these two are not in one component yet."""
+    own = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = own.select("node", "n", "root", F.posexplode("least").alias("o", "h"))
+    row = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    first = named.groupBy("o", "h").agg(F.min(row).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    led = named.join(first, ["o", "h"]).where(F.col("root") != F.col("first.ra"))
     return led.select("first.a", F.col("node").alias("b"), "first.na", F.col("n").alias("nb")).where(_sizes_fit())
 
 
