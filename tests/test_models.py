@@ -86,7 +86,7 @@ def test_candidates_miss_no_match():
         want = linkage.fold(frames(leads), frames(records)).astype(object)
     finally:
         linkage.Places.candidates = every
-    assert got.fillna(-1).values.tolist() == want.fillna(-1).values.tolist()
+    assert got.where(got.notna(), None).values.tolist() == want.where(want.notna(), None).values.tolist()
     assert {"matched", "merged", "new", "skipped"} == set(got["outcome"])
 
 
