@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from . import phones
 
 # Fixed value: what counts as white space when both ends are trimmed.
 _SPACES = r"[\s\x{85}\x{A0}\x{1C}-\x{1F}]"
@@ -181,37 +182,26 @@ def email_domain(email: Column) -> Column:
     return F.when(F.contains(email, F.lit("@")), F.lower(strip(F.substring_index(email, "@", -1))))
 
 
-def normalize_phone(raw: Column) -> Column:
-    """E.164 of the first valid number, else what looks like a number of 9 digits or more, else NULL.
+def normalize_phone(raw: Column, region: str = "UA") -> Column:
+    """E.164 of the first number that the numbering plans know, else what looks like a number of 9 digits or more, else NULL.
 
-    Validity is an approximation without a number-plan library: +380 with a known operator or area code and nine digits, or a
-    plus sign and 8 to 15 digits.
+    ``region``: whose national numbers may come without a country code.
     """
     parts = F.split(raw, r"[;/]| или ")
-    numbers = F.filter(F.transform(parts, one_number), lambda n: n.isNotNull())
+    numbers = F.filter(F.transform(parts, lambda p: one_number(p, region)), lambda n: n.isNotNull())
     rest = strip(F.regexp_replace(raw, r"[^\d+()\-\s]", ""))
     enough = F.length(F.regexp_replace(rest, r"\D", "")) >= 9
-    return F.coalesce(F.when(F.size(numbers) > 0, numbers[0]), F.when(enough, rest))
+    return F.coalesce(F.get(numbers, 0), F.when(enough, rest))
 
 
-def one_number(candidate: Column) -> Column:
-    trimmed = strip(candidate)
-    digits = F.regexp_replace(trimmed, r"\D", "")
-    plausible = trimmed.rlike(r"^\+?[\d\s().\-]+$")
-    code = "|".join(C.UA_OPERATOR_CODES)
-    national = rf"(?:{code}|[{C.UA_AREA_FIRST_DIGITS}]\d)\d{{7}}"
-    found = F.when(digits.rlike(rf"^380{national}$"), F.concat(F.lit("+"), digits))
-    found = found.when(digits.rlike(rf"^80{national}$") & ~trimmed.startswith("+"), F.concat(F.lit("+3"), digits))
-    found = found.when(digits.rlike(rf"^0{national}$") & ~trimmed.startswith("+"), F.concat(F.lit("+38"), digits))
-    found = found.when(digits.rlike(rf"^{national}$") & ~trimmed.startswith("+"), F.concat(F.lit("+380"), digits))
-    foreign = trimmed.startswith("+") & digits.rlike(r"^[1-9]\d{7,14}$") & ~digits.rlike("^380")
-    return F.when(plausible, found.when(foreign, F.concat(F.lit("+"), digits)))
+def one_number(candidate: Column, region: str = "UA") -> Column:
+    return phones.international(strip(candidate), region)
 
 
-def find_phones(text: Column, limit: int = 5) -> Column:
+def find_phones(text: Column, limit: int = 5, region: str = "UA") -> Column:
     """Valid numbers in running text in order of appearance."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\d+])((?:\+|\b0|\b380|\b80)[\d\s().\-]{7,18}\d)(?!\d)"))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, one_number), lambda n: n.isNotNull())), 1, limit)
+    found = F.transform(phones.candidates(text, region), lambda c: one_number(c, region))
+    return F.slice(F.array_distinct(F.filter(found, lambda n: n.isNotNull())), 1, limit)
 
 
 # --- links ---

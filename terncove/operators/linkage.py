@@ -21,7 +21,7 @@ LINKS = "pos long, outcome string, lead_id long, created_by long"
 
 def prepared(records: DataFrame) -> DataFrame:
     """Records with normalised phones, URL and email and with the forms that matching compares."""
-    phones = F.array_distinct(F.filter(F.transform("phones", X.normalize_phone), lambda p: p.isNotNull()))
+    phones = F.array_distinct(F.filter(F.transform("phones", lambda p: X.normalize_phone(p)), lambda p: p.isNotNull()))
     clean = records.withColumns({
         "phones": F.coalesce(phones, F.array().cast("array<string>")), "website": X.normalize_url(F.col("website")),
         "email": X.filled(F.lower(X.strip(F.col("email")))),

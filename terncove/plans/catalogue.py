@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions import geo, rules
+from ..functions import geo, phones, rules
 from ..functions import text as X
 from ..functions.harvest import aligned_similarity, harvest
 from ..operators import dedupe, export, linkage, mail, merge, profiles, queue, stats
@@ -334,8 +334,30 @@ add("q07_pending", lambda t: stats.pending(t.runs.select("city", "category").dis
 
 # --- functions (F) on cases ---
 one = lambda f: f(F.col("x"))
-cases("f01_phone", "x string", [("0671234567", "+380671234567"), ("+38 (067) 123-45-67; 0501112233", "+380671234567"), ("+38", None), ("(12) 345-67-890", "(12) 345-67-890"), ("+1 212 555 0199", "+12125550199"), (None, None)], lambda d: one(X.normalize_phone))
-cases("f02_find_phones", "x string", [("тел. 067 123 45 67, факс +380 (50) 111-22-33", "+380671234567,+380501112233"), ("order 1234567890123456", "")], lambda d: F.array_join(X.find_phones(F.col("x")), ","))
+PHONE_CODES = [*(code for code, _, _ in phones.PLANS.values()), "995"]  # the last has no plan of its own
+PHONE_PLAN = "plan(code, begins, n) as (values " + ", ".join(f"('{c}', '{b}', {n})" for c, b, n in phones.rows()) + ")"
+NUMBERS = f"""
+numbers as (
+  select k, form, code, national, case form when 0 then '+' || code || ' ' || national when 1 then '00' || code || '-' || national
+      else case when code = '380' and substr(national, 1, 1) <> '0' then '0' || national else '+' || code || ' (' || substr(national, 1, 2) || ') ' || substr(national, 3) end end as raw
+  from (select c_custkey as k, cast(floor(c_custkey / 60) as bigint) % 3 as form, case c_custkey % {len(PHONE_CODES)} {" ".join(f"when {i} then '{c}'" for i, c in enumerate(PHONE_CODES))} end as code,
+      lpad(cast((c_custkey * 7368787) % cast(pow(10, 8 + cast(floor(c_custkey / 15) as bigint) % 4) as bigint) as string), cast(8 + cast(floor(c_custkey / 15) as bigint) % 4 as int), '0') as national
+    from {{customer}}))
+"""
+PHONE_SQL = f"""{NUMBERS}, {PHONE_PLAN},
+longest as (
+  select k, max(length(begins)) as b from numbers join plan on numbers.code = plan.code and starts_with(national, begins) group by k),
+valid as (
+  select distinct k from numbers join plan on numbers.code = plan.code and starts_with(national, begins) and n = length(national) join longest using (k) where length(begins) = b
+  union select k from numbers where code = '995'),
+told as (
+  select k, raw, case when valid.k is not null then '+' || code || national end as e164 from numbers left join valid using (k))
+"""
+sized = lambda t: t.spark.sql(f"with {NUMBERS} select * from numbers", customer=t.customer)
+add("f01_phone", lambda t: sized(t).select("k", X.normalize_phone(F.col("raw")).alias("phone")),
+    f"with {PHONE_SQL} select k, coalesce(e164, case when length(regexp_replace(raw, '[^0-9]', '', 'g')) >= 9 then raw end) as phone from told", "")
+add("f02_find_phones", lambda t: sized(t).select("k", F.array_join(X.find_phones(F.concat(F.lit("tel. "), "raw", F.lit(", order 1234567890123456, fax "), "raw", F.lit(" or +380 44 123-45-67;"))), ",").alias("phones")),
+    f"with {PHONE_SQL} select k, concat_ws(',', e164, '+380441234567') as phones from told where e164 is distinct from '+380441234567'", "")
 cases("f03_tel_links", "x string", [('<a href="tel:+380671234567">', "+380671234567"), ("<a href='tel:%2B38050'> tel:1", "+38050,1")], lambda d: F.array_join(X.tel_links(F.col("x")), ","))
 cases("f04_emails", "x string", [('<a href="mailto:Me@B.UA?x">a@c.com noreply@c.com me@b.ua', "me@b.ua,a@c.com"), ("a1@x.ua a2@x.ua a3@x.ua a4@x.ua a5@x.ua a6@x.ua", "a1@x.ua,a2@x.ua,a3@x.ua,a4@x.ua,a5@x.ua")], lambda d: F.array_join(X.find_emails(F.col("x")), ","))
 cases("f05_instagram", "x string", [("https://www.instagram.com/Salon.Kyiv/?hl=uk", "https://instagram.com/salon.kyiv"), ("@salon", "https://instagram.com/salon"), ("salon_1", "https://instagram.com/salon_1"), ("https://instagram.com/p/abc", None), ("https://facebook.com/x", None), ("a b", None)], lambda d: one(X.normalize_instagram))

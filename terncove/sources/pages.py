@@ -67,7 +67,7 @@ def crawl(sites: DataFrame, fetched: DataFrame, max_pages: int = 4) -> DataFrame
 def site_contacts(pages: DataFrame, phones: int = 5) -> DataFrame:
     """pages: id, seq, url, html. One row a site: phones, emails, socials, automation, in order of pages and of kinds of evidence."""
     h = pages.withColumns({"h": harvest("html", "url"), "automation": detect_automation(F.col("html"))})
-    known = lambda a: F.filter(F.transform(a, X.normalize_phone), lambda p: p.isNotNull())
+    known = lambda a: F.filter(F.transform(a, lambda p: X.normalize_phone(p)), lambda p: p.isNotNull())
     ld_mail = F.filter("h.ld_emails", lambda m: X.email_accepted(m) & m.rlike(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,24}$"))
     found = h.select(
         "id", "seq", F.concat(known(X.tel_links(F.col("html"))), known(F.col("h.ld_phones")), X.find_phones(F.col("h.visible_text"), phones)).alias("phones"),
