@@ -104,6 +104,12 @@ def _turn(number: Column, role: Column, text: Column) -> Column:
     return F.struct(number.cast("long").alias("turn"), F.coalesce(role.cast("string"), empty).alias("role"), F.coalesce(text.cast("string"), empty).alias("text"))
 
 
+def _numbered(messages: Column, layout: Layout) -> Column:
+    """The turns of an array of messages."""
+    _, role, text = layout.listed
+    return F.transform(messages, lambda m, k: _turn(k, _renamed(m[role], layout), m[text]))
+
+
 def _fixed(layout: Layout, of) -> Column:
     """The turns of a layout with named fields; ``of(path)`` is a field's text. A system turn without text is none."""
     turns = []
@@ -121,9 +127,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", layout: Layout | Non
         turn, role, text = (F.col(c) for c in layout.by_row)
         rows = df.select(key, _turn(turn, _renamed(role, layout), text).alias("t"))
     elif layout.listed:
-        array, role, text = layout.listed
-        numbered = F.transform(F.col(array), lambda m, k: _turn(k, _renamed(m[role], layout), m[text]))
-        rows = df.select(key, F.explode(numbered).alias("t"))
+        rows = df.select(key, F.explode(_numbered(F.col(layout.listed[0]), layout)).alias("t"))
     else:
         rows = df.select(key, F.explode(_fixed(layout, F.col)).alias("t"))
     return rows.select("conv_id", "t.turn", "t.role", "t.text")
@@ -163,7 +167,7 @@ def json_turns(df: DataFrame, id_col: str = "conv_id", json_col: str = "json", l
         if x.listed:
             array, role, text = x.listed
             held = F.try_variant_get(value, f"$.{array}", f"array<struct<`{role}`: string, `{text}`: string>>")
-            made = F.transform(held, lambda m, k, x=x, role=role, text=text: _turn(k, _renamed(m[role], x), m[text]))
+            made = _numbered(held, x)
         elif x.fields:
             made = _fixed(x, lambda p: F.try_variant_get(value, f"$.{p}", "string"))
         else:
