@@ -104,14 +104,14 @@ def compiled() -> tuple[list[int], list[int]]:
     return [swap.get(x, x) for n in order for x in after[n * 10 : n * 10 + 10]], [lengths[n] for n in order]
 
 
-def _constant(values: list[int]) -> Column:
+def constant_array(values: list[int]) -> Column:
     """One literal: the optimizer evaluates it once."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
 def is_number(digits: Column) -> Column:
     """Whether digits with their country code in front are a number that some plan knows."""
-    after, lengths = map(_constant, compiled())
+    after, lengths = map(constant_array, compiled())
 
     def step(at: Column, d: Column) -> Column:
         node = F.get(after, at["node"] * 10 + d.cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from ..functions.harvest import aligned_similarity
 from ..functions.rules import contact_score, is_automated, merge_automation
 from ..functions.text import filled, normalize_name, plain_similarity
 from ..plans.cut import cut
+from .groups import components
+from .similar import lengths_allow, ratio_bound
 
 MERGED_FIELDS = ["address", "lat", "lon", "phone", "website", "raw_tags", "size_estimate", "size_signals", "google_place_id", "google_places_data"]
 STAMPS = ["enriched_at", "last_verified_at", "google_checked_at"]
@@ -52,39 +55,97 @@ def near_pairs(leads: DataFrame, radius_m: float = 30.0, exact_cells: bool = Tru
 
 
 def duplicate_pairs(leads: DataFrame, radius_m: float = 30.0, threshold: float = 0.84, exact_cells: bool = True) -> DataFrame:
-    """left_id, right_id, distance_m, similarity. Only names that are neither equal nor contained go to Python."""
+    """left_id, right_id, distance_m, similarity. Only names that are neither equal nor contained and have letters enough in common go to Python."""
     near = near_pairs(leads, radius_m, exact_cells).withColumn("plain", plain_similarity(F.col("norm"), F.col("norm2")))
     settled = near.where(F.col("plain").isNotNull()).withColumn("similarity", F.col("plain"))
-    aligned = near.where(F.col("plain").isNull()).withColumn("similarity", aligned_similarity("norm", "norm2"))
+    aligned = alignable(near, threshold).withColumn("similarity", aligned_similarity("norm", "norm2"))
     return settled.unionByName(aligned).where(F.col("similarity") >= threshold).select("left_id", "right_id", "distance_m", "similarity")
 
 
+def alignable(near: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose similarity has to be aligned and can reach the threshold by their lengths and by their letters."""
+    a, b = F.col("norm"), F.col("norm2")
+    return near.where(F.col("plain").isNull() & lengths_allow(a, b, threshold)).where(ratio_bound(a, b) >= threshold - 1e-9)
+
+
 def survivor_rank() -> Column:
     some = F.coalesce(F.size("automation") > 0, F.lit(False))
     score = contact_score(F.col("phone"), F.col("email"), F.col("website"), F.col("socials"))
     return F.struct(score.alias("score"), some.alias("auto"), F.coalesce(F.col("address") != "", F.lit(False)).alias("addr"), (-F.col("id")).alias("first"))
 
 
-def greedy_pairs(pairs: DataFrame) -> DataFrame:
+#: Pairs of at most so many are scanned by one task.
+SCAN = 200_000
+
+
+def _firsts(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs that come first at both of their ends, pairs that touch none of these). The scan takes the former, whatever else it takes."""
+    ends = left.select(F.col("left_id").alias("node"), "edge").unionByName(left.select(F.col("right_id").alias("node"), "edge"))
+    first = ends.groupBy("node").agg(F.min("edge").alias("first"))
+    chosen = cut(
+        left.join(first.select(F.col("node").alias("left_id"), F.col("first").alias("fl")), "left_id")
+        .join(first.select(F.col("node").alias("right_id"), F.col("first").alias("fr")), "right_id")
+        .where("edge = fl and edge = fr").select(*left.columns)
+    )
+    return chosen, cut(_untouched(left, chosen))
+
+
+def _untouched(left: DataFrame, chosen: DataFrame) -> DataFrame:
+    used = chosen.select(F.explode(F.array("left_id", "right_id")).alias("node"))
+    return left.join(used.withColumnRenamed("node", "left_id"), "left_id", "left_anti").join(used.withColumnRenamed("node", "right_id"), "right_id", "left_anti").select(*left.columns)
+
+
+def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rule itself: pairs in order, without those that touch a row that a taken pair has."""
+    used: set[int] = set()
+    taken = []
+    pdf = pdf.sort_values(["left_id", "right_id"], ignore_index=True)
+    for k, (a, b) in enumerate(zip(pdf["left_id"].tolist(), pdf["right_id"].tolist(), strict=True)):
+        if a not in used and b not in used:
+            used |= {a, b}
+            taken.append(k)
+    return pdf.iloc[taken]
+
+
+def _scanned(left: DataFrame, group: str) -> DataFrame:
+    kinds = ", ".join(f"`{c}` {k}" for c, k in left.dtypes if c != group)
+    return left.groupBy(group).applyInPandas(lambda pdf: _scan(pdf.drop(columns=group)), kinds)
+
+
+def greedy_pairs(pairs: DataFrame, scan: int = SCAN) -> DataFrame:
     """Pairs that a scan in order of (left_id, right_id) takes when it skips pairs that touch a taken row.
 
-    Each round takes the pairs that come first at both of their ends and drops what touches them; that gives the scan's result.
+    1. Pairs that come first at both ends are taken at once and what touches them goes: most copies stand alone in twos, and stars end here.
+    2. If ``scan`` pairs or fewer are left, one task scans them, chains and cliques alike. Else they are parted into components, which do not concern each
+       other: each of at most ``scan`` pairs is scanned by a task of its own.
+    3. Pairs of larger components are taken in consecutive ranges of about ``scan`` pairs in the order of the scan, without those that earlier ranges
+       have used up; a range is treated as the whole is. So no task ever holds more than ``scan`` pairs.
     """
-    left, taken = cut(pairs.withColumn("edge", F.struct("left_id", "right_id"))), None
-    while not left.isEmpty():
-        ends = left.select(F.col("left_id").alias("node"), "edge").unionByName(left.select(F.col("right_id").alias("node"), "edge"))
-        first = ends.groupBy("node").agg(F.min("edge").alias("first"))
-        chosen = (
-            left.join(first.select(F.col("node").alias("left_id"), F.col("first").alias("fl")), "left_id")
-            .join(first.select(F.col("node").alias("right_id"), F.col("first").alias("fr")), "right_id")
-            .where("edge = fl and edge = fr").drop("fl", "fr")
-        )
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        used = chosen.select(F.explode(F.array("left_id", "right_id")).alias("node"))
-        left = cut(
-            left.join(used.withColumnRenamed("node", "left_id"), "left_id", "left_anti").join(used.withColumnRenamed("node", "right_id"), "right_id", "left_anti")
-        )
-    return (taken if taken is not None else left).drop("edge")
+    taken, left = _firsts(cut(pairs.withColumn("edge", F.struct("left_id", "right_id"))))
+    n = left.count()
+    if n > scan:
+        roots = components(left.select("left_id", "right_id"), scan)
+        rooted = cut(left.join(roots.withColumnsRenamed({"node": "left_id", "root": "_root"}), "left_id"))
+        sizes = cut(rooted.groupBy("_root").agg(F.count("*").alias("_n")))
+        small = rooted.join(sizes.where(F.col("_n") <= scan).select("_root"), "_root", "left_semi")
+        taken = taken.unionByName(cut(_scanned(small, "_root")))
+        left = cut(rooted.join(sizes.where(F.col("_n") > scan).select("_root"), "_root", "left_semi").drop("_root"))
+        n = left.count()
+        edges = sorted(set(left.approxQuantile("left_id", [k * scan / n for k in range(1, -(-n // scan))], 0.1 * scan / n))) if n else []
+        for low, high in zip([None, *edges], [*edges, None], strict=True):
+            if n == 0:
+                break
+            part = left if low is None else left.where(F.col("left_id") > low)
+            part = cut(_untouched(part if high is None else part.where(F.col("left_id") <= high), taken))
+            while (m := part.count()) > scan:
+                more, part = _firsts(part)
+                taken = taken.unionByName(more)
+            if m:
+                taken = cut(taken.unionByName(_scanned(part.withColumn("_root", F.lit(0)), "_root")))
+        n = 0
+    if n:
+        taken = taken.unionByName(_scanned(left.withColumn("_root", F.lit(0)), "_root"))
+    return taken.drop("edge")
 
 
 def with_survivors(leads: DataFrame, pairs: DataFrame) -> DataFrame:

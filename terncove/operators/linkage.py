@@ -12,7 +12,9 @@ from ..functions import text as X
 from ..functions.harvest import similarity_from
 from ..functions.rules import estimate_size, merge_automation
 from ..plans.cut import cut
+from .groups import components
 from .merge import new_id, with_columns_of
+from .similar import letters, similar_at_places, similar_names
 
 NEAR_M = 150.0
 NAME_LEAST, NAME_ALONE = 0.80, 0.95
@@ -32,37 +34,6 @@ def prepared(records: DataFrame) -> DataFrame:
     })
 
 
-def lead_keys(leads: DataFrame) -> DataFrame:
-    """id, key, rank: the map id (0), external ids (0, later leads win) and merged ids (1, earlier leads win)."""
-    ext = F.coalesce(F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("/", e["key"], e["value"])), F.array().cast("array<string>"))
-    merged = F.coalesce("merged_ids", F.array().cast("array<string>"))
-    of = lambda a, r: F.transform(a, lambda k: F.struct(k.alias("key"), F.lit(r).alias("rank")))
-    return leads.select("id", F.explode(F.concat(of(F.array("osm_id"), 0), of(ext, 0), of(merged, 1))).alias("k")).select("id", "k.key", "k.rank")
-
-
-def city_components(leads: DataFrame, records: DataFrame) -> DataFrame:
-    """city, component. Keys may link across cities, so cities that share one must be folded together.
-
-    Pairs of cities are few whatever the number of leads (at most the square of the number of cities), and are united on the driver.
-    """
-    keyed = lead_keys(leads).join(leads.select("id", "city"), "id").select("key", "city")
-    asked = records.select(F.explode(F.array("key", "raw_key")).alias("key"), "city")
-    spans = keyed.unionByName(asked).groupBy("key").agg(F.min("city").alias("a"), F.max("city").alias("b")).where("a <> b")
-    root: dict[str, str] = {}
-
-    def find(c: str) -> str:
-        while root.get(c, c) != c:
-            c = root[c]
-        return c
-
-    every = keyed.unionByName(asked).join(spans.select("key"), "key", "left_semi").join(spans.select("key", "a"), "key").where("a <> city")
-    for r in every.select("a", "city").distinct().collect():
-        a, b = find(r["a"]), find(r["city"])
-        root[max(a, b)] = min(a, b)
-    rows = [(c, find(c)) for c in root]
-    return leads.sparkSession.createDataFrame(rows, "city string, component string")
-
-
 def _metres(a: float, b: float, c: float, d: float) -> float:
     p, q = math.radians(a), math.radians(c)
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
@@ -100,7 +71,7 @@ class Places:
             self.begins.setdefault(name[:3], []).append(n)
         elif name:
             self.short.append(n)
-        if _usable(row["lat"]) and _usable(row["lon"]):
+        if _located(row):
             cy = math.floor(row["lat"] / self.SIZE)
             self.cells.setdefault((cy, self.column(cy, row["lon"])), []).append(n)
         if row["house"]:
@@ -121,7 +92,7 @@ class Places:
         for t in own:
             found.update(self.begins.get(t, ()))
         found.update(self.short)
-        if _usable(rec["lat"]) and _usable(rec["lon"]):
+        if _located(rec):
             cy = math.floor(rec["lat"] / self.SIZE)
             for y in (cy - 1, cy, cy + 1):
                 cx = self.column(y, rec["lon"])
@@ -133,8 +104,8 @@ class Places:
         return [self.rows[n] for n in sorted(found)]
 
 
-def _usable(x) -> bool:
-    return x is not None and x == x
+def _located(row: dict) -> bool:
+    return all(row[c] is not None and row[c] == row[c] for c in ("lat", "lon"))
 
 
 def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +137,7 @@ def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
             best, best_score, alone = None, 0.0, []
             stems = set(rec["stems"])
             for other in by_city[rec["city"]].candidates(rec, stems) if rec["city"] in by_city else ():
-                near = _usable(rec["lat"]) and _usable(other["lat"]) and _metres(rec["lat"], rec["lon"], other["lat"], other["lon"]) <= NEAR_M
+                near = _located(rec) and _located(other) and _metres(rec["lat"], rec["lon"], other["lat"], other["lon"]) <= NEAR_M
                 same = bool(rec["house"]) and rec["house"] == other["house"] and bool(stems & other["stems"])
                 least = NAME_LEAST if near or same else NAME_ALONE  # elsewhere only nearly equal names count
                 score = similarity_from(rec["norm"], other["norm"], least)
@@ -176,7 +147,7 @@ def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
                     alone.append(other)
                 if score > best_score and (near or same):
                     best, best_score = other, score
-            row = best or (alone[0] if len(alone) == 1 else None)
+            row = best or (alone[0] if len(alone) == 1 and not rec.get("crowded") else None)  # a crowded name's leads are not all here
         if row is not None:
             out.append((rec["pos"], "matched" if row["created_by"] is None else "merged", row["id"], row["created_by"]))
         elif not rec["create_if_missing"]:
@@ -190,27 +161,104 @@ def fold(leads: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"lead_id": "Int64", "created_by": "Int64"})
 
 
+def _node(kind: str, *cols) -> Column:
+    """A node of the graph of candidates. That two nodes ever share a number makes a group larger, never wrong."""
+    return F.xxhash64(F.lit(kind), *cols)
+
+
+def _named() -> dict[str, Column]:
+    """A name of a city as a node, and the name's letters."""
+    return {"name_id": _node("name", F.col("city"), F.col("norm")), "ls": letters(F.coalesce("norm", F.lit("")))}
+
+
+def _places(df: DataFrame, probe: bool) -> DataFrame:
+    """place, id, ls, node: where a name is at home (its cell, its address), or where its neighbours are (nine cells, its address)."""
+    size = Places.SIZE
+    row = F.floor(F.col("lat") / size)
+    column = lambda r: F.floor(F.col("lon") / (F.lit(size) / F.greatest(F.cos(F.radians(F.least((F.abs(r) + 2) * size, F.lit(89.0)))), F.lit(0.01))))
+    around = (-1, 0, 1) if probe else (0,)
+    cells = F.array(*[_node("cell", F.col("city"), row + dy, column(row + dy) + dx) for dy in around for dx in around])
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    none = F.array().cast("array<long>")
+    addresses = F.when(F.col("house").isNotNull(), F.transform("stems", lambda s: _node("address", F.col("city"), F.col("house"), s))).otherwise(none)
+    every = F.concat(F.when(located, cells).otherwise(none), addresses)
+    return df.where("norm <> ''").select(F.explode(every).alias("place"), F.col("name_id").alias("id"), "ls", "node")
+
+
+def candidate_edges(lead: DataFrame, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b: edges of a graph in which a record hangs together with all that can decide about it; x: ids of crowded names).
+
+    Keys, phones and names are nodes themselves, so what shares one is a star and not all its pairs. A name is crowded if two leads or more of its city have
+    nearly the same: then no lead is its only one, whatever else is found, and only neighbours count. Other names hang together with all nearly equal ones of their city.
+    """
+    asked = rec.select("node", F.explode(F.concat(F.transform(F.array("key", "raw_key"), lambda k: _node("key", k)), F.transform("phones", lambda p: _node("phone", F.col("city"), p)))).alias("token"))
+    keys = F.concat(F.array("osm_id"), F.col("own_keys"), F.col("merged_keys"))
+    told = lead.select("node", F.explode(F.concat(F.transform(keys, lambda k: _node("key", k)), F.array(_node("phone", F.col("city"), F.col("phone"))))).alias("token"))
+    tokens = asked.unionByName(told.join(asked.select("token").distinct(), "token", "left_semi").select("node", "token"))
+    own = ["city", "norm", "ls", "name_id", "node"]
+    named = lead.select(*own, F.lit(1).alias("lead")).unionByName(rec.select(*own, F.lit(0).alias("lead"))).where("norm <> ''")
+    by_name = named.groupBy(F.col("name_id").alias("id"), F.col("city").alias("place"), "norm")
+    names = cut(by_name.agg(F.sum("lead").alias("leads"), (F.min("lead") == 0).alias("asked"), F.first("ls").alias("ls")))
+    pairs = cut(similar_names(names, NAME_ALONE))
+    beside = pairs.join(names.select(F.col("id").alias("y"), "leads"), "y").groupBy(F.col("x").alias("id")).agg(F.sum("leads").alias("more"))
+    load = cut(names.where("asked").join(beside, "id", "left").select("id", (F.col("leads") + F.coalesce("more", F.lit(0)) > 1).alias("crowded")))
+    crowded, free = load.where("crowded").select(F.col("id").alias("x")), load.where("not crowded").select(F.col("id").alias("x"))
+    alone = pairs.join(free, "x", "left_semi")
+    attached = free.union(alone.select("y")).distinct()
+    members = named.join(attached.withColumnRenamed("x", "name_id"), "name_id", "left_semi").select("node", F.col("name_id").alias("token"))
+    probes, homes = _places(rec, True), _places(lead, False).unionByName(_places(rec, False))
+    homes = homes.join(probes.select("place").distinct(), "place", "left_semi")
+    distinct = lambda df: df.groupBy("place", "id").agg(F.first("ls").alias("ls"))
+    met = cut(similar_at_places(distinct(probes), distinct(homes), pairs, NAME_LEAST))
+    at = lambda kind, name: _node(kind, F.col("place"), F.col(name))
+    near = met.select(at("asked", "x").alias("node"), at("home", "y").alias("token"))
+    askers = probes.join(met.select("place", F.col("x").alias("id")).distinct(), ["place", "id"], "left_semi").select("node", at("asked", "id").alias("token"))
+    dwellers = homes.join(met.select("place", F.col("y").alias("id")).distinct(), ["place", "id"], "left_semi").select("node", at("home", "id").alias("token"))
+    edges = tokens
+    for more in (members, alone.select(F.col("x").alias("node"), F.col("y").alias("token")), near, askers, dwellers):
+        edges = edges.unionByName(more.select("node", "token"))
+    return edges.select(F.col("node").alias("a"), F.col("token").alias("b")), crowded
+
+
+#: Rows that one task folds, unless a group is larger.
+TOGETHER = 5_000
+
+
 def link(leads: DataFrame, records: DataFrame) -> DataFrame:
     """One row a record: pos, outcome (matched, merged, new, skipped), lead_id, created_by (position of the creating record).
 
     leads: id, osm_id, name, city, address, lat, lon, phone, merged_ids, external_ids. records: pos, source, ext_id, name, category,
     city, address, lat, lon, phones, email, website, create_if_missing.
+
+    A record may match a lead that an earlier record created, so records are folded in order, but only within components of the graph of
+    ``candidate_edges``; components are dealt over all tasks, some thousand rows a task. Leads that no record can concern are not read further.
     """
     recs = prepared(records)
-    part = city_components(leads, recs)
-    lead = leads.select(
+    keys = F.array().cast("array<string>")
+    lead = cut(leads.select(
         "id", "osm_id", "city", "phone", "lat", "lon", X.normalize_name(F.col("name")).alias("norm"), X.address_house(F.col("address")).alias("house"),
-        X.address_stems(F.col("address")).alias("stems"), F.coalesce("merged_ids", F.array().cast("array<string>")).alias("merged_keys"),
-        F.coalesce(F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("/", e["key"], e["value"])), F.array().cast("array<string>")).alias("own_keys"),
-    )
-    rec = recs.select("pos", "city", "key", "raw_key", "phones", "norm", "house", "stems", "lat", "lon", "create_if_missing")
-    in_part = lambda df: df.join(part, "city", "left").withColumn("component", F.coalesce("component", "city"))
+        X.address_stems(F.col("address")).alias("stems"), F.coalesce("merged_ids", keys).alias("merged_keys"),
+        F.coalesce(F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("/", e["key"], e["value"])), keys).alias("own_keys"), _node("lead", F.col("id")).alias("node"),
+    ).withColumns(_named()))
+    rec = recs.select("pos", "city", "key", "raw_key", "phones", "norm", "house", "stems", "lat", "lon", "create_if_missing", _node("record", F.col("pos")).alias("node"))
+    rec = cut(rec.withColumns(_named()))
+    edges, crowded = candidate_edges(lead, rec)
+    roots = cut(components(edges))
+    parts = slots(leads) + rec.count() // TOGETHER
+    rooted = roots.select("node", F.pmod(F.xxhash64("root"), F.lit(parts)).alias("part"))
+    asked = rec.join(rooted, "node").join(crowded.select(F.col("x").alias("name_id"), F.lit(True).alias("crowded")), "name_id", "left").drop("node", "name_id", "ls")
+    known = lead.join(rooted, "node").join(asked.select("part").distinct(), "part", "left_semi").drop("node", "name_id", "ls").withColumnRenamed("part", "own_part")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.assign(created_by=None).astype(object)
         return fold(left.where(left.notna(), None), right.astype(object).where(right.notna(), None))
 
-    return in_part(lead).groupBy("component").cogroup(in_part(rec).groupBy("component")).applyInPandas(run, LINKS)
+    return known.groupBy("own_part").cogroup(asked.groupBy("part")).applyInPandas(run, LINKS)
+
+
+def slots(df: DataFrame) -> int:
+    """Number of shuffle partitions that the session asks for."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def counters(links: DataFrame) -> DataFrame:

@@ -539,6 +539,28 @@ add("pages_signals", lambda t: t.pages.select("page_id", rules.detect_automation
     .select("page_id", rules.is_automated(F.col("a")).alias("automated"), rules.describe_automation(F.col("a")).alias("automation"), "n_emails"), _signals_sql(), "")
 add("pages_contacts", lambda t: pages.site_contacts(t.pages.select(F.col("page_id").alias("id"), F.lit(0).alias("seq"), "url", "html")).select("id", F.size("phones").alias("phones"), F.size("emails").alias("emails")))
 add("pages_hosts", lambda t: t.pages.select("page_id", X.host_of(F.col("url")).alias("host")), r"select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') as host from pages", "")
+BLOCKS = """select a.c_custkey as left_id, b.c_custkey as right_id from customer a join customer b on floor(a.c_custkey / 10) = floor(b.c_custkey / 10)
+  and (b.c_custkey = a.c_custkey + 1 or (b.c_custkey > a.c_custkey and floor(a.c_custkey / 10) % 2 = 0))
+  union all select a.c_custkey, a.c_custkey + 1 from customer a where a.c_custkey % 10 = 9 and floor(a.c_custkey / 10) % 20 <> 19"""
+
+
+def _blocks(t: Tables) -> DataFrame:
+    """Keys in tens: chains and cliques in turn, each chained to the next, twenty at a time."""
+    t.customer.createOrReplaceTempView("customer")
+    return t.spark.sql(BLOCKS)
+
+
+add("w03_greedy_chains", lambda t: dedupe.greedy_pairs(_blocks(t)).select("left_id", "right_id"),
+    f"""with recursive e as ({BLOCKS}), nodes as (select distinct left_id as id from e union select right_id from e),
+    firsts as (select left_id, min(right_id) as r1, list(right_id order by right_id) as rs, floor(left_id / 200) as g from e group by left_id),
+    numbered as (select *, row_number() over (partition by g order by left_id) as n from firsts),
+    walk as (
+      select g, n, left_id, r1 as taken, [left_id, r1] as used from numbered where n = 1
+      union all
+      select m.g, m.n, m.left_id, case when list_contains(w.used, m.left_id) then null else list_filter(m.rs, lambda r: not list_contains(w.used, r))[1] end,
+        case when list_contains(w.used, m.left_id) then w.used else list_concat(list_filter(w.used, lambda u: u > m.left_id), [m.left_id, list_filter(m.rs, lambda r: not list_contains(w.used, r))[1]]) end
+      from walk w join numbered m on m.g = w.g and m.n = w.n + 1)
+    select left_id, taken as right_id from walk where taken is not null""", "")
 add("w02_w03_dedupe", lambda t: dedupe.dedupe(_mergeable(t)).select("id", "osm_id", F.array_join("merged_ids", ",").alias("merged")),
     "select id, osm_id, case when k % 10 = 0 then 'way/' || cast(k as varchar) end as merged from leads where copy = 0")
 
