@@ -166,3 +166,18 @@ def prioritize(selected: dict[str, list[str]]) -> dict[str, list[str]]:
     """Medical categories first, in their own order; the others keep theirs."""
     first = [n for n in C.BUNDLES["medical"] if n in selected]
     return {n: selected[n] for n in [*first, *(n for n in selected if n not in first)]}
+
+
+def resolved(names: Column) -> Column:
+    """``categories`` for a column of lists: the categories of names and bundles in order of first mention; NULL where a name is unknown."""
+    every = {**{k: [k] for k in C.CATEGORY_FILTERS}, **C.BUNDLES, "all": list(C.CATEGORY_FILTERS)}
+    members = F.create_map(*[x for k, v in every.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    clean = F.transform(names, lambda n: F.lower(strip(n)))
+    found = F.array_distinct(F.flatten(F.transform(clean, lambda n: F.try_element_at(members, n))))  # NULL if one is NULL
+    return F.when(F.array_contains(clean, "all"), F.array(*map(F.lit, C.CATEGORY_FILTERS))).otherwise(found)
+
+
+def prioritized(selected: Column) -> Column:
+    """``prioritize`` for a column of lists: medical categories first, in their own order; the others keep theirs."""
+    medical = F.array(*map(F.lit, C.BUNDLES["medical"]))
+    return F.concat(F.filter(medical, lambda m: F.array_contains(selected, m)), F.filter(selected, lambda c: ~F.array_contains(medical, c)))

@@ -102,3 +102,8 @@ def mx_targets(leads: DataFrame, recheck: bool = False, limit: int | None = None
 def paid_limit(limit: int, left: int) -> int:
     """A lead may cost two calls."""
     return min(limit, max(left // 2, 1))
+
+
+def paid_budget(limit: Column, left: Column) -> Column:
+    """``paid_limit`` for columns."""
+    return F.least(limit, F.greatest(F.floor(left / 2), F.lit(1)))

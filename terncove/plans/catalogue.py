@@ -1,12 +1,13 @@
 """Every operator as a query over the driver's tables, with the same question in DuckDB's SQL.
 
 The driver's tables hold no business leads, so relational queries run on a view ``leads`` derived from customer and nation,
-the same text in both engines. Functions of single values run on literal cases; their SQL states the expected results.
+the same text in both engines. Bodies, pages and single values are made from customers: each key is written into forms, and the SQL says what each form must give.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,15 +122,46 @@ def quoted(value) -> str:
     return "null" if value is None else str(value).lower() if isinstance(value, bool) else f"'{value.replace(chr(39), chr(39) * 2)}'" if isinstance(value, str) else repr(value)
 
 
+def literal(value, kind: str, key):
+    """A value in which ``{k}`` stands for the row's key, inside strings, lists and maps."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(value, str):
+        return F.replace(F.lit(value), F.lit("{k}"), key) if "{k}" in value else F.lit(value)
+    if isinstance(value, dict):
+        return F.create_map(*[literal(x, "string", key) for kv in value.items() for x in kv]).cast(kind)
+    if isinstance(value, list):
+        return F.array(*[literal(x, "string", key) for x in value]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def formed(t: Tables, schema: str, rows: list[tuple], every: bool = False) -> DataFrame:
+    """k of each customer and the columns of ``schema``: one of ``rows``, in turn by k, or ``every`` one of them, with the key written into it."""
+    fields = [f.split(" ", 1) for f in re.split(r", (?![^<]*>)", schema)]
+    key = F.col("k").cast("string")
+    made = F.array(*[F.struct(*[literal(v, kind, key).alias(name) for v, (name, kind) in zip(r, fields, strict=True)]) for r in rows])
+    keys = t.customer.select(F.col("c_custkey").alias("k"))
+    row = F.explode(made) if every else F.get(made, (F.col("k") % len(rows)).cast("int"))
+    return keys.select("k", row.alias("r")).select("k", "r.*")
+
+
+def told(columns: str, rows: list[tuple], forms: int = 0) -> str:
+    """SQL of what has to come out: ``rows`` begin with the number of the form that they come from (of ``forms``; 0: all rows for every customer), with the key in
+    place of ``{k}``."""
+    names = [c.split(" ", 1) for c in columns.split(", ")]
+    values = ", ".join("(" + ", ".join(quoted(x) for x in r) + ")" for r in rows)
+    shown = ", ".join(f"replace({n}, '{{k}}', c_custkey::varchar) as {n}" if kind == "varchar" else f"cast({n} as {kind}) as {n}" for n, kind in names)
+    return f"select c_custkey as k, {shown} from customer join (values {values}) v(form, {', '.join(n for n, _ in names)}) on " + (f"c_custkey % {forms} = form" if forms else "true")
+
+
 def cases(name: str, schema: str, rows: list[tuple], result, kind: str = "varchar") -> None:
-    """rows: inputs and, last, the expected result. ``result`` makes the column from those named in ``schema``."""
+    """rows: inputs and, last, the expected result, for each customer one of them in turn. ``result`` makes the column from those named in ``schema``."""
 
     def run(t: Tables) -> DataFrame:
-        data = t.spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)], f"n int, {schema}")
-        return data.select("n", result(data).alias("result"))
+        data = formed(t, schema, [r[:-1] for r in rows])
+        return data.select("k", result(data).alias("result"))
 
-    values = ", ".join(f"({i}, cast({quoted(r[-1])} as {kind}))" for i, r in enumerate(rows))
-    add(name, run, f"select cast(n as int) as n, result from (values {values}) v(n, result)", "")
+    add(name, run, told(f"result {kind}", [(i, r[-1]) for i, r in enumerate(rows)], len(rows)), "")
 
 
 IDS = "select id from leads where "
@@ -160,9 +192,10 @@ CITIES = [(0, "Київ", None, "Киев", [], None), (1, "Харків", "Ха
           (3, "Донецьк", "Донецька", "Донецк", [], "occupied"), (4, "Кам'янське", "Дніпропетровська", "Каменское", ["Дніпродзержинськ"], None)]
 CITY_SCHEMA = "pos int, name string, region string, ru string, old array<string>, excluded string"
 cities = lambda t: t.spark.createDataFrame(CITIES, CITY_SCHEMA)
-add("p17_city_selection", lambda t: registry.select_cities(cities(t), top=3).select("name").unionByName(registry.select_cities(cities(t), only=["м. Донецк", "ДНІПРОДЗЕРЖИНСЬК"]).select("name")),
-    "select * from (values ('Київ'), ('Харків'), ('Дніпро'), ('Донецьк'), ('Кам''янське')) v(name)", "")
-cases("p18_email_accepted", "e string", [("a@b.ua", True), ("noreply@b.ua", False), ("poweruser@company.com", True), ("user@company.com", False), ("logo@2x.png", False), ("info@sitewest.com.ua", True)],
+nations = lambda t: t.nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("region"), F.concat(F.lit("град "), "n_name").alias("ru"), F.array(F.concat(F.lit("Old  "), "n_name")).alias("old"), F.when(F.col("n_nationkey") % 5 == 0, "occupied").alias("excluded"))
+add("p17_city_selection", lambda t: registry.select_cities(nations(t), top=12).select("name").unionByName(registry.select_cities(nations(t), only=["м. nation_5", "OLD NATION_3"]).select("name")),
+    "(select n_name as name from nation where n_nationkey % 5 <> 0 order by n_nationkey limit 12) union all select n_name from nation where n_name in ('NATION_5', 'NATION_3')", "")
+cases("p18_email_accepted", "e string", [("a{k}@b.ua", True), ("noreply@b{k}.ua", False), ("poweruser@company{k}.com", True), ("user@company.com", False), ("logo{k}@2x.png", False), ("info{k}@sitewest.com.ua", True)],
       lambda d: X.email_accepted(F.col("e")), "boolean")
 add("p21_aggregators", lambda t: t.pages.select("page_id", X.is_aggregator(F.regexp_replace("url", r"example\.(com|net)", "olx.ua")).alias("hit")),
     r"select page_id, host = 'olx.ua' or ends_with(host, '.olx.ua') as hit from (select page_id, regexp_replace(lower(regexp_extract(regexp_replace(url, 'example\.(com|net)', 'olx.ua'), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') as host from pages)", "")
@@ -171,20 +204,22 @@ score = lambda: rules.contact_score(F.col("phone"), F.col("email"), F.col("websi
 add("p22_contact_score", lambda t: t.leads.select("id", score().cast("int").alias("score"), rules.describe_automation(F.col("automation")).alias("automation")),
     f"select id, cast({SCORE} as int) as score, case when has_automation then 'booking:fresha, chat:tawk/tidio' when not has_automation then 'platform:wix' else '—' end as automation from leads")
 TAGS = "tags map<string,string>"
-cases("p01_big_chain", TAGS, [({"shop": "supermarket"}, True), ({"shop": "convenience", "brand": "Сільпо"}, True), ({"amenity": "clinic", "name": "«Сінево» пункт забору"}, True), ({"shop": "beauty", "name": "Оберіг"}, False), ({"amenity": "clinic", "name": "Ділова клініка"}, False)],
+cases("p01_big_chain", TAGS, [({"shop": "supermarket", "name": "{k}"}, True), ({"shop": "convenience", "brand": "Сільпо", "addr": "{k}"}, True), ({"amenity": "clinic", "name": "«Сінево» пункт забору {k}"}, True), ({"shop": "beauty", "name": "Оберіг {k}"}, False), ({"amenity": "clinic", "name": "Ділова клініка {k}"}, False)],
       lambda d: rules.is_big_chain(F.col("tags")), "boolean")
-cases("p02_public_facility", TAGS, [({"amenity": "clinic", "name": "КНП ЦПМСД №3"}, True), ({"amenity": "hospital", "name": "Лікарня"}, True), ({"amenity": "hospital", "name": "Клініка Здоров'я"}, False), ({"amenity": "clinic", "name": "КНП", "operator:type": "private"}, False), ({"shop": "beauty", "name": "КНП"}, False), ({"amenity": "clinic", "name": "КПІ-Мед"}, False)],
+cases("p02_public_facility", TAGS, [({"amenity": "clinic", "name": "КНП ЦПМСД №{k}"}, True), ({"amenity": "hospital", "name": "Лікарня {k}"}, True), ({"amenity": "hospital", "name": "Клініка Здоров'я {k}"}, False), ({"amenity": "clinic", "name": "КНП", "operator:type": "private"}, False), ({"shop": "beauty", "name": "КНП"}, False), ({"amenity": "clinic", "name": "КПІ-Мед {k}"}, False)],
       lambda d: rules.is_public_facility(F.col("tags")), "boolean")
-cases("p03_medical_chain", "name string", [("Сінево пункт забору", True), ("csd lab центр", True), ("ділова", False), ("Бажаємо здоров’я", True), (None, False)], lambda d: F.coalesce(rules.is_medical_chain(F.col("name")), F.lit(False)), "boolean")
-cases("p04_public_name", "name string", [("Обласна клінічна лікарня", True), ("МІСЬКА ПОЛІКЛІНІКА №2", True), ("Дентал Арт", False), (None, False)], lambda d: rules.is_public_name(F.col("name")), "boolean")
+cases("p03_medical_chain", "name string", [("Сінево пункт забору {k}", True), ("csd lab центр {k}", True), ("ділова {k}", False), ("Бажаємо здоров’я {k}", True), (None, False)], lambda d: F.coalesce(rules.is_medical_chain(F.col("name")), F.lit(False)), "boolean")
+cases("p04_public_name", "name string", [("Обласна клінічна лікарня {k}", True), ("МІСЬКА ПОЛІКЛІНІКА №{k}", True), ("Дентал Арт {k}", False), (None, False)], lambda d: rules.is_public_name(F.col("name")), "boolean")
 
 # --- orders and pages (O) ---
 add("o01_by_name", lambda t: S.query(t.leads, limit=50).select("id", "name"), "select id, name from leads order by name, id limit 50")
 add("o02_ranked_list", lambda t: S.ranked_list(t.leads, score().cast("int"), 100).select("id", "contact_score"), f"select id, cast({SCORE} as int) as contact_score from (select * from leads order by name, id limit 100)")
 add("o03_page", lambda t: S.page(t.leads, 100, 50).select("id"), "select id from leads order by phone is null, name, id limit 50 offset 100")
 add("o06_recent_runs", lambda t: ids(stats.recent_runs(t.runs, 20)), "select id from runs order by started_at desc, id desc limit 20", "runs")
-cases("o08_priority", "names array<string>", [(["cafe", "clinic", "bar", "dentist"], "dentist,clinic,cafe,bar")], lambda d: F.lit(",".join(merge.prioritize(merge.categories(["cafe", "clinic", "bar", "dentist"])))))
-cases("o10_paid_limit", "n_ int", [(0, 5)], lambda d: F.lit(S.paid_limit(50, 11)), "int")
+PICKS = [(["cafe", "clinic", "bar", "dentist"], "dentist,clinic,cafe,bar"), (["horeca", "cafe", "vet", "lab"], "lab,cafe,restaurant,bar,bakery,vet"), (["hospital", " Dentist ", "vet", "medical"], "dentist,clinic,doctors,lab,rehab,cosmetology,hospital,vet"), ([], "")]
+cases("o08_priority", "names array<string>", PICKS, lambda d: F.array_join(merge.prioritized(merge.resolved(F.col("names"))), ","))
+add("o10_paid_limit", lambda t: t.customer.select(F.col("c_custkey").alias("k"), S.paid_budget(F.col("c_custkey") % 97, F.col("c_custkey") % 150).alias("n")),
+    "select c_custkey as k, least(c_custkey % 97, case when c_custkey % 150 < 4 then 1 else (c_custkey % 150) // 2 end) as n from customer", "")
 
 # --- aggregates (A) ---
 add("a01_totals", lambda t: stats.totals(t.leads, t.now),
@@ -332,7 +367,7 @@ add("q04_result_events", lambda t: queue.result_events(t.items, _reports(t).wher
 add("q07_pending", lambda t: stats.pending(t.runs.select("city", "category").distinct().union(t.spark.sql("select 'nowhere', 'none'")), t.runs),
     "select distinct city, category from runs union select 'nowhere', 'none' except select city, category from runs where finished_at is not null", "runs")
 
-# --- functions (F) on cases ---
+# --- functions (F) on forms filled with the keys of customers ---
 one = lambda f: f(F.col("x"))
 PHONE_CODES = [*(code for code, _, _ in phones.PLANS.values()), "995"]  # the last has no plan of its own
 PHONE_PLAN = "plan(code, begins, n) as (values " + ", ".join(f"('{c}', '{b}', {n})" for c, b, n in phones.rows()) + ")"
@@ -358,42 +393,44 @@ add("f01_phone", lambda t: sized(t).select("k", X.normalize_phone(F.col("raw")).
     f"with {PHONE_SQL} select k, coalesce(e164, case when length(regexp_replace(raw, '[^0-9]', '', 'g')) >= 9 then raw end) as phone from told", "")
 add("f02_find_phones", lambda t: sized(t).select("k", F.array_join(X.find_phones(F.concat(F.lit("tel. "), "raw", F.lit(", order 1234567890123456, fax "), "raw", F.lit(" or +380 44 123-45-67;"))), ",").alias("phones")),
     f"with {PHONE_SQL} select k, concat_ws(',', e164, '+380441234567') as phones from told where e164 is distinct from '+380441234567'", "")
-cases("f03_tel_links", "x string", [('<a href="tel:+380671234567">', "+380671234567"), ("<a href='tel:%2B38050'> tel:1", "+38050,1")], lambda d: F.array_join(X.tel_links(F.col("x")), ","))
-cases("f04_emails", "x string", [('<a href="mailto:Me@B.UA?x">a@c.com noreply@c.com me@b.ua', "me@b.ua,a@c.com"), ("a1@x.ua a2@x.ua a3@x.ua a4@x.ua a5@x.ua a6@x.ua", "a1@x.ua,a2@x.ua,a3@x.ua,a4@x.ua,a5@x.ua")], lambda d: F.array_join(X.find_emails(F.col("x")), ","))
-cases("f05_instagram", "x string", [("https://www.instagram.com/Salon.Kyiv/?hl=uk", "https://instagram.com/salon.kyiv"), ("@salon", "https://instagram.com/salon"), ("salon_1", "https://instagram.com/salon_1"), ("https://instagram.com/p/abc", None), ("https://facebook.com/x", None), ("a b", None)], lambda d: one(X.normalize_instagram))
-PAGE = '<body><a href="https://www.instagram.com/Me/">i</a><a href="/contacts">Контакти</a><a href="/about">Про нас</a><p>made by <a href="https://t.me/dev">dev</a></p><a href="https://t.me/me?x=1">t</a><script>x</script> hi</body>'
+cases("f03_tel_links", "x string", [('<a href="tel:+38067123{k}">', "+38067123{k}"), ("<a href='tel:%2B38050'> tel:{k}", "+38050,{k}")], lambda d: F.array_join(X.tel_links(F.col("x")), ","))
+cases("f04_emails", "x string", [('<a href="mailto:Me{k}@B.UA?x">a@c.com noreply@c.com me{k}@b.ua', "me{k}@b.ua,a@c.com"), ("a1@x.ua a2@x.ua a3@x.ua a4@x.ua a5@x.ua a6@x.ua", "a1@x.ua,a2@x.ua,a3@x.ua,a4@x.ua,a5@x.ua")], lambda d: F.array_join(X.find_emails(F.col("x")), ","))
+cases("f05_instagram", "x string", [("https://www.instagram.com/Salon.Kyiv/?hl=uk", "https://instagram.com/salon.kyiv"), ("@salon{k}", "https://instagram.com/salon{k}"), ("salon_{k}", "https://instagram.com/salon_{k}"), ("https://instagram.com/p/abc", None), ("https://facebook.com/x", None), ("a b", None)], lambda d: one(X.normalize_instagram))
+PAGE = '<body><a href="https://www.instagram.com/Me{k}/">i</a><a href="/contacts/{k}">Контакти</a><a href="/about">Про нас</a><p>made by <a href="https://t.me/dev">dev</a></p><a href="https://t.me/me?x=1">t</a><script>x</script> hi {k}</body>'
 H = lambda: harvest("x", F.lit("https://s.ua/"))
-cases("f06_socials", "x string", [(PAGE, "instagram=https://instagram.com/me,telegram=https://t.me/me")], lambda d: F.array_join(F.transform(F.array_sort(F.map_entries(H()["socials"])), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
-cases("f08_contact_pages", "x string", [(PAGE, "https://s.ua/contacts,https://s.ua/about")], lambda d: F.array_join(H()["contact_pages"], ","))
-cases("f09_visible_text", "x string", [(PAGE, "i Контакти Про нас made by dev t hi")], lambda d: H()["visible_text"])
-cases("f11_json_ld", "x string", [('<script type="application/ld+json">{"@graph":[{"telephone":["0671234567"],"email":"A@b.ua"}]}</script><script type="application/ld+json">{bad</script>', "0671234567|a@b.ua")], lambda d: F.concat_ws("|", F.array_join(H()["ld_phones"], ","), F.array_join(H()["ld_emails"], ",")))
-cases("f12_url", "x string", [("example.com", "https://example.com"), (" http://a.ua;b.ua ", "http://a.ua"), ("www.x.ua y", "https://www.x.ua"), ("localhost", None), ("", None)], lambda d: one(X.normalize_url))
-AUTO = ['<script src="https://widget.tawk.to/x"></script> https://n12.yclients.com', "Записатися ОНЛАЙН", "nothing", "calendly.com dikidi.net"]
+cases("f06_socials", "x string", [(PAGE, "instagram=https://instagram.com/me{k},telegram=https://t.me/me")], lambda d: F.array_join(F.transform(F.array_sort(F.map_entries(H()["socials"])), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+cases("f08_contact_pages", "x string", [(PAGE, "https://s.ua/contacts/{k},https://s.ua/about")], lambda d: F.array_join(H()["contact_pages"], ","))
+cases("f09_visible_text", "x string", [(PAGE, "i Контакти Про нас made by dev t hi {k}")], lambda d: H()["visible_text"])
+cases("f11_json_ld", "x string", [('<script type="application/ld+json">{"@graph":[{"telephone":["0671234567"],"email":"A{k}@b.ua"}]}</script><script type="application/ld+json">{bad</script>', "0671234567|a{k}@b.ua")], lambda d: F.concat_ws("|", F.array_join(H()["ld_phones"], ","), F.array_join(H()["ld_emails"], ",")))
+cases("f12_url", "x string", [("example{k}.com", "https://example{k}.com"), (" http://a.ua;b.ua ", "http://a.ua"), ("www.x{k}.ua y", "https://www.x{k}.ua"), ("localhost", None), ("", None)], lambda d: one(X.normalize_url))
+AUTO = ['<script src="https://widget.tawk.to/{k}"></script> https://n12.yclients.com', "Записатися ОНЛАЙН {k}", "nothing {k}", "calendly.com dikidi.net"]
 cases("f14_signals", "x string", list(zip(AUTO, ["booking:yclients, chat:tawk", "booking_hint:custom_or_manual", "—", "booking:dikidi/calendly"], strict=True)), lambda d: rules.describe_automation(rules.detect_automation(F.col("x"))))
 cases("f15_is_automated", "x string", list(zip(AUTO, [True, False, False, True], strict=True)), lambda d: rules.is_automated(rules.detect_automation(F.col("x"))), "boolean")
-cases("f17_normalize_name", "x string", [("Тату-студія «Слон»", "слон"), ("Салон краси", "салон краси"), ("Ёлка BAR & Co", "елка co"), ("", "")], lambda d: one(X.normalize_name))
-cases("f18_similarity", "a string, b string", [("слон", "слон", 1.0), ("слон", "слон на подолі", 0.95), ("", "x", 0.0), ("tide", "diet", 0.25), ("diet", "tide", 0.5)],
+cases("f17_normalize_name", "x string", [("Тату-студія «Слон-{k}»", "слон {k}"), ("Салон краси", "салон краси"), ("Ёлка BAR & Co", "елка co"), ("", "")], lambda d: one(X.normalize_name))
+cases("f18_similarity", "a string, b string", [("слон {k}", "слон {k}", 1.0), ("слон {k}", "слон {k} на подолі", 0.95), ("", "x", 0.0), ("tide", "diet", 0.25), ("diet", "tide", 0.5)],
       lambda d: F.coalesce(X.plain_similarity(F.col("a"), F.col("b")), aligned_similarity("a", "b")), "double")
 add("f19_distance", lambda t: t.leads.select("id", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(50.45), F.lit(30.52)), 3).alias("metres")),
     "select id, round(2 * 6371000 * asin(sqrt(pow(sin(radians(50.45 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(50.45)) * pow(sin(radians(30.52 - lon) / 2), 2))), 3) as metres from leads")
 cases("f20_cell", "x double", [(1.7, 3), (-1.7, -3), (0.0, 0)], lambda d: geo.cell(F.col("x"), 0.5), "bigint")
 cases("f21_city", "x string", [("ІВАНО-ФРАНКІВСЬК", "івано-франківськ"), ("м. Івано-Франківськ", "івано-франківськ"), ("Кам’янське", "кам'янське"), ("місто  Орёл", "орел"), (None, "")], lambda d: one(X.normalize_city))
-cases("f22_aliases", "a string, b string", [("Дніпро", "Дніпро", "дніпро"), ("Київ", "Киев", "київ,киев")], lambda d: F.array_join(X.city_aliases(F.col("a"), F.col("b")), ","))
-cases("f24_same_address", "a string, b string", [("вул. Велика Васильківська, 131", "ул. Большая Васильковская 131", True), ("вул. Шевченка, 1", "вул. Шевченка, 2", False), ("вул. Шевченка, 1", None, False)], lambda d: X.same_address(F.col("a"), F.col("b")), "boolean")
-cases("f25_listing_name", "a string, c string", [("Медікавер (Medicover), медичний центр в Ужгороді", "Ужгород", "Медікавер (Medicover)"), ("Клініка Смайл в Ужгороді", "Ужгород", "Клініка Смайл"), ("Ужгород", "Ужгород", "Ужгород")], lambda d: X.clean_listing_name(F.col("a"), F.col("c")))
-cases("f26_record_key", "x string", [("a1", "nszu/a1"), ("x" * 41, "nszu/9dc0da3613af850c")], lambda d: X.record_key(F.lit("nszu"), F.col("x")))
-cases("f28_legal_name", "x string", [('ТОВАРИСТВО З ОБМЕЖЕНОЮ ВІДПОВІДАЛЬНІСТЮ "МЕДІКС"', "ТОВ «МЕДІКС»"), ("Фізична особа-підприємець Іваненко І.І.", "ФОП Іваненко І.І."), ('КЛІНІКА "А"', "КЛІНІКА А")], lambda d: one(X.short_legal_name))
-cases("f29_street", "x string", [("ХМЕЛЬНИЦЬКА область, місто ІЗЯСЛАВ, вулиця Шевченка, 11", "вулиця Шевченка, 11"), ("Україна, 29000", None)], lambda d: one(X.street_address))
-cases("f30_float", "x string", [("50.5", 50.5), ("x", None), (None, None)], lambda d: F.col("x").try_cast("double"), "double")
-cases("f31_category", "x string", [("Стоматологія", "dentist"), ("Лабораторія аналізів", "lab"), ("Центр Здоров'я", "clinic")], lambda d: X.guess_category(F.col("x"), F.lit("MedicalClinic")))
-cases("f32_translit", "x string", [("Посмішка", "posmishka"), ("Щука", "shchuka"), ("об’єкт", "obiekt")], lambda d: one(X.transliterate))
-cases("f33_profile_similarity", "a string, b string", [("дент", "dentalpro", 0.0), ("abc", "abcdef", 0.6666666666666666), ("abcd", "abcdef", 0.95)], lambda d: profiles.profile_similarity_udf("a", "b"), "double")
-cases("f35_search_name", "x string", [("SILVERDENT – стоматологічний центр", "SILVERDENT"), ("«Арт», студія", "Арт"), ("(x", "(x")], lambda d: one(X.search_name))
-cases("f35_unwrap", "x string", [("//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.ua%2F&rut=1", "https://a.ua/"), ("https://b.ua", "https://b.ua"), ("javascript:x", None)], lambda d: one(X.unwrap_result))
-cases("f36_domain", "x string", [("a@B.ua", "b.ua"), ("nobody", None)], lambda d: one(X.email_domain))
-cases("f37_area", "t string, i long", [("relation", 5, 3600000005), ("way", 7, 2400000007), ("node", 1, None)], lambda d: geo.area_id(F.col("t"), F.col("i")), "bigint")
-cases("f38_present", "x string", [("yes", True), (" No ", False), ("", False), (None, False)], lambda d: one(X.has_value), "boolean")
-cases("f39_number", "x string", [("approx 120 seats", 120), ("50", 50), ("none", None)], lambda d: one(X.first_number), "bigint")
+cases("f22_aliases", "a string, b string", [("Дніпро {k}", "Дніпро  {k}", "дніпро {k}"), ("Київ {k}", "м. Киев {k}", "київ {k},киев {k}")], lambda d: F.array_join(X.city_aliases(F.col("a"), F.col("b")), ","))
+cases("f24_same_address", "a string, b string", [("вул. Велика Васильківська, {k}", "ул. Большая Васильковская {k}", True), ("вул. Шевченка, 1{k}", "вул. Шевченка, 2{k}", False), ("вул. Шевченка, 1", None, False)], lambda d: X.same_address(F.col("a"), F.col("b")), "boolean")
+cases("f25_listing_name", "a string, c string", [("Медікавер {k} (Medicover), медичний центр в Ужгороді", "Ужгород", "Медікавер {k} (Medicover)"), ("Клініка Смайл {k} в Ужгороді", "Ужгород", "Клініка Смайл {k}"), ("Ужгород", "Ужгород", "Ужгород")], lambda d: X.clean_listing_name(F.col("a"), F.col("c")))
+cases("f26_record_key", "x string", [("a{k}", "nszu/a{k}"), ("x" * 41, "nszu/9dc0da3613af850c")], lambda d: X.record_key(F.lit("nszu"), F.col("x")))
+cases("f28_legal_name", "x string", [('ТОВАРИСТВО З ОБМЕЖЕНОЮ ВІДПОВІДАЛЬНІСТЮ "МЕДІКС {k}"', "ТОВ «МЕДІКС {k}»"), ("Фізична особа-підприємець Іваненко {k} І.І.", "ФОП Іваненко {k} І.І."), ('КЛІНІКА "А{k}"', "КЛІНІКА А{k}")], lambda d: one(X.short_legal_name))
+cases("f29_street", "x string", [("ХМЕЛЬНИЦЬКА область, місто ІЗЯСЛАВ, вулиця Шевченка, {k}", "вулиця Шевченка, {k}"), ("Україна, 29000", None)], lambda d: one(X.street_address))
+add("f30_float", lambda t: t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.concat("c_custkey", F.lit("x"))).otherwise(F.concat("c_custkey", F.lit(".25"))).try_cast("double").alias("result")),
+    "select c_custkey as k, case when c_custkey % 3 <> 0 then c_custkey + 0.25::double end as result from customer", "")
+cases("f31_category", "x string", [("Стоматологія {k}", "dentist"), ("Лабораторія аналізів {k}", "lab"), ("Центр Здоров'я {k}", "clinic")], lambda d: X.guess_category(F.col("x"), F.lit("MedicalClinic")))
+cases("f32_translit", "x string", [("Посмішка {k}", "posmishka {k}"), ("Щука-{k}", "shchuka-{k}"), ("об’єкт", "obiekt")], lambda d: one(X.transliterate))
+cases("f33_profile_similarity", "a string, b string", [("дент", "dentalpro", 0.0), ("abc", "abcdef", 0.6666666666666666), ("abcd{k}", "abcd{k}ef", 0.95)], lambda d: profiles.profile_similarity_udf("a", "b"), "double")
+cases("f35_search_name", "x string", [("SILVERDENT {k} – стоматологічний центр", "SILVERDENT {k}"), ("«Арт{k}», студія", "Арт{k}"), ("(x", "(x")], lambda d: one(X.search_name))
+cases("f35_unwrap", "x string", [("//duckduckgo.com/l/?uddg=https%3A%2F%2Fa{k}.ua%2F&rut=1", "https://a{k}.ua/"), ("https://b{k}.ua", "https://b{k}.ua"), ("javascript:x", None)], lambda d: one(X.unwrap_result))
+cases("f36_domain", "x string", [("a@B{k}.ua", "b{k}.ua"), ("nobody", None)], lambda d: one(X.email_domain))
+add("f37_area", lambda t: t.customer.select(F.col("c_custkey").alias("k"), geo.area_id(F.element_at(F.array(F.lit("relation"), F.lit("way"), F.lit("node")), (F.col("c_custkey") % 3 + 1).cast("int")), F.col("c_custkey")).alias("result")),
+    "select c_custkey as k, case c_custkey % 3 when 0 then 3600000000 + c_custkey when 1 then 2400000000 + c_custkey end as result from customer", "")
+cases("f38_present", "x string", [("yes {k}", True), (" No ", False), ("", False), (None, False)], lambda d: one(X.has_value), "boolean")
+cases("f39_number", "x string", [("approx 120 seats", 120), ("50", 50), ("no. 7, {k}", 7), ("none", None)], lambda d: one(X.first_number), "bigint")
 cases("f40_size", "tags map<string,string>, c string, b int", [
     ({}, "hairdresser", 1, "micro:0"), ({"brand": "X", "website": "a", "email": "b"}, "cafe", 4, "medium:6"), ({"capacity": "20 seats"}, "cafe", 1, "small:2"), ({"internet_access": "no", "opening_hours": "24/7"}, "clinic", 2, "medium:5"), ({"brand": "no"}, "unknown", 1, "micro:1"),
 ], lambda d: F.concat_ws(":", rules.estimate_size(F.col("tags"), F.col("c"), F.col("b"))["size"], rules.estimate_size(F.col("tags"), F.col("c"), F.col("b"))["score"].cast("string")))
@@ -432,21 +469,26 @@ add("f40_lead_sizes", _sized,
       select id, case k % 5 when 0 then 3 when 1 then 2 when 2 then 1 when 3 then 0 else 1 end + case when k % 6 >= 4 then 2 when k % 6 > 1 then 1 else 0 end + case when k % 3 = 0 then 2 else 0 end
         + case when k % 2 = 0 and k % 4 = 0 then 1 else 0 end + case when k % 5 <> 0 then 0 when k % 90 >= 50 then 2 when k % 90 >= 15 then 1 else 0 end + case when k % 7 = 0 then 1 else 0 end as score from leads)""")
 
-# --- sources (S) on landed cases ---
+# --- sources (S) on bodies made from the keys of customers ---
 BODY = json.dumps({"elements": [
-    {"type": "node", "id": 1, "lat": 50.1, "lon": 30.1, "tags": {"name": " Слон ", "phone": "0671234567", "addr:street": "Хрещатик", "addr:housenumber": "1", "contact:instagram": "@slon"}},
-    {"type": "way", "id": 2, "center": {"lat": 50.2, "lon": 30.2}, "tags": {"brand": "Лев", "contact:phone": "", "phone": " 1 "}}, {"type": "node", "id": 3, "tags": {"shop": "x"}},
-    {"type": "node", "id": 4, "tags": {"name": "Ашан", "shop": "supermarket"}}]})
-raw = lambda t: t.spark.createDataFrame([("beauty", "Київ", BODY), ("beauty", "Львів", '{"elements": []}'), ("beauty", "Одеса", '{"elements": [], "remark": "runtime error: timed out"}'), ("beauty", "Рівне", "<html>")], "category string, city string, body string")
-add("s02_query_text", lambda t: poi.build_query(t.spark.createDataFrame([("Київ", "relation", 5, None, None, None, None, 0, "shop=beauty][beauty=nails"), ("Київ", "relation", 5, None, None, None, None, 1, "craft=*")], "city string, osm_type string, osm_id long, south double, north double, west double, east double, pos int, spec string")),
-    "select 'Київ' as city, '[out:json][timeout:180];' || chr(10) || 'area(3600000005)->.searchArea;' || chr(10) || '(' || chr(10) || '  nwr[\"shop\"=\"beauty\"][\"beauty\"=\"nails\"](area.searchArea);' || chr(10) || '  nwr[\"craft\"](area.searchArea);' || chr(10) || ');' || chr(10) || 'out center tags;' as query", "")
-cases("s03_tag_filter", "x string", [("shop=beauty][beauty=nails", '["shop"="beauty"]["beauty"="nails"]'), ("craft=*", '["craft"]'), ("k~a|b", '["k"~"a|b"]')], lambda d: one(X.tag_filter))
-add("s04_response_status", lambda t: raw(t).select("city", poi.response_status(F.col("body")).alias("status")), "select * from (values ('Київ', 'ok'), ('Львів', 'empty'), ('Одеса', 'failed'), ('Рівне', 'failed')) v(city, status)", "")
+    {"type": "node", "id": 76543211, "lat": 50.1, "lon": 30.1, "tags": {"name": " Слон {k} ", "phone": "0671234567", "addr:street": "Хрещатик", "addr:housenumber": "{k}", "contact:instagram": "@slon{k}"}},
+    {"type": "way", "id": 76543212, "center": {"lat": 50.2, "lon": 30.2}, "tags": {"brand": "Лев {k}", "contact:phone": "", "phone": " {k} "}}, {"type": "node", "id": 76543213, "tags": {"shop": "x"}},
+    {"type": "node", "id": 76543214, "tags": {"name": "Ашан", "shop": "supermarket"}}]}).replace("7654321", "1{k}")
+LANDED = [("beauty", "Київ {k}", BODY), ("beauty", "Львів {k}", '{"elements": []}'), ("beauty", "Одеса {k}", '{"elements": [], "remark": "runtime error: timed out"}'), ("beauty", "Рівне {k}", "<html>{k}")]
+raw = lambda t, forms=4: formed(t, "category string, city string, body string", LANDED[:forms])
+ASKED = "city string, osm_type string, south double, north double, west double, east double, pos int, spec string"
+asked = lambda t: formed(t, ASKED, [("Київ {k}", "relation", None, None, None, None, 0, "shop=beauty][beauty=nails"), ("Київ {k}", "relation", None, None, None, None, 1, "craft{k}=*")], every=True).withColumn("osm_id", F.col("k"))
+add("s02_query_text", lambda t: poi.build_query(asked(t)),
+    "select 'Київ ' || c_custkey as city, '[out:json][timeout:180];' || chr(10) || 'area(' || (3600000000 + c_custkey) || ')->.searchArea;' || chr(10) || '(' || chr(10) || '  nwr[\"shop\"=\"beauty\"][\"beauty\"=\"nails\"](area.searchArea);' || chr(10) || '  nwr[\"craft' || c_custkey || '\"](area.searchArea);' || chr(10) || ');' || chr(10) || 'out center tags;' as query from customer", "")
+cases("s03_tag_filter", "x string", [("shop=beauty][beauty=nails{k}", '["shop"="beauty"]["beauty"="nails{k}"]'), ("craft{k}=*", '["craft{k}"]'), ("k~a|b", '["k"~"a|b"]')], lambda d: one(X.tag_filter))
+add("s04_response_status", lambda t: raw(t).select("k", "city", poi.response_status(F.col("body")).alias("status")), told("city varchar, status varchar", [(0, "Київ {k}", "ok"), (1, "Львів {k}", "empty"), (2, "Одеса {k}", "failed"), (3, "Рівне {k}", "failed")], 4), "")
 add("s05_poi_rows", lambda t: poi.parse_responses(raw(t)).select("osm_id", "name", "address", "lat", "phone", F.try_element_at("socials", F.lit("instagram")).alias("instagram"), "reject"),
-    "select * from (values ('node/1', 'Слон', 'Хрещатик 1', 50.1::double, '0671234567', 'https://instagram.com/slon', null), ('way/2', 'Лев', null, 50.2::double, '1', null, null), ('node/3', null, null, null, null, null, 'nameless'), ('node/4', 'Ашан', null, null, null, null, 'chain')) v(osm_id, name, address, lat, phone, instagram, reject)", "")
-GEO = json.dumps([{"osm_type": "node", "osm_id": 1, "lat": "1", "lon": "1", "boundingbox": ["1", "2", "3", "4"]}, {"osm_type": "relation", "osm_id": 9, "lat": "50.4", "lon": "30.5", "boundingbox": ["50.2", "50.6", "30.2", "30.8"], "display_name": "Київ"}])
-add("s08_geocode", lambda t: poi.geocode(t.spark.createDataFrame([("м. Київ", GEO)], "city string, body string")).select("key", "osm_id", "lat", "south", "east"), "select 'київ' as key, 9::bigint as osm_id, 50.4::double as lat, 50.2::double as south, 30.8::double as east", "")
-add("s09_area_cache", lambda t: poi.cached_areas(t.spark.createDataFrame([("КИЇВ",), ("Рівне",)], "city string"), t.spark.createDataFrame([("київ", 9)], "key string, osm_id long"))[1].select("key"), "select 'рівне' as key", "")
+    "select osm_id, name, address, lat, phone, instagram, reject from (" + told("osm_id varchar, name varchar, address varchar, lat double, phone varchar, instagram varchar, reject varchar", [(0, "node/1{k}1", "Слон {k}", "Хрещатик {k}", 50.1, "0671234567", "https://instagram.com/slon{k}", None),
+        (0, "way/1{k}2", "Лев {k}", None, 50.2, "{k}", None, None), (0, "node/1{k}3", None, None, None, None, None, "nameless"), (0, "node/1{k}4", "Ашан", None, None, None, None, "chain")], 4) + ")", "")
+GEO = json.dumps([{"osm_type": "node", "osm_id": 1, "lat": "1", "lon": "1", "boundingbox": ["1", "2", "3", "4"]}, {"osm_type": "relation", "osm_id": 987654321, "lat": "50.4", "lon": "30.5", "boundingbox": ["50.2", "50.6", "30.2", "30.8"], "display_name": "Київ"}]).replace("987654321", "{k}")
+add("s08_geocode", lambda t: poi.geocode(formed(t, "city string, body string", [("м. Київ {k}", GEO), ("Луцьк {k}", "[]")])).select("key", "osm_id", "lat", "south", "east"), "select 'київ ' || c_custkey as key, c_custkey as osm_id, 50.4::double as lat, 50.2::double as south, 30.8::double as east from customer where c_custkey % 2 = 0", "")
+add("s09_area_cache", lambda t: poi.cached_areas(formed(t, "city string", [("КИЇВ  {k}",), ("м. Рівне {k}",)]), t.customer.where("c_custkey % 4 <> 0").select(F.concat(F.lit("київ "), "c_custkey").alias("key"), F.col("c_custkey").alias("osm_id")))[1].select("key"),
+    "select case when c_custkey % 2 = 0 then 'київ ' else 'рівне ' end || c_custkey as key from customer where c_custkey % 4 = 0 or c_custkey % 2 = 1", "")
 LEGAL = "legal_entity_id legal_entity_edrpou legal_entity_name care_type property_type legal_entity_email legal_entity_website legal_entity_phone legal_entity_owner_name registration_area registration_settlement registration_address lat lng".split()
 DIV = "legal_entity_id division_id division_name division_type division_phone division_email residence_area residence_settlement residence_addresses lat lng".split()
 
@@ -461,7 +503,8 @@ def _registry(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = [legal("a"), legal("b", name="КНП Лікарня"), legal("c", kind="ФОП"), legal("d", care="Екстрена"), legal("e"), legal("f"), legal("g", city="Жовква")]
     divs = [div("a", "a1"), div("a", "a2", city="ХАРКІВ", area="ОДЕСЬКА"), div("e", "e1", kind="ФАП"), *[div("f", f"f{n}") for n in range(10)]]
     schema = lambda names: ", ".join(f"{n} string" for n in names)
-    return t.spark.createDataFrame(rows, schema(LEGAL)), t.spark.createDataFrame(divs, schema(DIV))
+    own = lambda rows, parts: [tuple(f"{{k}}{v}" if at < parts else v for at, v in enumerate(r)) for r in rows]
+    return formed(t, schema(LEGAL), own(rows, 1), every=True).drop("k"), formed(t, schema(DIV), own(divs, 2), every=True).drop("k")
 
 
 #: Entities from customers, each with as many divisions as its key leaves by 13; the SQL has only keys and the rules.
@@ -493,31 +536,37 @@ add("j05_division_entity", lambda t: registry.places(*_national(t)).where("ext_i
 add("j06_entities_alone", lambda t: registry.places(*_national(t)).where("ext_id = legal_entity_id").select("ext_id"), f"select e as ext_id from ({NATIONAL}) where reject is null and n = 0", "")
 add("j07_city_lookup", lambda t: registry.records(*_national(t), cities(t)).select("ext_id", "city", "reject"),
     f"select case when n = 0 then e else e || '-' || d end as ext_id, {TOWN} as city, case when (k + d) % 6 >= 3 then 'other_city' end as reject from (select *, unnest(case when n = 0 then [0] else range(1, n + 1) end) as d from ({NATIONAL}) where reject is null)", "")
-add("p19_entity_rejects", lambda t: registry.entities(*_registry(t)).select("legal_entity_id", "reject"), "select * from (values ('a', null), ('b', 'public'), ('c', null), ('d', 'emergency'), ('e', null), ('f', 'chain'), ('g', null)) v(legal_entity_id, reject)", "")
-cases("p20_same_region", "a string, r string", [("ХАРКІВСЬКА", "Харківська", True), ("ОДЕСЬКА", "Харківська", False), ("М.КИЇВ", None, True)], lambda d: X.same_region(F.col("a"), F.col("r")), "boolean")
+add("p19_entity_rejects", lambda t: registry.entities(*_registry(t)).select("legal_entity_id", "reject"),
+    "select legal_entity_id, reject from (" + told("legal_entity_id varchar, reject varchar", [(0, "{k}a", None), (0, "{k}b", "public"), (0, "{k}c", None), (0, "{k}d", "emergency"), (0, "{k}e", None), (0, "{k}f", "chain"), (0, "{k}g", None)]) + ")", "")
+cases("p20_same_region", "a string, r string", [("ХАРКІВСЬКА {k}", "Харківська", True), ("ОДЕСЬКА", "Харківська", False), ("М.КИЇВ", None, True)], lambda d: X.same_region(F.col("a"), F.col("r")), "boolean")
 add("s13_s14_u01_registry", lambda t: registry.records(*_registry(t), cities(t)).select("ext_id", "city", "category", F.array_join("phones", ",").alias("phones"), "address", "lat", "lon", "edrpou", "reject"),
-    "select * from (values ('a1', 'Київ', 'doctors', '0441112233,0671234567,0501112233', 'вул. Б, 2', 50.5::double, 30.5::double, '123', null), ('a2', 'Харків', 'doctors', '0441112233,0671234567,0501112233', 'вул. Б, 2', 50.5, 30.5, '123', 'other_city'), ('e1', 'Київ', 'doctors', '0441112233,0671234567,0501112233', 'вул. Б, 2', 50.5, 30.5, '123', 'field_station'), ('c', 'Київ', 'doctors', '0671234567,0501112233', 'вул. А, 1', 50.4, null, null, null), ('g', 'Жовква', 'doctors', '0671234567,0501112233', 'вул. А, 1', 50.4, null, '123', 'other_city')) v(ext_id, city, category, phones, address, lat, lon, edrpou, reject)".replace("'Харків', 'doctors'", "'Харків', 'doctors'"), "")
-CARD = '<script type="application/ld+json">{"@type":"MedicalClinic","name":"Смайл, центр в Києві","telephone":"0671234567","address":{"streetAddress":" вул. А, 1, "},"description":"a\nb"}</script>'
-add("s15_card_paths", lambda t: listings.card_paths(t.spark.createDataFrame([("Київ", 1, '<a href="/clinic/b"><a href="https://likarni.com/clinic/a">'), ("Київ", 2, '<a href="/clinic/b"><a href="/clinic/c">')], "city string, seq int, html string")).select("pos", "path"), "select cast(pos as int) as pos, path from (values (0, '/clinic/b'), (1, '/clinic/a'), (2, '/clinic/c')) v(pos, path)", "")
-add("s16_s18_cards", lambda t: listings.likarni_cards(t.spark.createDataFrame([("Київ", "/clinic/smile", CARD), ("Київ", "/clinic/x", CARD.replace("Смайл, центр", "Сінево"))], "city string, path string, html string")).select("ext_id", "name", "category", "address", "create_if_missing"),
-    "select 'smile' as ext_id, 'Смайл' as name, 'clinic' as category, 'вул. А, 1' as address, true as create_if_missing", "")
-add("s19_sitemap", lambda t: listings.sitemap_cards(t.spark.createDataFrame([("kiev", "<loc>https://doc.ua/ua/klinika/kiev/a</loc><loc>https://doc.ua/klinika/kiev/a</loc><loc>https://doc.ua/ua/klinika/lvov/b</loc>")], "slug string, body string")).select("url"), "select 'https://doc.ua/ua/klinika/kiev/a' as url", "")
-CRUMB = '<script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"item":{"name":"Київ"}},{"item":{"name":"Abbe Optic — центр"}}]}</script><span class="address__name">вул. Б, 3</span>'
-add("s20_s21_cards", lambda t: listings.doc_ua_cards(t.spark.createDataFrame([("Київ", "https://doc.ua/ua/klinika/kiev/abbe/", CRUMB)], "city string, url string, html string")).select("ext_id", "name", "address", "create_if_missing"), "select 'abbe' as ext_id, 'Abbe Optic' as name, 'вул. Б, 3' as address, false as create_if_missing", "")
-cases("s22_crawl_outcome", "u string, a boolean, s int, c string", [("x", True, 200, "text/html", "bad_url"), ("a.ua", False, 200, "text/html", "robots_disallow"), ("a.ua", True, 500, "text/html", "unreachable"), ("a.ua", True, 200, "image/png", "not_html"), ("a.ua", True, 200, "text/html; charset=utf-8", None)],
+    "select ext_id, city, category, phones, address, lat, lon, edrpou, reject from (" + told("ext_id varchar, city varchar, category varchar, phones varchar, address varchar, lat double, lon double, edrpou varchar, reject varchar", [
+        (0, "{k}a1", "Київ", "doctors", "0441112233,0671234567,0501112233", "вул. Б, 2", 50.5, 30.5, "123", None), (0, "{k}a2", "Харків", "doctors", "0441112233,0671234567,0501112233", "вул. Б, 2", 50.5, 30.5, "123", "other_city"),
+        (0, "{k}e1", "Київ", "doctors", "0441112233,0671234567,0501112233", "вул. Б, 2", 50.5, 30.5, "123", "field_station"), (0, "{k}c", "Київ", "doctors", "0671234567,0501112233", "вул. А, 1", 50.4, None, None, None),
+        (0, "{k}g", "Жовква", "doctors", "0671234567,0501112233", "вул. А, 1", 50.4, None, "123", "other_city")]) + ")", "")
+CARD = '<script type="application/ld+json">{"@type":"MedicalClinic","name":"Смайл {k}, центр в Києві","telephone":"0671234567","address":{"streetAddress":" вул. А, 1, "},"description":"a\nb"}</script>'
+add("s15_card_paths", lambda t: listings.card_paths(formed(t, "city string, seq int, html string", [("Київ {k}", 1, '<a href="/clinic/b{k}"><a href="https://likarni.com/clinic/a">'), ("Київ {k}", 2, '<a href="/clinic/b{k}"><a href="/clinic/c">')], every=True)).select("city", "pos", "path"),
+    "select city, pos, path from (" + told("city varchar, pos int, path varchar", [(0, "Київ {k}", 0, "/clinic/b{k}"), (0, "Київ {k}", 1, "/clinic/a"), (0, "Київ {k}", 2, "/clinic/c")]) + ")", "")
+add("s16_s18_cards", lambda t: listings.likarni_cards(formed(t, "city string, path string, html string", [("Київ {k}", "/clinic/smile{k}", CARD), ("Київ {k}", "/clinic/x{k}", CARD.replace("Смайл {k}, центр", "Сінево"))], every=True)).select("ext_id", "name", "category", "address", "create_if_missing"),
+    "select 'smile' || c_custkey as ext_id, 'Смайл ' || c_custkey as name, 'clinic' as category, 'вул. А, 1' as address, true as create_if_missing from customer", "")
+add("s19_sitemap", lambda t: listings.sitemap_cards(formed(t, "slug string, body string", [("kiev", "<loc>https://doc.ua/ua/klinika/kiev/a{k}</loc><loc>https://doc.ua/klinika/kiev/a{k}</loc><loc>https://doc.ua/ua/klinika/lvov/b{k}</loc>")])).select("url"), "select 'https://doc.ua/ua/klinika/kiev/a' || c_custkey as url from customer", "")
+CRUMB = '<script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"item":{"name":"Київ"}},{"item":{"name":"Abbe {k} Optic — центр"}}]}</script><span class="address__name">вул. Б, {k}</span>'
+add("s20_s21_cards", lambda t: listings.doc_ua_cards(formed(t, "city string, url string, html string", [("Київ", "https://doc.ua/ua/klinika/kiev/abbe{k}/", CRUMB)])).select("ext_id", "name", "address", "create_if_missing"), "select 'abbe' || c_custkey as ext_id, 'Abbe ' || c_custkey || ' Optic' as name, 'вул. Б, ' || c_custkey as address, false as create_if_missing from customer", "")
+cases("s22_crawl_outcome", "u string, a boolean, s int, c string", [("x{k}", True, 200, "text/html", "bad_url"), ("a{k}.ua", False, 200, "text/html", "robots_disallow"), ("a{k}.ua", True, 500, "text/html", "unreachable"), ("a.ua", True, 200, "image/png", "not_html"), ("a.ua", True, 200, "text/html; charset=utf-8", None)],
       lambda d: pages.outcome(F.col("u"), F.col("a"), F.col("s"), F.col("c")))
-add("s25_robots", lambda t: pages.robots_allow(t.spark.createDataFrame([("https://a.ua/x",), ("https://a.ua/admin/1",), ("https://b.ua/admin",)], "url string"), t.spark.createDataFrame([("https://a.ua", "User-agent: *\nDisallow: /admin")], "origin string, body string"), "terncove").select("url", "allowed"),
-    "select * from (values ('https://a.ua/x', true), ('https://a.ua/admin/1', false), ('https://b.ua/admin', true)) v(url, allowed)", "")
-SERP = '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fprom.ua%2F">P</a></div><div class="result"><a class="result__a" href="https://slon.ua/?a=1">Slon</a><a class="result__snippet">hi</a></div>'
-serp = lambda t: listings.search_hits(t.spark.createDataFrame([(1, SERP), (2, "anomaly-modal"), (3, None)], "id long, html string"))
-add("s26_search_hits", lambda t: serp(t).select("id", "failed", "url", "title"), "select * from (values (1::bigint, null, 'https://prom.ua/', 'P'), (1, null, 'https://slon.ua/?a=1', 'Slon'), (2, 'challenge', null, null), (3, 'no response', null, null)) v(id, failed, url, title)", "")
-add("w08_official_site", lambda t: listings.official_sites(serp(t)), "select * from (values (1::bigint, 'https://slon.ua/', false), (2, null, true), (3, null, true)) v(id, url, failed)", "")
-HITS = [(1, "Стоматологія Посмішка", "Харків", 0, "https://instagram.com/posmishka", "Посмішка (@posmishka) • Instagram photos", "у Харкові"), (1, "Стоматологія Посмішка", "Харків", 1, "https://instagram.com/other", "Other", "Харків"), (2, "Лев", "Київ", 0, "https://instagram.com/lev.kyiv", "Лев", "блог")]
-scored = lambda t: profiles.score_profiles(t.spark.createDataFrame(HITS, "id long, name string, city string, pos int, url string, title string, snippet string"))
-add("f34_w07_profiles", lambda t: profiles.pick_profiles(scored(t)).select("id", "url", "score", "city_ok"), "select * from (values (1::bigint, 'https://instagram.com/posmishka', 1.0::double, true), (2, 'https://instagram.com/lev.kyiv', 1.0, true)) v(id, url, score, city_ok)", "")
-add("a16_best_candidate", lambda t: profiles.best_candidates(scored(t)).select("id", "url"), "select * from (values (1::bigint, 'https://instagram.com/posmishka'), (2, 'https://instagram.com/lev.kyiv')) v(id, url)", "")
-add("f13_a13_site_contacts", lambda t: pages.site_contacts(t.spark.createDataFrame([(1, 0, "https://s.ua/", PAGE + "0671234567 tawk.to"), (1, 1, "https://s.ua/contacts", '<a href="tel:0501112233">a@s.ua tidio.co')], "id long, seq int, url string, html string")).select("id", F.array_join("phones", ",").alias("phones"), F.array_join("emails", ",").alias("emails"), rules.describe_automation(F.col("automation")).alias("automation")),
-    "select 1::bigint as id, '+380671234567,+380501112233' as phones, 'a@s.ua' as emails, 'chat:tawk/tidio' as automation", "")
+add("s25_robots", lambda t: pages.robots_allow(formed(t, "url string", [("https://a{k}.ua/x",), ("https://a{k}.ua/admin/1",), ("https://b{k}.ua/admin",)], every=True), formed(t, "origin string, body string", [("https://a{k}.ua", "User-agent: *\nDisallow: /admin")]).drop("k"), "terncove").select("url", "allowed"),
+    "select url, allowed from (" + told("url varchar, allowed boolean", [(0, "https://a{k}.ua/x", True), (0, "https://a{k}.ua/admin/1", False), (0, "https://b{k}.ua/admin", True)]) + ")", "")
+SERP = '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fprom.ua%2F">P</a></div><div class="result"><a class="result__a" href="https://slon{k}.ua/?a=1">Slon</a><a class="result__snippet">hi</a></div>'
+serp = lambda t: listings.search_hits(formed(t, "html string", [(SERP,), ("anomaly-modal {k}",), (None,)]).withColumnRenamed("k", "id"))
+add("s26_search_hits", lambda t: serp(t).select("id", "failed", "url", "title"), "select k as id, failed, url, title from (" + told("failed varchar, url varchar, title varchar", [(0, None, "https://prom.ua/", "P"), (0, None, "https://slon{k}.ua/?a=1", "Slon"), (1, "challenge", None, None), (2, "no response", None, None)], 3) + ")", "")
+add("w08_official_site", lambda t: listings.official_sites(serp(t)), "select k as id, url, failed from (" + told("url varchar, failed boolean", [(0, "https://slon{k}.ua/", False), (1, None, True), (2, None, True)], 3) + ")", "")
+HITS = [("Стоматологія Посмішка", "Харків", 0, "https://instagram.com/posmishka", "Посмішка (@posmishka) • Instagram photos", "у Харкові {k}"), ("Стоматологія Посмішка", "Харків", 1, "https://instagram.com/other{k}", "Other", "Харків"), ("Лев", "Київ", 0, "https://instagram.com/lev.kyiv", "Лев", "блог {k}")]
+SHOWN = "name string, city string, pos int, url string, title string, snippet string"
+scored = lambda t: profiles.score_profiles(formed(t, SHOWN, HITS[:2], every=True).where("k % 2 = 0").unionByName(formed(t, SHOWN, HITS[2:]).where("k % 2 = 1")).withColumnRenamed("k", "id"))
+add("f34_w07_profiles", lambda t: profiles.pick_profiles(scored(t)).select("id", "url", "score", "city_ok"), "select k as id, url, score, city_ok from (" + told("url varchar, score double, city_ok boolean", [(0, "https://instagram.com/posmishka", 1.0, True), (1, "https://instagram.com/lev.kyiv", 1.0, True)], 2) + ")", "")
+add("a16_best_candidate", lambda t: profiles.best_candidates(scored(t)).select("id", "url"), "select k as id, url from (" + told("url varchar", [(0, "https://instagram.com/posmishka"), (1, "https://instagram.com/lev.kyiv")], 2) + ")", "")
+add("f13_a13_site_contacts", lambda t: pages.site_contacts(formed(t, "seq int, url string, html string", [(0, "https://s.ua/", PAGE + " тел. 0671234567 tawk.to"), (1, "https://s.ua/contacts", '<a href="tel:0501112233">a{k}@s.ua tidio.co')], every=True).withColumnRenamed("k", "id")).select("id", F.array_join("phones", ",").alias("phones"), F.array_join("emails", ",").alias("emails"), rules.describe_automation(F.col("automation")).alias("automation")),
+    "select c_custkey as id, '+380671234567,+380501112233' as phones, 'a' || c_custkey || '@s.ua' as emails, 'chat:tawk/tidio' as automation from customer", "")
 add("k01_export", lambda t: export.export_rows(t.leads).select("id", "phone", "has_automation", "automation", "contact_score", "crm_status", "notes", "last_verified_at"),
     f"select cast(id as varchar) as id, coalesce(phone, '') as phone, coalesce(cast(cast(has_automation as int) as varchar), '') as has_automation, case when has_automation then 'booking:fresha, chat:tawk/tidio' when not has_automation then 'platform:wix' else '—' end as automation, cast({SCORE} as varchar) as contact_score, case coalesce(crm_status, 'new') when 'new' then 'Новий' when 'in_progress' then 'В роботі' when 'interested' then 'Зацікавлений' when 'lost' then 'Відмова' else 'Закрито (угода)' end as crm_status, coalesce(notes, '') as notes, coalesce(strftime(last_verified_at, '%Y-%m-%dT%H:%M:%S'), '') as last_verified_at from leads")
 
@@ -629,23 +678,35 @@ add("k07_api_usage", lambda t: stats.calls_by_month(t.items.select("channel", "c
     "select channel as service, strftime(claimed_at, '%Y-%m') as period, cast(sum(attempts) as bigint) as calls from items where claimed_at is not null group by 1, 2", "items")
 add("k08_lead_context", lambda t: t.leads.withColumn("size_estimate", F.lit("small")).select("id", queue.lead_context().alias("c")).select("id", "c.has_website", "c.automation_summary", "c.size"),
     "select id, coalesce(website_status = 'has_website', false) as has_website, case when has_automation then 'booking:fresha, chat:tawk/tidio' when not has_automation then 'platform:wix' else '—' end as automation_summary, 'small' as size from leads")
-cases("u02_categories", "n_ int", [(0, "cafe,restaurant,bar,bakery,vet")], lambda d: F.lit(",".join(merge.categories(["horeca", "cafe", "vet"]))))
+cases("u02_categories", "names array<string>", [(["horeca", "cafe", "vet"], "cafe,restaurant,bar,bakery,vet"), (["vet", " HORECA "], "vet,cafe,restaurant,bar,bakery"), (["unknown {k}"], None), (["all"], ",".join(C.CATEGORY_FILTERS)), (["lab", "medical"], "lab,dentist,clinic,doctors,rehab,cosmetology,hospital")],
+      lambda d: F.array_join(merge.resolved(F.col("names")), ","))
 add("u16_migrated", lambda t: merge.with_columns_of(t.leads.select("id", "name"), t.leads.select("id", "name", "phone", "has_automation").schema).agg(F.count("id").alias("n"), F.count("phone").alias("phones")), "select count(*) as n, cast(0 as bigint) as phones from leads")
-add("s27_paid_lookups", lambda t: listings.paid_lookups(t.spark.createDataFrame([(1, None, '{"places": [{"id": "p"}]}', '{"nationalPhoneNumber": "067 123 45 67", "formattedAddress": "a"}'), (2, "q", None, None), (3, None, None, None), (4, None, "{}", None)], "id long, known_place string, search_body string, details_body string")),
-    "select * from (values (1::bigint, 'p', 2::int, '+380671234567', 'a'), (2, 'q', 0, null, null), (3, null, 0, null, null), (4, null, 1, null, null)) v(id, place_id, calls, phone, address)", "")
+BILLED = [(None, '{"places": [{"id": "p{k}"}]}', '{"nationalPhoneNumber": "067 123 45 67", "formattedAddress": "a {k}"}'), ("q{k}", None, None), (None, None, None), (None, "{}", None)]
+add("s27_paid_lookups", lambda t: listings.paid_lookups(formed(t, "known_place string, search_body string, details_body string", BILLED).withColumnRenamed("k", "id")),
+    "select k as id, place_id, calls, phone, address from (" + told("place_id varchar, calls int, phone varchar, address varchar", [(0, "p{k}", 2, "+380671234567", "a {k}"), (1, "q{k}", 0, None, None), (2, None, 0, None, None), (3, None, 1, None, None)], 4) + ")", "")
 
 
 def _discovered(t: Tables) -> tuple[DataFrame, DataFrame]:
-    leads = t.spark.createDataFrame([(7, "node/1", "Слон", "beauty", "Київ", None, None, None)], "id long, osm_id string, name string, category string, city string, lat double, lon double, phone string")
+    leads = formed(t, "osm_id string, name string, category string, city string, lat double, lon double, phone string", [("node/1{k}1", "Слон {k}", "beauty", "Київ {k}", None, None, None)])
+    leads = leads.where("k % 8 <> 4").withColumnRenamed("k", "id")
     more = {"address": "string", "website": "string", "email": "string", "website_status": "string", "source": "string", "notes": "string", "size_estimate": "string", "email_valid": "boolean", "has_automation": "boolean",
             "socials": "map<string,string>", "raw_tags": "map<string,string>", "automation": "map<string,array<string>>", "merged_ids": "array<string>", "last_verified_at": "timestamp"}
     leads = leads.withColumns({k: F.lit(None).cast(v) for k, v in more.items()})
-    runs = t.spark.createDataFrame([(1, "discover", "Львів", "beauty")], "id long, kind string, city string, category string").withColumns({"started_at": t.now, "finished_at": t.now})
-    return discover.discover(leads, raw(t), runs, t.now)
-
-
-add("q08_discover", lambda t: _discovered(t)[0].select("osm_id", "name", "phone", "size_estimate"), "select * from (values ('node/1', 'Слон', '0671234567', 'micro'), ('way/2', 'Лев', '1', 'small')) v(osm_id, name, phone, size_estimate)", "")
-add("q07_run_log", lambda t: _discovered(t)[1].select("city", "new_count", "updated_count"), "select 'Київ' as city, 1::bigint as new_count, 1::bigint as updated_count", "")
+    runs = formed(t, "kind string, city string, category string", [("discover", "Київ {k}", "beauty")]).where("k % 16 = 0").withColumnRenamed("k", "id").withColumns({"started_at": t.now, "finished_at": t.now})
+    # a kilometre from key to key, so that no two are copies
+    spot = lambda shift: ((F.col("k") % 12_000) * 0.01 - 60 + shift).cast("decimal(9,3)").cast("string")
+    east = (F.floor(F.col("k") / 12_000) * 0.02 + 1).cast("decimal(9,3)").cast("string")
+    body = F.col("body")
+    for old, new in [("50.1", F.lit("<north>")), ("50.2", F.lit("<upper>")), ("30.1", F.lit("<east>")), ("30.2", F.lit("<east>")), ("<north>", spot(0)), ("<upper>", spot(0.005)), ("<east>", east)]:
+        body = F.replace(body, F.lit(old), new)
+    return discover.discover(leads, raw(t, 2).withColumn("body", body).drop("k"), runs, t.now)
+
+
+KNOWN = "select c_custkey as k, c_custkey % 2 = 0 and c_custkey % 16 <> 0 as read, c_custkey % 8 <> 4 as known from customer"
+add("q08_discover", lambda t: _discovered(t)[0].select("osm_id", "name", "phone"),
+    f"select 'node/1' || k || '1' as osm_id, 'Слон ' || k as name, case when read then '0671234567' end as phone from ({KNOWN}) where read or known union all select 'way/1' || k || '2', 'Лев ' || k, k::varchar from ({KNOWN}) where read", "")
+add("q07_run_log", lambda t: _discovered(t)[1].select("city", "new_count", "updated_count"),
+    f"select case when k % 2 = 0 then 'Київ ' else 'Львів ' end || k as city, case when read and known then 1 when read then 2 else 0 end::bigint as new_count, case when read and known then 1 else 0 end::bigint as updated_count from ({KNOWN}) where k % 16 <> 0", "")
 add("entry_hot_by_category", lambda t: hot_by_category(t.leads), f"select category, count(*) as n, sum(cast(phone is not null as int)) as with_phone, sum(cast(email is not null as int)) as with_email from leads where {HOT} group by category")
 
 
