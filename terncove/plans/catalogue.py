@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,10 @@ from ..functions import text as X
 from ..functions.harvest import aligned_similarity, harvest
 from ..operators import dedupe, export, linkage, mail, merge, profiles, queue, stats
 from ..operators import segments as S
+from ..operators.versions import VersionedTable, claim_from, upsert_into
 from ..sources import listings, pages, poi, registry
 from . import discover
+from .cut import shared_folder
 
 NOW = "2024-06-01 00:00:00"
 
@@ -295,12 +298,12 @@ def _found(t: Tables) -> DataFrame:
     return shifted.unionByName(fresh)
 
 
-add("u03_upsert", lambda t: merge.upsert(t.leads, _found(t)).select("osm_id", "phone", "website", "website_status", "outcome"),
-    """, f as (select osm_id, '+3' || cast(id as string) as phone, 'https://new.example' as website from leads where k % 3 = 0 union all select 'new/' || osm_id, phone, null from leads where k % 17 = 0)
-    select coalesce(l.osm_id, f.osm_id) as osm_id, coalesce(l.phone, f.phone) as phone, coalesce(l.website, f.website) as website,
-      case when l.website is null and f.website is not null then 'has_website' else l.website_status end as website_status,
-      case when l.osm_id is null then 'new' when f.osm_id is not null and ((l.phone is null and f.phone is not null) or (l.website is null and f.website is not null)) then 'updated' else 'same' end as outcome
-    from leads l full join f on l.osm_id = f.osm_id""")
+UPSERTED = """, f as (select osm_id, '+3' || cast(id as string) as phone, 'https://new.example' as website from leads where k % 3 = 0 union all select 'new/' || osm_id, phone, null from leads where k % 17 = 0)
+    select {shown}, coalesce(l.phone, f.phone) as phone, coalesce(l.website, f.website) as website,
+      case when l.website is null and f.website is not null then 'has_website' else l.website_status end as website_status
+    from leads l full join f on l.osm_id = f.osm_id"""
+OUTCOME = "case when l.osm_id is null then 'new' when f.osm_id is not null and ((l.phone is null and f.phone is not null) or (l.website is null and f.website is not null)) then 'updated' else 'same' end as outcome"
+add("u03_upsert", lambda t: merge.upsert(t.leads, _found(t)).select("osm_id", "phone", "website", "website_status", "outcome"), UPSERTED.format(shown=f"coalesce(l.osm_id, f.osm_id) as osm_id, {OUTCOME}"))
 
 
 def _mergeable(t: Tables) -> DataFrame:
@@ -350,6 +353,33 @@ for name, cap, limit in (("q03_claim", 10**9, 150), ("q03_claim_capped", 3400, 1
     add(name, lambda t, cap=cap, limit=limit: queue.claim(t.items, limit, F.lit(AT).cast("timestamp"), cap=cap).where("claimed_now").select("id", "attempts"), _claim_sql(cap, limit), "items")
 
 
+def _table(t: Tables, rows: DataFrame, key: str) -> VersionedTable:
+    table = VersionedTable(t.spark, f"{shared_folder(t.spark)}/table-{uuid.uuid4().hex}", key)
+    table.create(rows)
+    return table
+
+
+def _claimed_twice(t: Tables, cap: int, limit: int) -> DataFrame:
+    """Two claims from one table of items, the second after the first."""
+    table, at = _table(t, t.items, "id"), F.lit(AT).cast("timestamp")
+    return claim_from(table, limit, at, cap).unionByName(claim_from(table, limit, at, cap))
+
+
+add("q03_claims_in_turn", lambda t: _claimed_twice(t, 3400, 15).select("id", "attempts"), _claim_sql(3400, 30), "items")
+
+
+def _upserted(t: Tables) -> DataFrame:
+    """The table after its discovered rows came in three parts, with a base of its own leads only."""
+    leads = t.leads.select("id", "osm_id", "name", "category", "city", "lat", "lon", "phone", "website", "website_status")
+    table, found = _table(t, leads, "osm_id"), _found(t)
+    for part in range(3):
+        upsert_into(table, found.where(F.pmod(F.crc32("osm_id"), F.lit(3)) == part))
+    return table.read()
+
+
+add("u03_incremental", lambda t: _upserted(t).select("osm_id", "phone", "website", "website_status"), UPSERTED.format(shown="coalesce(l.osm_id, f.osm_id) as osm_id"))
+
+
 def _reports(t: Tables) -> DataFrame:
     r = t.items.select("id", F.lit(1).alias("seq"), F.when(F.col("id") % 2 == 0, "sent").otherwise("failed").alias("status"), F.lit(" t ").alias("text"), t.now.alias("at"))
     return r.unionByName(r.select("id", F.lit(2).alias("seq"), F.lit("replied").alias("status"), F.lit("ok").alias("text"), "at"))
