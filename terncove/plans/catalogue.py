@@ -18,7 +18,7 @@ from ..functions import constants as C
 from ..functions import geo, phones, rules
 from ..functions import text as X
 from ..functions.harvest import aligned_similarity, harvest
-from ..operators import dedupe, export, linkage, mail, merge, profiles, queue, stats
+from ..operators import dedupe, export, linkage, mail, merge, pace, profiles, queue, stats
 from ..operators import segments as S
 from ..operators.versions import VersionedTable, claim_from, upsert_into
 from ..sources import listings, pages, poi, registry
@@ -575,6 +575,48 @@ add("s13_s14_u01_registry", lambda t: registry.records(*_registry(t), cities(t))
         (0, "{k}e1", "Київ", "doctors", "0441112233,0671234567,0501112233", "вул. Б, 2", 50.5, 30.5, "123", "field_station"), (0, "{k}c", "Київ", "doctors", "0671234567,0501112233", "вул. А, 1", 50.4, None, None, None),
         (0, "{k}g", "Жовква", "doctors", "0671234567,0501112233", "вул. А, 1", 50.4, None, "123", "other_city")]) + ")", "")
 CARD = '<script type="application/ld+json">{"@type":"MedicalClinic","name":"Смайл {k}, центр в Києві","telephone":"0671234567","address":{"streetAddress":" вул. А, 1, "},"description":"a\nb"}</script>'
+#: Listing pages from crawled pages: two sections of each of seven towns, cards that repeat more and more, some pages forbidden or not landed.
+LISTED = """listed as (
+  select 'town' || cast(page_id % 7 as string) as city, case when floor(page_id / 7) % 2 = 0 then 'kliniki' else 'clinics' end as section,
+    cast(floor(page_id / 14) as bigint) + 1 as page, page_id % 97 <> 50 as allowed, page_id % 61 <> 33 as landed,
+    '/clinic/a' || cast(cast(floor(page_id / 14) * 3 as bigint) % 40 as string) as one, '/clinic/b' || cast(cast(floor(page_id / 30) as bigint) % 50 as string) as two from {pages})
+"""
+
+
+def _listed(t: Tables) -> DataFrame:
+    rows = t.spark.sql(f"with {LISTED} select * from listed", pages=t.pages)
+    html = F.when(F.col("landed"), F.concat(F.lit('<a href="'), "one", F.lit('"></a><a href="https://likarni.com'), "two", F.lit('">')))
+    return listings.listing_crawl(rows.withColumn("html", html), ["kliniki", "clinics"], 200)
+
+
+add("s15_listing_crawl", lambda t: _listed(t).select("city", "section", "page", "path"),
+    f"""with recursive {LISTED.replace("{pages}", "pages")},
+    queue as (select *, row_number() over (partition by city order by section desc, page) as n from listed),
+    walk as (
+      select city, 0::bigint as n, '' as section, 0::bigint as page, []::varchar[] as seen, []::varchar[] as fresh, false as done from (select distinct city from listed)
+      union all
+      select q.city, q.n, q.section, q.page,
+        case when (w.done and w.section = q.section) or not (q.landed and q.allowed) or q.page <> (case when w.section = q.section then w.page else 0 end) + 1 or q.page > 200 then w.seen
+          else list_concat(w.seen, list_filter([q.one, q.two], lambda p: not list_contains(w.seen, p))) end,
+        case when (w.done and w.section = q.section) or not (q.landed and q.allowed) or q.page <> (case when w.section = q.section then w.page else 0 end) + 1 or q.page > 200 then []
+          else list_filter([q.one, q.two], lambda p: not list_contains(w.seen, p)) end,
+        (w.done and w.section = q.section) or not (q.landed and q.allowed) or q.page <> (case when w.section = q.section then w.page else 0 end) + 1 or q.page > 200
+          or len(list_filter([q.one, q.two], lambda p: not list_contains(w.seen, p))) = 0
+      from walk w join queue q on q.city = w.city and q.n = w.n + 1)
+    select city, section, page, unnest(fresh) as path from walk where len(fresh) > 0""", "")
+
+#: Requests from events: half of all go to one host.
+REQUESTS = """requests as (
+  select case when event_id % 2 = 0 then 'hot' else 'h' || cast(user_id % 40 as string) end as host, event_id as seq,
+    cast(floor(event_id / 7) as double) * 1.5 as ready, event_type = 'error' as failed from {events})
+"""
+add("s30_start_times", lambda t: pace.start_times(t.spark.sql(f"with {REQUESTS} select * from requests", events=t.events), 1.0, 4.0, 3).select("host", "seq", F.round("start", 3).alias("start")),
+    f"""with {REQUESTS.replace("{events}", "events")},
+    ranked as (select *, row_number() over (partition by host order by seq) as n from requests),
+    streaked as (select *, n - coalesce(max(case when not failed then n end) over (partition by host order by n), 0) as streak from ranked),
+    gapped as (select *, 1.0 + case when streak > 0 then 4.0 * pow(2, least(streak - 1, 3)) else 0 end as gap from streaked),
+    shifted as (select *, coalesce(sum(gap) over (partition by host order by n rows between unbounded preceding and 1 preceding), 0) as shift from gapped)
+    select host, seq, round(shift + max(ready - shift) over (partition by host order by n), 3) as start from shifted""", "")
 add("s15_card_paths", lambda t: listings.card_paths(formed(t, "city string, seq int, html string", [("Київ {k}", 1, '<a href="/clinic/b{k}"><a href="https://likarni.com/clinic/a">'), ("Київ {k}", 2, '<a href="/clinic/b{k}"><a href="/clinic/c">')], every=True)).select("city", "pos", "path"),
     "select city, pos, path from (" + told("city varchar, pos int, path varchar", [(0, "Київ {k}", 0, "/clinic/b{k}"), (0, "Київ {k}", 1, "/clinic/a"), (0, "Київ {k}", 2, "/clinic/c")]) + ")", "")
 add("s16_s18_cards", lambda t: listings.likarni_cards(formed(t, "city string, path string, html string", [("Київ {k}", "/clinic/smile{k}", CARD), ("Київ {k}", "/clinic/x{k}", CARD.replace("Смайл {k}, центр", "Сінево"))], every=True)).select("ext_id", "name", "category", "address", "create_if_missing"),

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.harvest import listing_card, search_results
 from ..functions.rules import is_medical_chain, is_public_name
 from ..operators.stats import shared_phones
+from ..plans.cut import cut
+
+# Fixed value: a link to a card.
+CARD_LINK = r'href="(?:https://likarni\.com)?(/clinic/[\w\-]+)"'
 
 
 def card_paths(pages: DataFrame) -> DataFrame:
     """pages: city, seq, html. Card paths of each city in order of first appearance."""
-    found = F.regexp_extract_all("html", F.lit(r'href="(?:https://likarni\.com)?(/clinic/[\w\-]+)"'))
+    found = F.regexp_extract_all("html", F.lit(CARD_LINK))
     grouped = pages.groupBy("city").agg(F.array_sort(F.collect_list(F.struct("seq", found.alias("p")))).alias("l"))
     paths = F.array_distinct(F.flatten(F.transform("l", lambda x: x["p"])))
     return grouped.select("city", F.posexplode(paths).alias("pos", "path"))
 
 
+def listing_crawl(landed: DataFrame, sections: list[str], most: int = 40) -> DataFrame:
+    """landed: city, section, page (from 1), allowed, html. city, section, page, pos, path of the cards that a crawl sees.
+
+    ``sections`` are read in turn. A section ends before its first page that robots forbid, that did not land, that shows no card not seen before, or that is page ``most`` + 1.
+    What counts as seen are cards of pages that were read.
+    """
+    seen = None
+    for section in sections:
+        own = landed.where((F.col("section") == section) & (F.col("page") <= most) & F.col("html").isNotNull() & F.coalesce("allowed", F.lit(True)))
+        links = own.select("city", "page", F.posexplode(F.regexp_extract_all("html", F.lit(CARD_LINK))).alias("pos", "path"))
+        if seen is not None:
+            links = links.join(seen.select("city", "path"), ["city", "path"], "left_anti")
+        first = links.groupBy("city", "path").agg(F.min(F.struct("page", "pos")).alias("at")).select("city", "path", "at.page", "at.pos")
+        fresh = first.groupBy("city", "page").agg(F.count("*").alias("new"))
+        reached = own.select("city", "page").distinct().join(fresh, ["city", "page"], "left")
+        place = F.row_number().over(Window.partitionBy("city").orderBy("page"))  # ``most`` rows a city
+        ends = reached.withColumn("n", place).groupBy("city").agg(F.min(F.when((F.col("n") != F.col("page")) | F.col("new").isNull(), F.col("page"))).alias("end"))
+        gap = reached.withColumn("n", place).where("n = page").groupBy("city").agg(F.max("page").alias("last"))
+        read = first.join(ends, "city").join(gap, "city").where((F.col("page") <= F.col("last")) & (F.col("end").isNull() | (F.col("page") < F.col("end"))))
+        kept = read.select("city", F.lit(section).alias("section"), "page", "pos", "path")
+        seen = cut(kept if seen is None else seen.unionByName(kept))
+    return seen
+
+
 def sitemap_cards(xml: DataFrame) -> DataFrame:
     """xml: slug, body. URLs of the cards of the wanted city in the local language."""
     urls = F.regexp_extract_all("body", F.lit(r"<loc>(https://doc\.ua/ua/klinika/[\w\-]+/[^<]+)</loc>"))
