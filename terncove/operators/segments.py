@@ -60,9 +60,14 @@ def ranked_list(leads: DataFrame, score: Column, limit: int) -> DataFrame:
     return leads.withColumn("contact_score", score).orderBy("name", "id").limit(limit).orderBy(F.desc("contact_score"), "name", "id")
 
 
-def page(leads: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+def page_order() -> list[Column]:
     """Leads without a phone last, then by name."""
-    return leads.orderBy(F.col("phone").isNull(), "name", "id").offset(offset).limit(max(1, min(limit, 500)))
+    return [F.col("phone").isNull(), F.col("name"), F.col("id")]
+
+
+def page(leads: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """One page; for many deep ones take a ``paging.Snapshot`` in ``page_order``."""
+    return leads.orderBy(*page_order()).offset(offset).limit(max(1, min(limit, 500)))
 
 
 def crawl_targets(leads: DataFrame, now: Column, older_than_days: int | None = None, everything: bool = False, limit: int | None = None) -> DataFrame:

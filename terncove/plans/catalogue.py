@@ -20,6 +20,7 @@ from ..functions import text as X
 from ..functions.harvest import aligned_similarity, harvest
 from ..operators import dedupe, export, linkage, mail, merge, pace, profiles, queue, stats
 from ..operators import segments as S
+from ..operators.paging import Snapshot
 from ..operators.versions import VersionedTable, claim_from, upsert_into
 from ..sources import listings, pages, poi, registry
 from . import discover
@@ -218,6 +219,7 @@ cases("p04_public_name", "name string", [("Обласна клінічна лі
 add("o01_by_name", lambda t: S.query(t.leads, limit=50).select("id", "name"), "select id, name from leads order by name, id limit 50")
 add("o02_ranked_list", lambda t: S.ranked_list(t.leads, score().cast("int"), 100).select("id", "contact_score"), f"select id, cast({SCORE} as int) as contact_score from (select * from leads order by name, id limit 100)")
 add("o03_page", lambda t: S.page(t.leads, 100, 50).select("id"), "select id from leads order by phone is null, name, id limit 50 offset 100")
+add("o03_deep_page", lambda t: Snapshot.take(t.leads.select("id", "name", "phone"), S.page_order(), range_rows=400).page(1200, 80).select("id"), "select id from leads order by phone is null, name, id limit 80 offset 1200")
 add("o06_recent_runs", lambda t: ids(stats.recent_runs(t.runs, 20)), "select id from runs order by started_at desc, id desc limit 20", "runs")
 PICKS = [(["cafe", "clinic", "bar", "dentist"], "dentist,clinic,cafe,bar"), (["horeca", "cafe", "vet", "lab"], "lab,cafe,restaurant,bar,bakery,vet"), (["hospital", " Dentist ", "vet", "medical"], "dentist,clinic,doctors,lab,rehab,cosmetology,hospital,vet"), ([], "")]
 cases("o08_priority", "names array<string>", PICKS, lambda d: F.array_join(merge.prioritized(merge.resolved(F.col("names"))), ","))
