@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terncove.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from terncove.llm.store import drop_since, materialize, written
+from terncove.llm.store import drop_since, materialize, unused, written
 
 TOXIC_FROM = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below ``TOXIC_FROM``, by a model learned from their labels."""
+    """Documents whose toxicity is below ``TOXIC_FROM``, by a model learned from their labels. Columns of the documents that are named like the score stay theirs."""
     crf = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, crf, spans=False).where(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    clash = [c for c in docs.columns if c.lower() in ("toxicity", "toxic_spans")]
+    own = dict(zip(clash, unused(docs, *[f"_own_{c}" for c in clash]), strict=True))
+    scored = toxicity.score(docs.withColumnsRenamed(own), crf, spans=False)
+    return scored.where(F.col("toxicity") < TOXIC_FROM).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
