@@ -5,6 +5,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terncove.llm import bpe
@@ -77,6 +78,22 @@ def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
 
 
+def test_columns_named_like_what_stages_add(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plain = sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, path).collect())
+    names = ["toxicity", "Toxic_Spans", "ids", "decoded", "_own_toxicity", "fp"]
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit("own "), "doc_id"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, path).cache()
+        assert kept.columns == docs.columns
+        assert all(r[c] == f"own {r.doc_id}" for r in kept.collect() for c in names)
+        if before is docs:
+            assert sorted(r.doc_id for r in kept.collect()) == plain
+
+
 def test_near_stage_drops_texts_of_similarity_four_fifths(spark):
     r = random.Random(11)
     texts = [[f"w{r.randrange(3000)}" for _ in range(r.randint(8, 160))] for _ in range(60)]
