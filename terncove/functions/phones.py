@@ -109,6 +109,11 @@ def constant_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used: within lambdas nothing else sees to that."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def is_number(digits: Column) -> Column:
     """Whether digits with their country code in front are a number that some plan knows."""
     after, lengths = map(constant_array, compiled())
@@ -129,18 +134,22 @@ def international(candidate: Column, region: str = "UA") -> Column:
     number, or with the country code alone. An extension is left out."""
     code, trunk, _ = PLANS[region]
     short = F.trim(F.regexp_replace(candidate, r"(?iu)[\s,;]*(?:ext\.?|extension|доб\.?|вн\.?|#)\s*\d{1,7}\s*$", ""))
-    digits = F.regexp_replace(short, r"\D", "")
-    local, rest = ~short.startswith("+"), lambda n: F.substring(digits, F.lit(n + 1), F.length(digits))
-    forms = [(short.startswith("+"), digits), (local & digits.startswith("00"), rest(2))]
-    if trunk:
-        forms.append((local & digits.startswith(trunk), F.concat(F.lit(code), rest(len(trunk)))))
-    forms += [(local, F.concat(F.lit(code), digits)), (local & digits.startswith(code), digits)]
-    if region == "UA":  # the trunk prefix of old, 8 before the present one
-        forms.append((local & digits.startswith(f"8{trunk}"), F.concat(F.lit(code), rest(1 + len(trunk)))))
-    found = F.when(~short.rlike(r"^\+?[\d\s().\-]+$"), F.lit(None).cast("string"))
-    for applies, number in forms:  # the first that holds ends the search
-        found = found.when(applies & is_number(number), F.concat(F.lit("+"), number))
-    return found
+
+    def tried(of: Column) -> Column:
+        short, digits = of["short"], of["digits"]
+        local, rest = ~short.startswith("+"), lambda n: F.substring(digits, F.lit(n + 1), F.length(digits))
+        forms = [(short.startswith("+"), digits), (local & digits.startswith("00"), rest(2))]
+        if trunk:
+            forms.append((local & digits.startswith(trunk), F.concat(F.lit(code), rest(len(trunk)))))
+        forms += [(local, F.concat(F.lit(code), digits)), (local & digits.startswith(code), digits)]
+        if region == "UA":  # the trunk prefix of old, 8 before the present one
+            forms.append((local & digits.startswith(f"8{trunk}"), F.concat(F.lit(code), rest(1 + len(trunk)))))
+        found = F.when(~short.rlike(r"^\+?[\d\s().\-]+$"), F.lit(None).cast("string"))
+        for applies, number in forms:  # the first that holds ends the search
+            found = found.when(applies & is_number(number), F.concat(F.lit("+"), number))
+        return found
+
+    return let(F.struct(short.alias("short"), F.regexp_replace(short, r"\D", "").alias("digits")), tried)
 
 
 def candidates(text: Column, region: str = "UA") -> Column:

@@ -209,7 +209,7 @@ def candidate_edges(lead: DataFrame, rec: DataFrame) -> tuple[DataFrame, DataFra
     probes, homes = _places(rec, True), _places(lead, False).unionByName(_places(rec, False))
     homes = homes.join(probes.select("place").distinct(), "place", "left_semi")
     distinct = lambda df: df.groupBy("place", "id").agg(F.first("ls").alias("ls"))
-    met = cut(similar_at_places(distinct(probes), distinct(homes), pairs, NAME_LEAST))
+    met = cut(similar_at_places(cut(distinct(probes)), cut(distinct(homes)), pairs, NAME_LEAST))
     at = lambda kind, name: _node(kind, F.col("place"), F.col(name))
     near = met.select(at("asked", "x").alias("node"), at("home", "y").alias("token"))
     askers = probes.join(met.select("place", F.col("x").alias("id")).distinct(), ["place", "id"], "left_semi").select("node", at("asked", "id").alias("token"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.phones import constant_array
+from ..functions.phones import constant_array, let
 from ..plans.cut import cut
 
 GRAM = 3
@@ -19,10 +19,9 @@ def characters(text: Column) -> Column:
 
 def letters(text: Column) -> Column:
     """Every letter with the number of its occurrence as one integer (code point and occurrence): texts share as many letters as such integers."""
-    held = characters(text)
-    ranked = F.array_sort(F.transform(held, F.ascii))
+    ranked = F.array_sort(F.transform(characters(text), F.ascii))
     # equal letters stand side by side: the occurrence is how far a letter is from the first of its kind
-    return F.transform(ranked, lambda c, i: c * 64 + F.least(i - F.array_position(ranked, c).cast("int") + 1, F.lit(63)))
+    return let(ranked, lambda r: F.transform(r, lambda c, i: c * 64 + F.least(i - F.array_position(r, c).cast("int") + 1, F.lit(63))))
 
 
 def ratio_of(a_letters: Column, b_letters: Column) -> Column:
