@@ -18,7 +18,7 @@ from ..functions import constants as C
 from ..functions import geo, phones, rules
 from ..functions import text as X
 from ..functions.harvest import aligned_similarity, harvest
-from ..operators import dedupe, export, linkage, mail, merge, pace, profiles, queue, stats
+from ..operators import dedupe, export, linkage, mail, merge, pace, profiles, queue, retries, stats
 from ..operators import segments as S
 from ..operators.paging import Snapshot
 from ..operators.versions import VersionedTable, claim_from, upsert_into
@@ -619,6 +619,20 @@ add("s30_start_times", lambda t: pace.start_times(t.spark.sql(f"with {REQUESTS}
     gapped as (select *, 1.0 + case when streak > 0 then 4.0 * pow(2, least(streak - 1, 3)) else 0 end as gap from streaked),
     shifted as (select *, coalesce(sum(gap) over (partition by host order by n rows between unbounded preceding and 1 preceding), 0) as shift from gapped)
     select host, seq, round(shift + max(ready - shift) over (partition by host order by n), 3) as start from shifted""", "")
+#: Attempts from events: a third of all belong to one query.
+ATTEMPTS = """attempts as (
+  select case when event_id % 3 = 0 then 'hot' else 'q' || cast(user_id as string) || '-' || cast(cast(floor(event_id / 500) as bigint) as string) end as query, event_id as seq,
+    case when event_type = 'error' then 'broken' when event_type = 'purchase' then 'ok' else 'busy' end as kind from {events})
+"""
+add("s04_retries", lambda t: retries.outcomes(t.spark.sql(f"with {ATTEMPTS} select * from attempts", events=t.events), 3, 2),
+    f"""with recursive {ATTEMPTS.replace("{events}", "events")},
+    ranked as (select *, row_number() over (partition by query order by seq) as n from attempts),
+    walk as (select distinct query, cast(0 as bigint) as n, 0 as mirror, 0 as tries, 'open' as outcome from attempts union all
+      select query, n, case when outcome = 'ok' or stays then mirror else least(mirror + 1, 2) end, case when stays then tries + 1 else 0 end,
+        case when outcome = 'ok' then 'ok' when not stays and mirror = 2 then 'failed' else 'open' end
+      from (select w.query, a.n, w.mirror, w.tries, case when a.kind = 'ok' then 'ok' else 'open' end as outcome, a.kind = 'busy' and w.tries + 1 < 2 as stays
+        from walk w join ranked a on a.query = w.query and a.n = w.n + 1 where w.outcome = 'open'))
+    select query, arg_max(outcome, n) as outcome, max(n) as attempts, arg_max(mirror, n) as mirror from walk group by query""", "")
 add("s15_card_paths", lambda t: listings.card_paths(formed(t, "city string, seq int, html string", [("Київ {k}", 1, '<a href="/clinic/b{k}"><a href="https://likarni.com/clinic/a">'), ("Київ {k}", 2, '<a href="/clinic/b{k}"><a href="/clinic/c">')], every=True)).select("city", "pos", "path"),
     "select city, pos, path from (" + told("city varchar, pos int, path varchar", [(0, "Київ {k}", 0, "/clinic/b{k}"), (0, "Київ {k}", 1, "/clinic/a"), (0, "Київ {k}", 2, "/clinic/c")]) + ")", "")
 add("s16_s18_cards", lambda t: listings.likarni_cards(formed(t, "city string, path string, html string", [("Київ {k}", "/clinic/smile{k}", CARD), ("Київ {k}", "/clinic/x{k}", CARD.replace("Смайл {k}, центр", "Сінево"))], every=True)).select("ext_id", "name", "category", "address", "create_if_missing"),
