@@ -10,7 +10,8 @@ Joins are repaired by encoding the text between two cores anew, together with th
 right one (a unit is a word with the space before it). The library's tokens for these two units have to be those the cores have;
 where they are not, the window widens, to the whole text at last. Where they are, both encodings agree, and so does what lies beyond.
 
-New cores are encoded from the memo of their units, and only units never seen reach the tokenizer library, in batches. All stores
+New cores are encoded from the memo of their units, and only units never seen reach the tokenizer library: many stand one after
+another in one text, since a unit's end before white space is a sure boundary, and the bytes of the tokens tell whose they are. All stores
 are bounded (``MEMO_UNITS``, ``MEMO_CHUNKS``) and local to a worker: nothing is shuffled, a lost executor costs its own tasks only.
 
 Defined results: a null text counts as empty (no tokens, empty decoded text); very long texts are processed chunk by
@@ -33,7 +34,9 @@ from .units import LONGEST_KEY, SYNC, UNIT, Memo, held
 WINDOW_DOUBLINGS = 4  # a window of 16 characters
 CUT_BITS = 10  # chunks of about 1,000 characters beyond the least length
 LEAST, MOST = 256, 8192
-MEMO_UNITS = 120_000
+MEMO_UNITS = 480_000
+#: Units never seen are encoded as texts of so many.
+TOGETHER = 1_024
 MEMO_CHUNKS = 5_000
 _MULTIPLIER = 0x9E3779B1
 
@@ -85,7 +88,10 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.units: Memo = Memo(MEMO_UNITS)
         self.chunks: Memo = Memo(MEMO_CHUNKS)
-        self.surface = self._surfaces()
+        surfaces = self._surfaces()
+        self.surface = np.empty(len(surfaces), object)
+        self.surface[:] = surfaces
+        self.n_bytes = np.array([len(s) for s in surfaces], np.int64)
         self.chunks_seen = self.chunks_encoded = self.widened = 0
 
     def _surfaces(self) -> list[bytes]:
@@ -100,16 +106,27 @@ class ChunkEncoder:
             out[i] = token.encode() if plain else bytes(alphabet[c] for c in token)
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode all units of ``texts`` that the memo lacks, in batches."""
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of each text; it is not asked for offsets."""
+        return [np.array(enc.ids, np.uint32) for enc in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, cores: list[list[str]]) -> None:
+        """Encode all units of ``cores`` that the memo lacks, many in one text. Each starts with white space and ends with something else."""
         units, missing = self.units, set()
-        for text in texts:
-            missing.update(UNIT.findall(text))
-        fresh = [u for u in missing if u not in units and units.recall(u) is None and len(u) <= LONGEST_KEY]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for unit, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                units[unit] = np.array(enc.ids, np.uint32).tobytes()
+        for core in cores:
+            missing.update(core)
+        fresh = [u for u in units.lacking(missing) if len(u) <= LONGEST_KEY]
+        for at in range(0, len(fresh), TOGETHER):
+            part = fresh[at : at + TOGETHER]
+            (ids,) = self._ids(["".join(part)])
+            token_ends = np.cumsum(self.n_bytes[ids])
+            unit_ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in part])
+            last = np.searchsorted(token_ends, unit_ends)
+            if last[-1] == len(ids) - 1 and np.array_equal(token_ends[last], unit_ends):
+                raw, ends = ids.tobytes(), ((last + 1) * 4).tolist()
+                units.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            else:  # a library whose tokens do not end where units do
+                units.update(zip(part, (i.tobytes() for i in self._ids(part)), strict=True))
 
     def _encode(self, found: list[str]) -> bytes:
         """Little-endian 32-bit ids of units that follow each other."""
@@ -152,9 +169,9 @@ class ChunkEncoder:
         fresh: list[tuple[bytes, str]] = []
         cores = [self._known(t, fresh) for t in texts]
         entries = [self.chunks[key] for key, _ in fresh]
-        self.learn([core for _, core in fresh])
-        for entry, (_, core) in zip(entries, fresh, strict=True):
-            units = UNIT.findall(core)
+        split = [UNIT.findall(core) for _, core in fresh]
+        self.learn(split)
+        for entry, units in zip(entries, split, strict=True):
             entry[2:] = self._encode(units), units[0], units[-1]
         windows, places = [], []  # the text around each join
         for k, (text, own) in enumerate(zip(texts, cores, strict=True)):
@@ -167,8 +184,8 @@ class ChunkEncoder:
         out: list[list[bytes]] = [[] for _ in texts]
         agreed = [True] * len(texts)
         for at in range(0, len(windows), 4096):
-            for enc, (k, left, right) in zip(self.tokenizer.encode_batch(windows[at : at + 4096], add_special_tokens=False), places[at : at + 4096], strict=True):
-                ids = np.array(enc.ids, np.uint32).tobytes()
+            for ids, (k, left, right) in zip(self._ids(windows[at : at + 4096]), places[at : at + 4096], strict=True):
+                ids = ids.tobytes()
                 before = self._encode([left[2][4]]) if left else b""
                 after = self._encode([right[2][3]]) if right else b""
                 agreed[k] &= ids.startswith(before) and ids.endswith(after) and len(ids) >= len(before) + len(after)
@@ -185,7 +202,7 @@ class ChunkEncoder:
         return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
+        return b"".join(self.surface[np.frombuffer(ids, np.uint32)].tolist()).decode("utf-8", "replace")
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import re
+from collections.abc import Iterable
 
 # The Unicode property White_Space.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -31,6 +32,13 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def lacking(self, keys: Iterable) -> list:
+        """Those of ``keys`` that neither generation has; what the older one has moves to the newer one."""
+        unknown, old = [k for k in keys if k not in self], self.old
+        known = [k for k in unknown if k in old]
+        self.update(zip(known, map(old.__getitem__, known), strict=True))
+        return [k for k in unknown if k not in old] if known else unknown
+
     def turn(self) -> None:
         if len(self) > self.limit:
             self.old = dict(self)

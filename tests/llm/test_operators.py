@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from terncove.llm import bktree, bpe, exact_dedup, html_text, mixing, nearest, sharding, simhash, token_counts, toxicity, window_index
+from terncove.llm import bktree, bpe, exact_dedup, html_text, mixing, nearest, sharding, simhash, token_counts, toxicity, units, window_index
 from terncove.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -301,6 +301,48 @@ def test_joins_that_disagree_widen_to_the_whole_text(library):
     assert np.frombuffer(coder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids and coder.widened == 1
 
 
+class Counting:
+    """The library, and the number of texts it was given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def _batch(self, name, texts, **kw):
+        self.texts += len(texts)
+        return getattr(self.library, name)(texts, **kw)
+
+    def encode_batch(self, texts, **kw):
+        return self._batch("encode_batch", texts, **kw)
+
+    def encode_batch_fast(self, texts, **kw):
+        return self._batch("encode_batch_fast", texts, **kw)
+
+    def encode(self, text, **kw):
+        return self._batch("encode_batch", [text], **kw)[0]
+
+
+@pytest.mark.parametrize("lengths_known", [True, False])
+def test_new_units_reach_the_library_together(library, lengths_known):
+    coder = bpe.ChunkEncoder(bpe.tokenizer_file("byte_bpe_50k.json"))
+    coder.tokenizer = counting = Counting(coder.tokenizer)
+    if not lengths_known:
+        coder.n_bytes = coder.n_bytes + 1  # tokens then seem to end elsewhere than units
+    words = [f"w{i}{m}" for i in range(3000) for m in ("", ",", "é", "'s", "<|endoftext|>", "\u00a0日")]
+    text = "  ".join(words) + "\n"
+    assert np.frombuffer(coder.encode(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids and not coder.widened
+    if lengths_known:
+        assert counting.texts < 2 * coder.chunks_seen + len(words) // 100
+
+
+def test_memo_lacks_what_no_generation_has():
+    memo = units.Memo(4)
+    memo.update(a=b"1", b=b"2", c=b"3")
+    memo.turn()
+    memo["d"] = b"4"
+    assert memo.lacking(["a", "d", "e"]) == ["e"] and dict(memo) == {"d": b"4", "a": b"1"}
+    assert memo.lacking(["f"]) == ["f"]
+
+
 def test_encode_documents(docs, odd, empty, library):
     path = bpe.tokenizer_file("byte_bpe_50k.json")
     for r in bpe.encode_documents(docs, path).collect():
