@@ -5,17 +5,19 @@ nearly all of their text are copies and form a run; a page is paired with the pa
 longer beginning in common with its own. The lines of both are aligned by their longest common subsequence, and lines they share
 are deleted: menus, notices and footers repeat, articles do not.
 
-Two kinds of evidence stand above that, because differencing alone gives wrong texts (figures are in the README): furniture that
-differs from page to page is not shared, and passages that articles have in common are. Lines inside elements that say what they are
-(``nav``, ``footer``, a class ``ad`` or ``comments``) go, shared or not; a class or id says so if all parts of one of its tokens do
-(``sidebar-menu``, not ``has-sidebar``), never on ``html``, ``body``, ``main``, ``article`` or what contains the last two. And where a page
-has an ``article`` or ``main`` element, that is its article: its other lines stay, and what is outside it goes. Differencing decides
-about all lines of pages that have no such element.
-
-Scale: a page is parsed once, and its lines are stored as text only where differencing is to decide. Pairing needs only line hashes.
+Every page is differenced; a check by what pages say about their own parts follows, because differencing alone gives wrong texts
+(figures are in the README): furniture that differs from page to page is not shared, and passages that articles have in common are.
+Lines inside elements that say what they are (``nav``, ``footer``, a class ``ad`` or ``comments``) go, shared or not; a class or id says so
+if all parts of one of its tokens do (``sidebar-menu``, not ``has-sidebar``), never on ``html``, ``body``, ``main``, ``article`` or what
+contains the last two. Where a page has an ``article`` or ``main`` element, what is outside it goes, and its running text stays, shared or
+not. Differencing decides about all other lines: those of pages that have no such element, and inside of it those parts that the page
+marks off (an ``article`` among others; a ``div``, ``section``, list, table or figure with a class or id), such as an author's box or teasers.
+Such a part goes if all of its own lines are shared, unless more of the article would go than stay.
+
+Scale: a page is parsed once, and lines that go in any case are stored as hashes only. Pairing needs only line hashes.
 These are range-partitioned by (host, path), so a hot host spreads over many tasks; each partition gets the last page before it,
-runs are numbered across partitions, and a page meets the ends of the runs beside its own in a join by run. Deletions are joined by
-key to the pages that have some.
+runs are numbered across partitions, and a page meets the ends of the runs beside its own in a join by run. Shared lines are joined by
+key to the pages that have some; the others, found by a filter of fixed size (``store.sift``), are not shuffled.
 
 Defined results: null and empty pages give an empty text of 0 characters; unclosed elements end with their parents; a
 null URL is a host of its own; a page whose host has no other article loses nothing by differencing; rows that repeat are treated
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import append, small_batches, trimmed
-from .store import materialize, slots, unused
+from .store import drop_since, free_shuffles, materialize, sieve, sift, slots, unused, written
 
 #: Pages are copies if the lines they share hold at least this part of the characters of the one that has more.
 COPY = 0.8
@@ -63,6 +65,7 @@ NAMED = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 INSIDE = frozenset("article main".split())
 UNNAMED = frozenset("html body main article".split())  # their classes and ids tell of the page's state, not of themselves
+PARTS = frozenset("div section ul ol dl table figure details".split())  # with a class or id they mark off a part of an article
 # words that are also subjects: as the id of a section of an article they name what it is about
 SUBJECTS = frozenset(
     "advertising banner consent cookies discussion gdpr menu navigation notice notices promotion recommendations related replies reply "
@@ -82,6 +85,7 @@ class Line:
     text: str
     inside: bool  # of an article or main element
     furniture: bool
+    part: int  # number of the innermost part of the page's article that is marked off, 0 for none
 
 
 def _names_furniture(tag: str, attributes: str, inside: bool) -> bool:
@@ -103,15 +107,16 @@ def _names_furniture(tag: str, attributes: str, inside: bool) -> bool:
 def page_lines(source: str | None) -> list[Line]:
     """The blocks of a page with references decoded and white space collapsed."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, inside, furniture by its element, by its name
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, inside, furniture by its element, by its name, part
     inside = furniture = named = False
+    part = parts = 0
     buffer: list[str] = []
 
     def flush() -> None:
         if buffer:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             if text:
-                lines.append(Line(text, inside, furniture or named))
+                lines.append(Line(text, inside, furniture or named, part))
             buffer.clear()
 
     source, at = source or "", 0
@@ -131,7 +136,7 @@ def page_lines(source: str | None) -> list[Line]:
                     if any(t in BLOCKS for t, *_ in stack[k:]):
                         flush()
                     del stack[k:]
-                    inside, furniture, named = stack[-1][1:] if stack else (False, False, False)
+                    inside, furniture, named, part = stack[-1][1:] if stack else (False, False, False, 0)
                     break
             continue
         if tag in MAY_BE_EMPTY and m[3].endswith("/"):
@@ -149,18 +154,22 @@ def page_lines(source: str | None) -> list[Line]:
                 stack.pop()
             if stack and stack[-1][0] in ENDS[tag]:
                 stack.pop()
-            inside, furniture, named = stack[-1][1:] if stack else (False, False, False)
+            inside, furniture, named, part = stack[-1][1:] if stack else (False, False, False, 0)
         if tag in VOID:
             continue
         if tag == "body":
             inside = furniture = named = False
+            part = 0
             stack.clear()
         is_header = tag == "header" and not inside
         if tag in INSIDE and not inside:
             inside, named = True, False  # what contains the article is no menu, whatever its name
         furniture = furniture or is_header or tag in FURNITURE
         named = named or bool(m[3].strip() and _names_furniture(tag, m[3], inside))
-        stack.append((tag, inside, furniture, named))
+        if tag == "article" or (inside and tag in PARTS and any(name.lower() != "role" for name, _ in _NAMES.findall(m[3]))):
+            parts += 1
+            part = parts
+        stack.append((tag, inside, furniture, named, part))
     buffer.append(source[at:])
     flush()
     return lines
@@ -212,6 +221,25 @@ def are_copies(a: list[int], b: list[int]) -> bool:
     return size([a[i] for i in common_lines(a, b)]) >= COPY * max(size(a), size(b))
 
 
+def page_blocks(found: list[Line]) -> tuple[list[str], list[int]]:
+    """The text of each line, empty if it goes in any case, and its block: lines of one block go if differencing deletes them all.
+
+    0 stays, shared or not; on pages without an article each line is a block, with a number below 0.
+    """
+    framed = any(x.inside and not x.furniture for x in found)
+    texts = ["" if x.furniture or (framed and not x.inside) else x.text for x in found]
+    return texts, [x.part if framed else -1 - i for i, x in enumerate(found)]
+
+
+def checked_text(texts: list[str], blocks: list[int], shared: list[int]) -> str:
+    """The text of a page without the blocks that it shares as a whole; of an article no more may go than stays."""
+    own = set(shared)
+    kept = {0} | {b for i, (x, b) in enumerate(zip(texts, blocks, strict=True)) if x and i not in own}
+    every, left = [x for x in texts if x], [x for x, b in zip(texts, blocks, strict=True) if x and b in kept]
+    framed = bool(blocks) and blocks[0] >= 0
+    return "\n".join(every if framed and 2 * sum(map(len, left)) < sum(map(len, every)) else left)
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in order of (part, host, path, key) to their run, counted from 0 in each part; ``borrowed`` rows stand before a part's own."""
     part, before, run = None, None, 0
@@ -241,10 +269,11 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "shared"])
 
 
-def shared_lines(lines: DataFrame, judged: DataFrame) -> DataFrame:
-    """``lines``: key, host, path, hashes of the lines; keys distinct. key, shared (line numbers) of the pages with a key in ``judged``."""
-    small_batches(lines.sparkSession)
-    n = slots(lines.sparkSession)
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """``lines``: key, host, path, hashes of the lines; keys distinct. key, shared (line numbers) of the pages that share some."""
+    spark = lines.sparkSession
+    small_batches(spark)
+    n, mark = slots(spark), written(spark)
     columns = ["host", "path", "key", "hashes"]
     ordered = materialize(lines.repartitionByRange(n, "host", "path", "key").withColumn("part", F.spark_partition_id()), "page-lines")
     ends = ordered.groupBy("part").agg(F.max(F.struct(*columns)).alias("last"))
@@ -263,14 +292,16 @@ def shared_lines(lines: DataFrame, judged: DataFrame) -> DataFrame:
     runs = materialize(rows.groupBy("run").agg(F.first("host").alias("of"), F.min(end).alias("first"), F.max(end).alias("last")), "page-ends")
     before = runs.select((F.col("run") + 1).alias("run"), F.col("of").alias("host_before"), F.col("last.path").alias("path_before"), F.col("last.hashes").alias("hashes_before"))
     after = runs.select((F.col("run") - 1).alias("run"), F.col("of").alias("host_after"), F.col("first.path").alias("path_after"), F.col("first.hashes").alias("hashes_after"))
-    asked = rows.join(judged.select("key").distinct(), "key", "left_semi").join(before, "run", "left").join(after, "run", "left")
+    asked = rows.join(before, "run", "left").join(after, "run", "left")
     own = lambda side: [F.when(F.col(f"host_{side}") == F.col("host"), F.col(f"{c}_{side}")).alias(f"{c}_{side}") for c in ("path", "hashes")]
-    return materialize(asked.select("key", "path", "hashes", *own("before"), *own("after")).mapInPandas(trimmed(_shared), "key long, shared array<int>"), "shared-lines")
+    shared = materialize(asked.select("key", "path", "hashes", *own("before"), *own("after")).mapInPandas(trimmed(_shared), "key long, shared array<int>"), "shared-lines")
+    drop_since(spark, mark)
+    return shared
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", out_col: str = "text") -> DataFrame:
     """All input columns but the HTML, ``out_col`` and n_chars."""
-    key, host, path, lines, hashes = unused(pages, "_key", "_host", "_path", "_lines", "_hashes")
+    key, host, path, lines, blocks, hashes, shared = unused(pages, "_key", "_host", "_path", "_lines", "_blocks", "_hashes", "_shared")
     url = F.coalesce(F.col(url_col), F.lit(""))
     named = pages.withColumns({
         key: F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)),
@@ -279,35 +310,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     })
 
     def read(sources: list[str | None]) -> dict[str, list]:
-        out: dict[str, list] = {out_col: [], "n_chars": [], lines: [], hashes: []}
-        for source in sources:
-            found = page_lines(source)
-            framed = any(x.inside and not x.furniture for x in found)
-            text = "\n".join(x.text for x in found if x.inside and not x.furniture) if framed else ""
-            out[out_col].append(text)
-            out["n_chars"].append(len(text))
-            out[lines].append(None if framed else ["" if x.furniture else x.text for x in found])
-            out[hashes].append([line_hash(x.text) for x in found])
-        return out
-
-    def cut(every: list[list[str]], deleted: list[list[int] | None]) -> dict[str, list]:
-        texts = []
-        for of_page, numbers in zip(every, deleted, strict=True):
-            gone = set(numbers or ())
-            texts.append("\n".join(x for i, x in enumerate(of_page) if x and i not in gone))
+        found = [page_lines(source) for source in sources]
+        texts, numbers = zip(*map(page_blocks, found), strict=True)
+        return {lines: list(texts), blocks: list(numbers), hashes: [[line_hash(x.text) for x in of_page] for of_page in found]}
+
+    def cut(*columns: list[list | None]) -> dict[str, list]:
+        texts = [checked_text(of_page, numbers, deleted or []) for of_page, numbers, deleted in zip(*columns, strict=True)]
         return {out_col: texts, "n_chars": [len(t) for t in texts]}
 
-    result = [(out_col, T.StringType(), pa.string()), ("n_chars", T.LongType(), pa.int64())]
-    arrays = [(lines, T.ArrayType(T.StringType()), pa.list_(pa.string())), (hashes, T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
-    parsed = materialize(append(named, read, [html_col], [*result, *arrays], drop=(html_col,)), "pages")
-    open_pages = parsed.where(F.col(lines).isNotNull())
+    strings, longs, ints = (T.ArrayType(t()) for t in (T.StringType, T.LongType, T.IntegerType))
+    arrays = [(lines, strings, pa.list_(pa.string())), (blocks, ints, pa.list_(pa.int32())), (hashes, longs, pa.list_(pa.int64()))]
+    parsed = materialize(append(named, read, [html_col], arrays, drop=(html_col,)), "pages")
     narrow = parsed.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(hashes).alias("hashes"))
-    deletions = shared_lines(narrow.dropDuplicates(["key"]), open_pages.select(F.col(key).alias("key")))
-    (gone,) = unused(parsed, "_gone")
-    judged = open_pages.join(deletions.select(F.col("key").alias(key), F.col("shared").alias(gone)), key, "left")
-    judged = append(judged, cut, [lines, gone], result, drop=(key, host, path, lines, hashes, gone))
-    settled = parsed.where(F.col(lines).isNull()).drop(key, host, path, lines, hashes)
-    return settled.unionByName(judged)
+    found = shared_lines(narrow.dropDuplicates(["key"]))
+    marked = sieve(found, F.col("key"))
+    free_shuffles(pages.sparkSession)
+    parsed = parsed.drop(host, path, hashes)
+    met = sift(parsed, marked, F.col(key)).join(found.select(F.col("key").alias(key), F.col("shared").alias(shared)), key, "left")
+    alone = sift(parsed, marked, F.col(key), passing=False).withColumn(shared, F.lit(None).cast(ints))
+    result = [(out_col, T.StringType(), pa.string()), ("n_chars", T.LongType(), pa.int64())]
+    return append(alone.unionByName(met), cut, [lines, blocks, shared], result, drop=(key, lines, blocks, shared))
 
 
 def op9_html(spark, sf_dir):

@@ -586,6 +586,29 @@ def test_names_of_page_state_delete_nothing(spark):
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: "Kept." for i in range(len(bodies))}
 
 
+def test_differencing_decides_inside_articles(spark):
+    box, team = "<div class='author-box'><p>By the staff.</p><p>Write to us.</p></div>", "<ul id='team'><li>Ann</li><li>{}</li></ul>"
+    own = lambda n: f"<h1>T{n}</h1><p>Own {n}, first.</p><p>A passage of both.</p><div class='entry'><p>A quotation.</p><p>Own {n}, last.</p></div>"
+    pages = {
+        (1, "a.com/x/1"): page(f"<article>{own(1)}{box}{team.format('Bob')}</article>"),
+        (2, "a.com/x/2"): page(f"<article>{own(2)}{box}{team.format('Eve')}</article>"),
+        (3, "b.com/x/1"): page("<main><article><p>One story that is longer than its menu.</p></article><article><p>Latest news</p></article></main>"),
+        (4, "b.com/x/2"): page("<main><article><p>Two mice that ran away from the kitchen.</p></article><article><p>Latest news</p></article></main>"),
+        (5, "c.com/x/1"): page("<article><p>Short.</p></article>"),
+        (6, "c.com/x/2"): page("<article><p>Short.</p><p>And a good deal more than that, which the other page does not have.</p></article>"),
+        (7, "d.com/x/1"): page(f"<article>{own(7)}{box}</article>"),
+    }
+    df = spark.createDataFrame([(i, f"https://{u}", h) for (i, u), h in pages.items()], "page_id long, url string, html string")
+    text = lambda n: [f"T{n}", f"Own {n}, first.", "A passage of both.", "A quotation.", f"Own {n}, last."]
+    want = {
+        1: [*text(1), "Ann", "Bob"], 2: [*text(2), "Ann", "Eve"],  # parts that are shared as a whole go, passages and parts with lines of their own stay
+        3: ["One story that is longer than its menu."], 4: ["Two mice that ran away from the kitchen."],
+        5: ["Short."], 6: ["Short.", "And a good deal more than that, which the other page does not have."],  # the greater part of an article never goes
+        7: [*text(7), "By the staff.", "Write to us."],  # no other page of the host says whose it is
+    }
+    assert {r.page_id: r.text.split("\n") for r in html_text.extract(df).collect()} == want
+
+
 def test_empty_and_embedded_elements_keep_text():
     source = "<article>One <svg viewBox='0 0'/> two <svg><text>no</text></svg><math><mi>x</mi></math><math/> <object data=a>three</object><iframe src='a'/> four</article>"
     assert [x.text for x in html_text.page_lines(source)] == ["One two x three four"]
