@@ -72,3 +72,12 @@ def test_a_long_chain_and_a_clique_take_one_round(spark, monkeypatch):
     df = spark.createDataFrame(pairs, "left_id long, right_id long")
     assert sorted((r.left_id, r.right_id) for r in dedupe.greedy_pairs(df).collect()) == plain_scan(pairs)
     assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("local", [10, 10**6])
+def test_components_by_any_hint(spark, local):
+    from terncove.operators.groups import components_by
+
+    rows = [(a, b, h) for k, (a, b) in enumerate(MIXED) for h in [["one", f"h{k % 3}", None][a % 3]]]
+    got = [(r.node, r.root) for r in components_by(spark.createDataFrame(rows, "a long, b long, h string"), "h", local, 0).collect()]
+    assert dict(got) == plain_components(MIXED) and len(got) == len(dict(got))

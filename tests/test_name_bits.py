@@ -34,3 +34,23 @@ def test_a_common_beginning_makes_no_candidates():
         places.add({"id": i, "norm": name, "lat": None, "lon": None, "house": None, "stems": set()})
     found = places.candidates({"norm": "salon 0123abcd", "lat": None, "lon": None, "house": None}, set())
     assert len(found) < 20
+
+
+def test_names_of_the_same_letters_are_not_aligned(monkeypatch):
+    r = random.Random(3)
+    every = ["".join(r.sample("salon 0123abcd", 14)) for _ in range(200)]
+    want = {(i, j) for i, a in enumerate(every) for j, b in enumerate(every) if similarity(a, b) >= 0.8}
+    assert set(similar.similar_by_bits(every, every, 0.8)) == want
+    aligned = []
+    monkeypatch.setattr(similar, "similarity_from", lambda a, b, least: aligned.append(1) or 0.0)
+    similar.similar_by_bits(every, every, 0.8)
+    assert len(aligned) < 2 * len(want)
+
+
+def test_names_of_the_same_letters_are_not_nearly_equal(spark):
+    from pyspark.sql import functions as F
+
+    norms = ["salon 0123abcd", "salon dcba3210", "salon 0123abcde", "salon z0123abcd", "0123ab", "x0123abx", "0123"]
+    df = spark.createDataFrame([("c", n, i, True) for i, n in enumerate(norms)], "place string, norm string, id long, asked boolean").withColumn("ls", similar.letters(F.col("norm")))
+    want = {(i, j) for i, a in enumerate(norms) for j, b in enumerate(norms) if i != j and similarity(a, b) >= 0.95}
+    assert {(p.x, p.y) for p in similar.similar_names(df, 0.95).collect()} == want
